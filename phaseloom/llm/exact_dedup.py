@@ -4,8 +4,8 @@ Texts are equal when they are identical without the characters ``[\\x20\\x09-\\x
 normalised texts into ranges, an external sort places equals side by side, and neighbours are compared whole. Of equal
 texts the row with the most code points in the original text stays, then the one with the smallest identifier.
 
-A text that a sample finds in more than one of ``HOT_SHARE`` rows can't be spread by ranges. Such texts (at most as many
-as that number, so a bounded list) are aggregated before the shuffle instead, whole texts compared, and their decision is
+A text that a sample finds in more rows than a partition has on average can't be spread by ranges. Such texts (at most as
+many as there are partitions) are aggregated before the shuffle instead, whole texts compared, and their decision is
 broadcast back to the rows. Which way a text takes changes nothing in the result.
 
 Null texts count as empty; all empty texts are equal. Rows that repeat an identifier and a text share its decision in
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A text in more than one of so many sampled rows is hot; at most so many texts can be.
-HOT_SHARE = 400
 #: One of so many rows is sampled, by a hash of its identifier.
 SAMPLE_OF = 16
 
@@ -31,13 +29,14 @@ def normalised(text: Column) -> Column:
 
 
 def _hot(rows: DataFrame) -> list[int]:
-    """Hashes of the hot texts of a sample; at most HOT_SHARE of them."""
+    """Hashes of the hot texts of a sample: those with more rows than an average partition, so no more than partitions."""
+    share = C.partitions(rows)
     sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE_OF)) == 0)
     total = sample.select("id").count()
     if not total:
         return []
     counted = sample.groupBy(F.xxhash64("norm").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return [r.h for r in counted.filter(F.col("n") > max(3, total // HOT_SHARE)).orderBy(F.desc("n")).limit(HOT_SHARE).collect()]
+    return [r.h for r in counted.filter(F.col("n") > max(3, total // share)).orderBy(F.desc("n")).limit(share).collect()]
 
 
 def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
