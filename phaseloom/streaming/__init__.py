@@ -1,0 +1 @@
+"""No streaming operator: the inputs are finished, sorted tables. Kept so that one can be added."""
