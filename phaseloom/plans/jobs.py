@@ -15,6 +15,7 @@ from ..operators import signals as U
 from ..operators import split as X
 from ..operators import vcf as V
 from ..params import Params
+from ..sources.io import stored
 
 
 def extract_signatures(alignments: DataFrame, bed: DataFrame | None = None, p: Params = Params()) -> dict[str, DataFrame]:
@@ -24,8 +25,8 @@ def extract_signatures(alignments: DataFrame, bed: DataFrame | None = None, p: P
         from ..functions.sequence import parse_cigar, reference_span
 
         kept = P.restrict_to_bed(kept.withColumn("ref_end", F.col("ref_start") + reference_span(parse_cigar(F.col("cigar")))), bed).drop("ref_end")
-    split = P.split_segments(kept, p)
-    far = X.split_signals(split, p)
+    split = stored(P.split_segments(kept, p))  # several rules read it; most reads have no split
+    far = stored(X.split_signals(split, p))
     columns = ["svtype", "chrom", "pos", "len", "pos2", "chrom2", "strand", "bnd_type", "read_name", "hp"]
     near = P.merge_in_read(P.signal_arrays(kept, p), p).withColumn("pos", F.col("pos").cast("double"))
     blank = {c: F.lit(None).cast(t) for c, t in (("pos2", "long"), ("chrom2", "string"), ("strand", "string"), ("bnd_type", "string"))}
@@ -53,13 +54,14 @@ def germline_deletions(sig: DataFrame, reads: DataFrame, p: Params = Params()) -
     told = hist.select("win_id", D.is_balanced(F.col("h0"), F.col("h1"), F.col("h2"), "DEL").alias("balanced"), D.min_support_by_depth(depth, "DEL").alias("least"))
     grouped = clusters.join(told, "win_id").withColumn("side", F.when(F.col("balanced"), F.col("hp")).otherwise(-1))
     chained = A.length_chain(grouped, ["win_id", "side"], p.len_ratio)
+    chained = stored(chained)
     stats = A.allele_stats(chained, ["win_id", "side"]).join(told, "win_id").filter((F.col("n_signals") >= F.col("least")) & (F.col("avg_len") >= p.min_size))
     named = F.concat_ws("/", "win_id", "side", "allele").alias("call_id")
     calls = stats.select("*", named)
     at = clusters.select("win_id", "chrom", "svtype").distinct()
     support = chained.select(named, "read_name", "hp").withColumnRenamed("call_id", "win_id")
     windows = calls.join(at, "win_id").select(F.col("call_id").alias("win_id"), "chrom", F.col("min_pos").cast("long").alias("w_start"), F.col("max_pos").cast("long").alias("w_end"))
-    counts = G.genotyped(counted(windows, support, reads)).withColumnRenamed("win_id", "call_id")
+    counts = G.genotyped(stored(counted(windows, support, reads))).withColumnRenamed("win_id", "call_id")
     done = calls.join(counts, "call_id").join(at, "win_id")
     return done.select(
         "chrom", "svtype", F.floor("avg_pos").alias("pos"), F.floor("avg_len").alias("svlen"), "side", "dv", "dr", "gt", "pl", "gq", "qual", "cipos", "cilen", V.filter_label(F.col("gt"), F.col("qual")).alias("filter")

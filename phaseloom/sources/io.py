@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again: for tables that several steps read."""
+    path = os.path.join(shared_folder(df.sparkSession), uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Alignments from Parquet, or from SAM text where the path ends in .sam; the haplotype is 0 where untagged."""
     if not path.rstrip("/").endswith(".sam"):
