@@ -3,10 +3,11 @@
 A fingerprint is cut into 16 segments of 4 bits and mapped to the vector of their bit counts. The Manhattan distance of
 two such vectors is at most the Hamming distance of the fingerprints, so a range join on the grid of vectors misses no
 link. For radius 2 it needs no pairs: each distinct fingerprint marks its own cell and the 32 cells one step away, and two
-vectors within distance 2 mark a cell together. Only fingerprints with a cell that another one marks go on. They are
-verified exactly in the same way on whole fingerprints: each marks itself and the 64 fingerprints one bit away, and two
-within 2 bits have a mark in common, while two with a mark in common are within 2 bits. At most 65 fingerprints share a
-mark; each is linked to the smallest of them, which keeps every component whole without listing pairs.
+vectors within distance 2 mark a cell together. In a cell of up to CELL_PAIRS fingerprints their pairs are verified by the
+Hamming distance. The fingerprints of fuller cells are verified in the same way as they were found, on whole fingerprints:
+each marks itself and the 64 fingerprints one bit away, and two within 2 bits have a mark in common, while two with a mark
+in common are within 2 bits. At most 65 fingerprints share a mark; each is linked to the smallest of them, which keeps
+every component whole without listing pairs.
 
 Equal fingerprints count once, so very large groups of copies cost nothing after the first aggregation.
 
@@ -28,6 +29,8 @@ from . import common as C
 from .components import components
 
 SEED = 42
+#: Cells with more marks than this are verified by marks of whole fingerprints, not by pairs.
+CELL_PAIRS = 64
 #: Of the wide fingerprint of near_duplicates(): tables of so many bits each.
 TABLES, TABLE_BITS = 12, 28
 
@@ -94,12 +97,18 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the rep of distinct (fp, cell, rep) that keep all components at Hamming distance 2 or less."""
     steps = [sign << 4 * k if sign > 0 else -(1 << 4 * k) for k in range(16) for sign in (1, -1)]
     marks = _marks(distinct, "cell", steps, "mark", False)
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    near = marks.join(shared, "mark", "left_semi").groupBy("fp").agg(F.min("rep").alias("rep"))
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    few = marks.join(shared.filter(F.col("n") <= CELL_PAIRS).select("mark"), "mark", "left_semi")
+    other = few.select("mark", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
+    close = (F.col("rep") > F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2)
+    pairs = few.join(other, (few["mark"] == other["mark"]) & close).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    full = shared.filter(F.col("n") > CELL_PAIRS).select("mark")
+    near = marks.join(full, "mark", "left_semi").groupBy("fp").agg(F.min("rep").alias("rep"))
     flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
     exact = _marks(near, "fp", flips, "mark", True)
     least = exact.groupBy("mark").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return exact.join(least, "mark").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
+    stars = exact.join(least, "mark").select(F.col("rep").alias("a"), "b").filter("a <> b")
+    return pairs.union(stars).distinct()
 
 
 def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -158,7 +158,9 @@ def test_simhash(docs, empty, texts):
     assert simhash.simhash_classes(empty).count() == 0
 
 
-def test_simhash_links_at_random(spark):
+@pytest.mark.parametrize("pairs", [64, 2])
+def test_simhash_links_at_random(spark, monkeypatch, pairs):
+    monkeypatch.setattr(simhash, "CELL_PAIRS", pairs)
     rnd = random.Random(7)
     centres = [rnd.getrandbits(64) for _ in range(30)]
     prints = {k: rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for k in range(400)}
