@@ -15,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Parts kept in a worker's cache before it starts afresh.
-CACHE = 120_000
+CACHE = 300_000
 
 
 class _Parts(dict):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 #: Parts of texts kept in a worker's cache before it starts afresh.
-CACHE = 120_000
+CACHE = 300_000
 _END = ""  # stands for the end-of-word mark, one character
 
 
