@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .grams import blocks, dense_grams, gram_places, padded, scored, totals
+from .grams import blocks, dense_grams, gram_places, padded, scored, single, totals
 
 DEPTH, SHARD = 5, 3
 #: Grams worked on at once, in whole shards.
@@ -212,7 +212,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = C.durable(totals(stored))
     words = counts.filter("key < 0")
     tokens, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0))).first()
-    answers = gram_values(counts.filter("key >= 0")).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
+    answers = gram_values(counts.filter("key >= 0")).withColumn("value", single(F.col("value"))).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
 
     def score(batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
         made = []

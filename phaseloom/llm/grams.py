@@ -1,9 +1,10 @@
 """Scoring texts with models of byte n-grams whose tables are as large as the corpus makes them.
 
-Documents are read once and stored in blocks of bounded size: the texts, compressed, and the distinct grams of the block.
-A block's grams ask the model's table by a join on the gram, wherever it lies; the answers come back to the block, and
-each text is scored there against the answers of its block alone. So a text is never joined gram by gram, no table is
-broadcast, and what is shuffled is each block's distinct grams.
+Documents are read once and stored in blocks of bounded size: the texts, compressed, and the distinct grams of the block,
+dealt into shards. A block's grams ask the model's table by a join on the shard and the gram, wherever it lies; the answers
+come back to the block, and each text is scored there against the answers of its block alone. So a text is never joined
+gram by gram, no table is broadcast, and what is shuffled is each block's distinct grams: sorted and as steps from each to
+the next, little over a byte each, and the answers as one blob for each block and shard.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BLOCK_BYTES = 8 << 20
+#: Of the compression of stored texts, which are written once and shuffled once.
+TEXT_LEVEL = 9
 
 
 def dense_grams(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +64,7 @@ def gram_places(offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", TEXT_LEVEL))) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -71,8 +74,57 @@ def unpacked(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
+def to_blob(x: np.ndarray) -> bytes:
+    """Values of 64 bits, compressed with all first bytes together, then all second bytes, and so on; of none: no bytes."""
+    if not len(x):
+        return b""
+    rows = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(rows.T).tobytes(), asbytes=True)
+
+
+def from_blob(blob: bytes, kind: type) -> np.ndarray:
+    """What to_blob() was given."""
+    if not blob:
+        return np.zeros(0, kind)
+    n = int.from_bytes(blob[:8], "little")
+    columns = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(columns.T).view(kind).ravel()
+
+
+def sorted_to_blob(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps from each to the next, which compress to a byte or two."""
+    return to_blob(np.diff(keys, prepend=np.int64(0)))
+
+
+def sorted_from_blob(blob: bytes) -> np.ndarray:
+    """What sorted_to_blob() was given."""
+    return np.cumsum(from_blob(blob, np.int64), dtype=np.int64)
+
+
+_FOLDS = (13, 27, 41)
+
+
+def _parts(keys: np.ndarray, n: int) -> np.ndarray:
+    own = keys.view(np.uint64)
+    for k in _FOLDS:
+        own = own ^ (keys.view(np.uint64) >> np.uint64(k))
+    return np.mod(own.view(np.int64), n)
+
+
+def part_of(key: Column, n: int) -> Column:
+    """The shard of a gram among n, as _parts() has it."""
+    own = key
+    for k in _FOLDS:
+        own = own.bitwiseXOR(F.shiftrightunsigned(key, k))
+    return F.pmod(own, F.lit(n).cast("long")).cast("int")
+
+
 def blocks(docs: DataFrame, grams: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(block, docs, keys, counts) stored for ``docs``, whose second column is the text; ``grams`` gives keys and counts."""
+    """(block, docs, keys, counts) stored for ``docs``, whose second column is the text; ``grams`` gives distinct keys and counts.
+
+    keys and counts are arrays with one blob for each shard of grams; the session's number of shuffle partitions is theirs.
+    """
+    n = C.partitions(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -80,26 +132,75 @@ def blocks(docs: DataFrame, grams: Callable[[pa.RecordBatch], tuple[np.ndarray,
             for row, end, _, _ in C.chunks(batch.column(1), BLOCK_BYTES) if batch.num_rows else ():
                 part = batch.slice(row, end - row)
                 keys, counts = grams(part)
-                whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)], pa.binary()), whole(keys), whole(counts)], ["block", "docs", "keys", "counts"])
+                shard = _parts(keys, n)
+                order = np.lexsort((keys, shard))
+                cut = np.searchsorted(shard[order], np.arange(1, n))
+                key_blobs = [sorted_to_blob(x) for x in np.split(keys[order], cut)]
+                count_blobs = [to_blob(x) for x in np.split(counts[order], cut)] if len(counts) else []
+                blobs = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)], pa.binary()), pa.array([key_blobs], blobs), pa.array([count_blobs], blobs)], ["block", "docs", "keys", "counts"])
                 block += 1
 
-    return C.durable(docs.mapInArrow(run, "block long, docs binary, keys array<long>, counts array<long>"))
+    return C.durable(docs.mapInArrow(run, "block long, docs binary, keys array<binary>, counts array<binary>"))
+
+
+def _asked(stored: DataFrame) -> DataFrame:
+    """(part, block, keys): what each block asks of each shard."""
+    return stored.select("block", F.posexplode("keys").alias("part", "keys")).filter("length(keys) > 0").select("part", "block", "keys")
+
+
+def distinct_keys(stored: DataFrame) -> DataFrame:
+    """(key): the distinct grams of all blocks. A shard holds a gram once for each block at most."""
+
+    def run(own: pa.Table) -> pa.Table:
+        keys = np.unique(np.concatenate([sorted_from_blob(x.as_py()) for x in own.column("keys")]))
+        return pa.table({"key": keys})
+
+    return _asked(stored).groupBy("part").applyInArrow(run, "key long")
 
 
 def totals(stored: DataFrame) -> DataFrame:
     """(key, n): each gram's count over all blocks."""
-    return stored.select(F.explode(F.arrays_zip("keys", "counts")).alias("g")).groupBy(F.col("g.keys").alias("key")).agg(F.sum("g.counts").alias("n"))
+
+    def run(own: pa.Table) -> pa.Table:
+        keys = np.concatenate([sorted_from_blob(x.as_py()) for x in own.column("keys")])
+        counts = np.concatenate([from_blob(x.as_py(), np.int64) for x in own.column("counts")])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return pa.table({"key": keys[first], "n": np.add.reduceat(counts, first)})
+
+    both = stored.select(F.posexplode(F.arrays_zip("keys", "counts")).alias("part", "g")).select("part", "g.keys", "g.counts")
+    return both.filter("length(keys) > 0").groupBy("part").applyInArrow(run, "key long, n long")
+
+
+def single(value: Column) -> Column:
+    """A value rounded to seven digits, so that its blob is half as large."""
+    return value.cast("float").cast("double")
 
 
 def scored(stored: DataFrame, answers: DataFrame, score: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """Each block's documents scored with ``answers`` (key, value); ``score`` gets documents, sorted keys and values."""
-    asked = stored.select(F.col("block").alias("to"), F.explode("keys").alias("key")).join(answers, "key").select("to", "key", "value")
+    """Each block's documents scored with ``answers`` (key, value as double); ``score`` gets documents, sorted keys and values."""
+    n = stored.select(F.size("keys")).first()
+    sharded = answers.select(part_of(F.col("key"), n[0] if n else 1).alias("part"), "key", "value")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = np.asarray(right.column("key")), np.asarray(right.column("value"))
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = np.asarray(known.column("key")), np.asarray(known.column("value"))
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        return pa.Table.from_batches([score(unpacked(blob.as_py()), keys, values) for blob in left.column("docs")])
+        found = [to_blob(values[np.searchsorted(keys, sorted_from_blob(x.as_py()))]) for x in asks.column("keys")]
+        return pa.table({"block": asks.column("block").cast(pa.int64()), "part": asks.column("part").cast(pa.int32()), "found": pa.array(found, pa.binary())})
+
+    told = _asked(stored).groupBy("part").cogroup(sharded.groupBy("part")).applyInArrow(answer, "block long, part int, found binary")
 
-    return stored.select("block", "docs").groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(run, schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = dict(zip(right.column("part").to_pylist(), right.column("found").to_pylist(), strict=True))
+        made = []
+        for blob, own in zip(left.column("docs"), left.column("keys").to_pylist(), strict=True):
+            keys = np.concatenate([sorted_from_blob(x) for x in own])
+            values = np.concatenate([from_blob(found.get(k, b""), np.float64) for k in range(len(own))])
+            order = np.argsort(keys)
+            made.append(score(unpacked(blob.as_py()), keys[order], values[order]))
+        return pa.Table.from_batches(made)
+
+    return stored.select("block", "docs", "keys").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
