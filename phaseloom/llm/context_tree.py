@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .grams import blocks, dense_grams, gram_places, padded, scored, single, totals
+from .grams import GRAM_BYTES, blocks, dense_grams, gram_places, padded, scored, single, totals
 
 DEPTH, SHARD = 5, 3
 #: Grams worked on at once, in whole shards.
@@ -194,7 +194,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = [], []
         learn = ~held_out(np.asarray(batch.column(0)))
-        for row, end, raw, at in C.chunks(batch.column(1), 2 * C.CHUNK_BYTES):
+        for row, end, raw, at in C.chunks(batch.column(1), GRAM_BYTES):
             raw, own = C.lowered(raw), learn[row:end]
             found, ids, to = _document_grams(raw, at)
             n = np.bincount(ids, np.repeat(own, np.diff(to)), len(found)).astype(np.int64)
@@ -218,7 +218,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         made = []
         ask = lambda k: values[np.searchsorted(keys, k)]  # noqa: E731  every key of a block is answered
         out = held_out(np.asarray(batch.column(0)))
-        for row, end, raw, at in C.chunks(batch.column(1), 2 * C.CHUNK_BYTES):
+        for row, end, raw, at in C.chunks(batch.column(1), GRAM_BYTES):
             raw = C.lowered(raw)
             own, ids, to = _document_grams(raw, at)
             there = np.bincount(ids, minlength=len(own)) > 0

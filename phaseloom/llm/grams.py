@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK_BYTES = 8 << 20
+#: Bytes of text whose grams are numbered at once; that takes about 150 bytes of memory for each.
+GRAM_BYTES = 2 << 20
 #: Of the compression of stored texts, which are written once and shuffled once.
 TEXT_LEVEL = 9
 
