@@ -119,7 +119,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse modulo 2**64 to the powers 0 to n - 1; kept for the next chunk."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = n + n // 8
         made = []
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             steps = np.full(size, base, np.uint64)

@@ -30,7 +30,7 @@ from .grams import GRAM_BYTES, blocks, dense_grams, gram_places, padded, scored,
 
 DEPTH, SHARD = 5, 3
 #: Grams worked on at once, in whole shards.
-PART = 300_000
+PART = 150_000
 #: Keys of words have the top bit; the key of the end of a text is this one.
 _WORD, _END = np.uint64(1 << 63), -1
 _SMALL = np.array([math.lgamma(k / 2) if k else 0.0 for k in range(64)])

@@ -21,7 +21,7 @@ from . import common as C
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose grams are numbered at once; that takes about 150 bytes of memory for each.
-GRAM_BYTES = 2 << 20
+GRAM_BYTES = 1 << 20
 #: Of the compression of stored texts, which are written once and shuffled once.
 TEXT_LEVEL = 9
 
@@ -30,17 +30,17 @@ def dense_grams(raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct byte n-grams of ``raw``, big-endian in 64 bits, and for each start which of them it is. No sort."""
     seen = np.bincount(raw, minlength=256) > 0
     letters = np.flatnonzero(seen)
-    number = (np.cumsum(seen) - 1).astype(np.int64)
+    number = (np.cumsum(seen) - 1).astype(np.int32)
     single = number[raw]
     keys, ids = letters.astype(np.int64), single
     for k in range(1, width):
-        joint = ids[: len(raw) - k] * len(letters) + single[k:]
+        joint = np.multiply(ids[: len(raw) - k], len(letters), dtype=np.int64) + single[k:]
         there = np.zeros(len(keys) * len(letters), bool)
         there[joint] = True
         found = np.flatnonzero(there)
         place = np.empty(len(there), np.int32)
         place[found] = np.arange(len(found), dtype=np.int32)
-        ids = place[joint].astype(np.int64)
+        ids = place[joint]
         keys = (keys[found // len(letters)] << 8) | letters[found % len(letters)]
     return keys, ids
 
@@ -103,11 +103,12 @@ def sorted_from_blob(blob: bytes) -> np.ndarray:
     return np.cumsum(from_blob(blob, np.int64), dtype=np.int64)
 
 
-_FOLDS = (13, 27, 41)
+#: Grams that differ in their last two bytes share a shard, so the steps between them stay small.
+_FOLDS = (16, 29, 43, 57)
 
 
 def _parts(keys: np.ndarray, n: int) -> np.ndarray:
-    own = keys.view(np.uint64)
+    own = np.zeros(len(keys), np.uint64)
     for k in _FOLDS:
         own = own ^ (keys.view(np.uint64) >> np.uint64(k))
     return np.mod(own.view(np.int64), n)
@@ -115,7 +116,7 @@ def _parts(keys: np.ndarray, n: int) -> np.ndarray:
 
 def part_of(key: Column, n: int) -> Column:
     """The shard of a gram among n, as _parts() has it."""
-    own = key
+    own = F.lit(0).cast("long")
     for k in _FOLDS:
         own = own.bitwiseXOR(F.shiftrightunsigned(key, k))
     return F.pmod(own, F.lit(n).cast("long")).cast("int")
@@ -141,6 +142,7 @@ def blocks(docs: DataFrame, grams: Callable[[pa.RecordBatch], tuple[np.ndarray,
                 count_blobs = [to_blob(x) for x in np.split(counts[order], cut)] if len(counts) else []
                 blobs = pa.list_(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(part)], pa.binary()), pa.array([key_blobs], blobs), pa.array([count_blobs], blobs)], ["block", "docs", "keys", "counts"])
+                pa.default_memory_pool().release_unused()
                 block += 1
 
     return C.durable(docs.mapInArrow(run, "block long, docs binary, keys array<binary>, counts array<binary>"))
@@ -203,6 +205,7 @@ def scored(stored: DataFrame, answers: DataFrame, score: Callable[[pa.RecordBatc
             values = np.concatenate([from_blob(found.get(k, b""), np.float64) for k in range(len(own))])
             order = np.argsort(keys)
             made.append(score(unpacked(blob.as_py()), keys[order], values[order]))
+            pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(made)
 
     return stored.select("block", "docs", "keys").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
