@@ -33,6 +33,8 @@ SEED = 42
 CELL_PAIRS = 64
 #: Of the wide fingerprint of near_duplicates(): tables of so many bits each.
 TABLES, TABLE_BITS = 12, 28
+#: Hashes whose bits are counted at once.
+MAJORITY_HASHES = 1 << 15
 
 
 def shingle_hashes(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +59,33 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
     return hashes, offsets
 
 
+def word_shingles(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_hashes(), by the library's own hash of runs, for all words of the chunk at once."""
+    low = C.lowered(raw)
+    words = C.Words(low, at)
+    counts = np.diff(words.at)
+    made = np.where(counts == 0, 0, np.maximum(counts - n + 1, 1))
+    offsets = np.concatenate([[0], np.cumsum(made)])
+    head = np.repeat(words.at[:-1] - offsets[:-1], made) + np.arange(offsets[-1])
+    return C.run_hashes(C.run_hashes(low, words.start, words.end), head, head + np.repeat(np.minimum(counts, n), made)), offsets
+
+
 def majorities(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each document the 64 bits that are set in over half its hashes; none: zero."""
+    """For each document the 64 bits that are set in over half its hashes; none: zero.
+
+    Runs of documents are taken of up to MAJORITY_HASHES hashes, or one longer document: the bits of a hash fill 320 bytes.
+    """
     out = np.zeros(len(offsets) - 1, np.uint64)
     full = np.flatnonzero(offsets[1:] > offsets[:-1])
-    if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, offsets[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * sums > np.diff(offsets)[full, None], axis=1, bitorder="little").view("<u8").ravel()
+    row = 0
+    while row < len(full):
+        begin = offsets[full[row]]
+        end = max(row + 1, int(np.searchsorted(offsets[full + 1], begin + MAJORITY_HASHES, "right")))
+        own = full[row:end]
+        bits = np.unpackbits(hashes[begin : offsets[own[-1] + 1]].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, offsets[own] - begin, axis=0, dtype=np.int32)
+        out[own] = np.packbits(2 * sums > np.diff(offsets)[own, None], axis=1, bitorder="little").view("<u8").ravel()
+        row = end
     return out
 
 
@@ -160,8 +181,7 @@ def candidate_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int) ->
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.asarray(batch.column(0))
         for row, end, raw, at in C.chunks(batch.column(1)):
-            parts = [_wide(*shingle_hashes(r, o, shingle)) for _, _, r, o in C.chunks(batch.column(1).slice(row, end - row))]
-            wide = np.concatenate(parts)
+            wide = _wide(*word_shingles(raw, at, shingle))
             some = at[1:] > at[:-1]
             keys = ((wide[:, :, None] ^ flips[None, None, :]) | tag)[some].reshape(-1)
             own = np.repeat(ids[row:end][some], TABLES * len(flips))
@@ -202,7 +222,7 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
         for k in (2, 3):
             sets: list[np.ndarray] = []
             for _, _, raw, at in C.chunks(batch.column(k)):
-                hashes, offsets = shingle_hashes(raw, at, shingle)
+                hashes, offsets = word_shingles(raw, at, shingle)
                 sets += [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             sides.append(sets)
         for x, y in zip(*sides, strict=True):
