@@ -33,6 +33,8 @@ SEED = 42
 CELL_PAIRS = 64
 #: Of the wide fingerprint of near_duplicates(): tables of so many bits each.
 TABLES, TABLE_BITS = 12, 28
+#: Of the least shingle hash of a document, which orders the documents of a mark.
+SKETCH_BITS = 16
 #: Hashes whose bits are counted at once.
 MAJORITY_HASHES = 1 << 15
 
@@ -152,12 +154,21 @@ def _wide(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _meet(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by (key, id): which are first of their key; links of all others to that first and to the one before."""
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    head = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    later = np.flatnonzero(~first)
-    pairs = np.concatenate([np.stack([ids[later], head[later]], 1), np.stack([ids[later], ids[later - 1]], 1)])
+    """Of rows sorted by (key, id), a key being a mark and a sketch: which are first of their mark; links (a, b).
+
+    Rows of one mark and sketch are linked to the first of them, and that to the first of the mark and to the first of
+    the sketch before.
+    """
+    mark = keys >> SKETCH_BITS
+    first, new = np.ones(len(keys), bool), np.ones(len(keys), bool)
+    first[1:] = mark[1:] != mark[:-1]
+    new[1:] = keys[1:] != keys[:-1]
+    heads = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    later, lead = np.flatnonzero(~new), np.flatnonzero(new & ~first)
+    of_mark = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    links = [(ids[later], ids[heads[run[later]]]), (ids[lead], of_mark[lead]), (ids[lead], ids[heads[run[lead] - 1]])]
+    pairs = np.concatenate([np.stack(x, 1) for x in links])
     pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0) if len(pairs) else pairs.reshape(0, 2)
     return first, pairs[:, 0], pairs[:, 1]
 
@@ -165,48 +176,54 @@ def _meet(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def candidate_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Pairs (a, b) of which one of TABLES short SimHashes differs in 2 bits or fewer.
 
-    Each table's hash marks itself and those one bit away. Within an Arrow batch equal marks are linked at once and only
-    the first of each is shuffled, so a mark that a third of all rows have sends one row for each batch. After the shuffle
-    sorted neighbours are linked in the same way, to the one before and to the first of the mark.
+    Each table's hash marks itself and those one bit away. The documents of a mark are ordered by a sketch, the low bits of
+    the least shingle hash, which near duplicates have in common as often as shingles: so they stand together even where a
+    mark holds others too, and a large group needs one link for most members of a mark. Within an Arrow batch equal marks
+    are linked at once and only the first of each is shuffled, so a mark that a third of all rows have sends one row for
+    each batch. After the shuffle the same is done over all batches.
     """
     flips = np.concatenate([[0], 1 << np.arange(TABLE_BITS)]).astype(np.uint64)
     tag = (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))[None, :, None]
+    wide_bits = np.uint64(SKETCH_BITS)
 
     def rows(keys: np.ndarray, ids: np.ndarray) -> dict:
         first, a, b = _meet(keys, ids)
         n, m = int(first.sum()), len(a)
         spread = C.mixed(a.astype(np.uint64)).view(np.int64)
-        return {"mark": np.concatenate([keys[first].view(np.int64), spread]), "a": np.concatenate([ids[first], a]), "b": pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.arange(n + m) < n)}
+        return {"mark": np.concatenate([keys[first], spread]), "a": np.concatenate([ids[first], a]), "b": pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.arange(n + m) < n)}
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.asarray(batch.column(0))
         for row, end, raw, at in C.chunks(batch.column(1)):
-            wide = _wide(*word_shingles(raw, at, shingle))
-            some = at[1:] > at[:-1]
-            keys = ((wide[:, :, None] ^ flips[None, None, :]) | tag)[some].reshape(-1)
+            hashes, offsets = word_shingles(raw, at, shingle)
+            wide = _wide(hashes, offsets)
+            some = offsets[1:] > offsets[:-1]
+            sketch = np.minimum.reduceat(hashes, offsets[:-1][some]) & np.uint64((1 << SKETCH_BITS) - 1) if some.any() else hashes[:0]
+            keys = ((((wide[some][:, :, None] ^ flips[None, None, :]) | tag) << wide_bits) | sketch[:, None, None]).reshape(-1).view(np.int64)
             own = np.repeat(ids[row:end][some], TABLES * len(flips))
             order = np.lexsort((own, keys))
             yield rows(keys[order], own[order])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, head, before = None, 0, 0
+        last: tuple[list[int], list[int]] | None = None  # key and identifier of the first of the mark, and of the sketch
         for batch in batches:
             keys, ids, there = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
             made = np.asarray(there.is_valid())
             done = [np.stack([ids[made], np.asarray(there.drop_null())], 1)]
             keys, ids = keys[~made], ids[~made]
             if len(keys):
-                if last_key == keys[0]:
-                    keys, ids = np.concatenate([[last_key] * 2, keys]), np.concatenate([[head, before], ids])
+                if last is not None and last[0][0] >> SKETCH_BITS == keys[0] >> SKETCH_BITS:
+                    keys, ids = np.concatenate([last[0], keys]), np.concatenate([last[1], ids])
                 first, a, b = _meet(keys, ids)
                 done.append(np.stack([a, b], 1))
-                last_key, head, before = keys[-1], ids[np.flatnonzero(first)[-1]], ids[-1]
+                of_mark, of_sketch = np.flatnonzero(first)[-1], np.searchsorted(keys, keys[-1])
+                last = [keys[of_mark], keys[of_sketch]], [ids[of_mark], ids[of_sketch]]
             out = np.concatenate(done)
             if len(out):
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     marked = C.in_arrow(C.texts(df, id_col, text_col), work, "mark long, a long, b long")
-    dealt = marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "a")
+    dealt = marked.repartition(C.partitions(df), F.shiftrightunsigned("mark", SKETCH_BITS)).sortWithinPartitions("mark", "a")
     met = dealt.mapInArrow(meet, "a long, b long")
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
