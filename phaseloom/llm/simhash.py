@@ -31,10 +31,8 @@ from .components import components
 SEED = 42
 #: Cells with more marks than this are verified by marks of whole fingerprints, not by pairs.
 CELL_PAIRS = 64
-#: Of the wide fingerprint of near_duplicates(): tables of so many bits each.
-TABLES, TABLE_BITS = 12, 28
-#: Of the least shingle hash of a document, which orders the documents of a mark.
-SKETCH_BITS = 16
+#: Most shingles that near_duplicates() takes as common, and the fewest documents of one; both change its cost only.
+COMMON, COMMON_FROM = 1 << 15, 64
 #: Hashes whose bits are counted at once.
 MAJORITY_HASHES = 1 << 15
 
@@ -143,89 +141,134 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _wide(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A fingerprint of TABLES * TABLE_BITS bits for each document, one column a table."""
-    per = 64 // TABLE_BITS
-    columns = []
-    for k in range(-(-TABLES // per)):
-        bits = majorities(C.mixed(hashes + np.uint64(k * 0xA0761D6478BD642F % 2**64)), offsets)
-        columns += [(bits >> np.uint64(j * TABLE_BITS)) & np.uint64((1 << TABLE_BITS) - 1) for j in range(per)]
-    return np.stack(columns[:TABLES], axis=1)
+def _sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word shingles of each document, in hash order, and n + 1 offsets of the documents into them."""
+    hashes, offsets = word_shingles(raw, at, n)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(offsets))
+    order = np.lexsort((hashes, doc))
+    hashes, doc = hashes[order], doc[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    return hashes[new], np.searchsorted(doc[new], np.arange(len(at)))
 
 
-def _meet(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by (key, id), a key being a mark and a sketch: which are first of their mark; links (a, b).
+def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to COMMON shingles that very many documents have, sorted, and the logarithm of how many. They only set an order."""
 
-    Rows of one mark and sketch are linked to the first of them, and that to the first of the mark and to the first of
-    the sketch before.
-    """
-    mark = keys >> SKETCH_BITS
-    first, new = np.ones(len(keys), bool), np.ones(len(keys), bool)
-    first[1:] = mark[1:] != mark[:-1]
-    new[1:] = keys[1:] != keys[:-1]
-    heads = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    later, lead = np.flatnonzero(~new), np.flatnonzero(new & ~first)
-    of_mark = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    links = [(ids[later], ids[heads[run[later]]]), (ids[lead], of_mark[lead]), (ids[lead], ids[heads[run[lead] - 1]])]
-    pairs = np.concatenate([np.stack(x, 1) for x in links])
-    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0) if len(pairs) else pairs.reshape(0, 2)
-    return first, pairs[:, 0], pairs[:, 1]
-
-
-def candidate_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """Pairs (a, b) of which one of TABLES short SimHashes differs in 2 bits or fewer.
-
-    Each table's hash marks itself and those one bit away. The documents of a mark are ordered by a sketch, the low bits of
-    the least shingle hash, which near duplicates have in common as often as shingles: so they stand together even where a
-    mark holds others too, and a large group needs one link for most members of a mark. Within an Arrow batch equal marks
-    are linked at once and only the first of each is shuffled, so a mark that a third of all rows have sends one row for
-    each batch. After the shuffle the same is done over all batches.
-    """
-    flips = np.concatenate([[0], 1 << np.arange(TABLE_BITS)]).astype(np.uint64)
-    tag = (np.arange(TABLES, dtype=np.uint64) << np.uint64(TABLE_BITS))[None, :, None]
-    wide_bits = np.uint64(SKETCH_BITS)
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, _, raw, at in C.chunks(batch.column(1)):
+            key, n = np.unique(_sets(raw, at, shingle)[0], return_counts=True)
+            yield {"key": key[n > 1].view(np.int64), "n": n[n > 1]}
+
+    counted = C.in_arrow(C.texts(df, id_col, text_col), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    rows = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    key, n = np.asarray(rows.column(0)).astype(np.int64).view(np.uint64), np.asarray(rows.column(1)).astype(np.int64)
+    order = np.argsort(key)
+    return key[order], np.log2(n[order].astype(float)).astype(np.int8)
 
-    def rows(keys: np.ndarray, ids: np.ndarray) -> dict:
-        first, a, b = _meet(keys, ids)
-        n, m = int(first.sum()), len(a)
-        spread = C.mixed(a.astype(np.uint64)).view(np.int64)
-        return {"mark": np.concatenate([keys[first], spread]), "a": np.concatenate([ids[first], a]), "b": pa.array(np.concatenate([np.zeros(n, np.int64), b]), mask=np.arange(n + m) < n)}
+
+def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(mark, node, id, n, pos, rep) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
+
+    The shingles of a set stand in one order for all documents: common ones last, else by hash. Two sets of at least this
+    similarity have one in common among the first n - ceil(similarity * n) + 1 of each, so no pair is missed. ``node`` is a
+    hash of the set, ``rep`` the first set of the mark. Equal sets count once; rows without a mark link (id, rep) such.
+    """
+    common, often = common_shingles(df, id_col, text_col, shingle)
+    names = ["mark", "node", "id", "n", "pos", "rep"]
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.asarray(batch.column(0))
         for row, end, raw, at in C.chunks(batch.column(1)):
-            hashes, offsets = word_shingles(raw, at, shingle)
-            wide = _wide(hashes, offsets)
-            some = offsets[1:] > offsets[:-1]
-            sketch = np.minimum.reduceat(hashes, offsets[:-1][some]) & np.uint64((1 << SKETCH_BITS) - 1) if some.any() else hashes[:0]
-            keys = ((((wide[some][:, :, None] ^ flips[None, None, :]) | tag) << wide_bits) | sketch[:, None, None]).reshape(-1).view(np.int64)
-            own = np.repeat(ids[row:end][some], TABLES * len(flips))
-            order = np.lexsort((own, keys))
-            yield rows(keys[order], own[order])
+            sets, offsets = _sets(raw, at, shingle)
+            sizes = np.diff(offsets)
+            node = C.run_hashes(sets, offsets[:-1], offsets[1:]).view(np.int64)
+            by = np.lexsort((ids[row:end], node))
+            by = by[sizes[by] > 0]
+            first = np.ones(len(by), bool)
+            first[1:] = node[by][1:] != node[by][:-1]
+            lead = by[first]
+            same, to = by[~first], lead[np.cumsum(first) - 1][~first]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            rank = np.zeros(len(sets), np.int8)
+            if len(common):
+                at_ = np.minimum(np.searchsorted(common, sets), len(common) - 1)
+                rank = np.where(common[at_] == sets, often[at_], 0)
+            order = np.lexsort((sets, rank, doc))
+            pos = np.arange(len(sets)) - offsets[:-1][doc]
+            prefix = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+            chosen = np.zeros(len(sizes), bool)
+            chosen[lead] = True
+            use = chosen[doc] & (pos < prefix[doc])
+            d, k = doc[use], int(use.sum())
+            own, m = ids[row:end], len(same)
+            both = lambda x, y: np.concatenate([x, y])
+            yield {
+                "mark": both(sets[order][use].view(np.int64), C.mixed(own[same].astype(np.uint64)).view(np.int64)),
+                "node": both(node[d], node[same]),
+                "id": both(own[d], own[same]),
+                "n": both(sizes[d], sizes[same]).astype(np.int32),
+                "pos": both(pos[use], np.full(m, -1)).astype(np.int32),
+                "rep": pa.array(both(np.zeros(k, np.int64), own[to]), mask=np.arange(k + m) < k),
+            }
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[list[int], list[int]] | None = None  # key and identifier of the first of the mark, and of the sketch
+        held: list[np.ndarray] | None = None  # of the last mark the first row and the last one, and whether they are out
         for batch in batches:
-            keys, ids, there = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
-            made = np.asarray(there.is_valid())
-            done = [np.stack([ids[made], np.asarray(there.drop_null())], 1)]
-            keys, ids = keys[~made], ids[~made]
-            if len(keys):
-                if last is not None and last[0][0] >> SKETCH_BITS == keys[0] >> SKETCH_BITS:
-                    keys, ids = np.concatenate([last[0], keys]), np.concatenate([last[1], ids])
-                first, a, b = _meet(keys, ids)
-                done.append(np.stack([a, b], 1))
-                of_mark, of_sketch = np.flatnonzero(first)[-1], np.searchsorted(keys, keys[-1])
-                last = [keys[of_mark], keys[of_sketch]], [ids[of_mark], ids[of_sketch]]
-            out = np.concatenate(done)
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-    marked = C.in_arrow(C.texts(df, id_col, text_col), work, "mark long, a long, b long")
-    dealt = marked.repartition(C.partitions(df), F.shiftrightunsigned("mark", SKETCH_BITS)).sortWithinPartitions("mark", "a")
-    met = dealt.mapInArrow(meet, "a long, b long")
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            made = np.asarray(batch.column(5).is_valid())
+            links = np.stack([np.asarray(batch.column(2))[made], np.asarray(batch.column(5).drop_null())], 1)
+            rows = [np.asarray(batch.column(k))[~made] for k in range(5)]
+            rows.append(np.zeros(len(rows[0]), bool))
+            if len(rows[0]):
+                rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                mark, node, id_, _, pos, _ = rows
+                first, new = np.ones(len(mark), bool), np.ones(len(mark), bool)
+                first[1:] = mark[1:] != mark[:-1]
+                new[1:] = first[1:] | (node[1:] != node[:-1])
+                again = ~new & (pos == 0)  # of equal sets each has its first shingle once
+                links = np.concatenate([links, np.stack([id_[again], id_[np.flatnonzero(new)[np.cumsum(new) - 1]][again]], 1)])
+                rows = [x[new] for x in rows]
+                first = first[new]
+                group = np.cumsum(first) - 1
+                rep = rows[2][np.flatnonzero(first)][group]
+                out = (np.bincount(group)[group] > 1) & ~rows[5]
+                last = np.flatnonzero(first)[-1]
+                keep = [last] if last == len(first) - 1 else [last, len(first) - 1]
+                held = [x[keep] for x in rows[:5]] + [np.full(len(keep), len(keep) > 1)]
+                if out.any():
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows[:5]), pa.array(rep[out])], names)
+            if len(links):
+                none = pa.nulls(len(links), pa.int64())
+                few = pa.array(np.zeros(len(links), np.int32))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy())], names)
+
+    schema = "mark long, node long, id long, n int, pos int, rep long"
+    marked = C.in_arrow(C.texts(df, id_col, text_col), work, schema)
+    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema)
+
+
+def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) with the components of all pairs of at least this similarity.
+
+    Each set is first tried against the first of its marks, which joins most of a large group. Then every pair that
+    shares a mark and isn't in one component by that is tried, so what the first tries leave apart is never lost.
+    """
+    stored = C.durable(prefix_marks(df, id_col, text_col, shingle, similarity))
+    equal = stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    marks = stored.filter("mark is not null")
+    heads = marks.filter("id <> rep").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+    stars = C.durable(verified(heads, df, id_col, text_col, shingle, similarity))
+    found = components(stars).toDF("id", "component")
+    placed = C.durable(marks.select("mark", "id", "n", "pos").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = placed.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("mark")
+    one = placed.join(mixed, "mark", "left_semi")
+    two = one.toDF("mark2", "id2", "n2", "pos2", "component2")
+    # the sizes, and what can still follow the shared shingle where it is the first, must allow the similarity
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    fits = (1 + similarity) * rest >= similarity * (F.col("n") + F.col("n2")) - 1e-6
+    apart = one.join(two, (F.col("mark") == F.col("mark2")) & (F.col("id") > F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
+    pairs = apart.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
+    return equal.union(stars).union(verified(C.durable(pairs), df, id_col, text_col, shingle, similarity))
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -254,12 +297,10 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the documents that have a near duplicate: five-word shingles, similarity 0.8 or more.
 
-    At that similarity a 64-bit fingerprint differs in about ten bits, too many for any grid. So TABLES independent
-    SimHashes of TABLE_BITS bits give the candidates, each within 2 bits, and the Jaccard similarity of the shingle sets
-    decides. Empty texts are no one's duplicate here.
+    At that similarity a 64-bit fingerprint differs in about ten bits, too many for any grid. So the candidates come from an
+    exact prefix filter over the shingle sets, and the Jaccard similarity decides. Empty texts are no one's duplicate here.
     """
-    pairs = C.durable(candidate_pairs(df, id_col, text_col, shingle))
-    return components(verified(pairs, df, id_col, text_col, shingle, similarity))
+    return components(linked(df, id_col, text_col, shingle, similarity))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

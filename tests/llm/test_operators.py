@@ -382,3 +382,32 @@ def test_context_tree(spark, docs, empty, texts):
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in tokens), rel_tol=1e-9)
         assert math.isclose(r.score, slow[k], rel_tol=1e-8)
     assert context_tree.score_documents(empty).count() == 0
+
+
+def _near_classes(spark, rows):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {k: shingles(t) for k, t in rows}
+    close = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {x: x for p in close for x in p}
+    for _ in want:
+        for a, b in close:
+            want[a] = want[b] = min(want[a], want[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    return close, want, {r.node: r.component for r in simhash.near_duplicates(frame).collect()}
+
+
+@pytest.mark.parametrize("common", [64, 3])
+def test_near_duplicates_of_one_template(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON_FROM", common)
+    rnd = random.Random(23)
+    base, rows = _prose(rnd, 160).split(), []
+    for k in range(150):  # chains: a document is near some of the template's others, but seldom near the first
+        words = (rows[rnd.randrange(k)][1].split() if k % 20 else base).copy()
+        for _ in range(rnd.randint(1, 3)):
+            words[rnd.randrange(160)] = _prose(rnd, 1, "xyz")
+        rows.append((k, " ".join(words)))
+    close, want, got = _near_classes(spark, rows)
+    assert len(close) > 100 and got == want
