@@ -411,3 +411,12 @@ def test_near_duplicates_of_one_template(spark, monkeypatch, common):
         rows.append((k, " ".join(words)))
     close, want, got = _near_classes(spark, rows)
     assert len(close) > 100 and got == want
+
+
+def test_near_duplicates_with_a_repeated_phrase(spark):
+    rnd, rows = random.Random(29), []
+    for k in range(0, 40, 2):
+        text, phrase = _prose(rnd, 300), _prose(rnd, 14)
+        rows += [(k, text + " " + phrase), (k + 1, text + " " + " ".join([phrase] * 20))]
+    close, want, got = _near_classes(spark, rows)
+    assert len(close) == 20 and got == want
