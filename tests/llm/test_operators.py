@@ -420,3 +420,12 @@ def test_near_duplicates_with_a_repeated_phrase(spark):
         rows += [(k, text + " " + phrase), (k + 1, text + " " + " ".join([phrase] * 20))]
     close, want, got = _near_classes(spark, rows)
     assert len(close) == 20 and got == want
+
+
+def test_near_duplicates_at_the_bound(spark):
+    rnd, rows = random.Random(31), []
+    for k in range(0, 400, 2):  # 36 shingles each, 32 of them shared: exactly 0.8
+        words = _prose(rnd, 40).split()
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:36], *_prose(rnd, 4, "xyz").split()]))]
+    close, want, got = _near_classes(spark, rows)
+    assert len(close) == 200 and got == want
