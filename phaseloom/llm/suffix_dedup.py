@@ -8,8 +8,9 @@ before it, and a match is extended left and right word by word, up to WINDOW - 1
 the next retained suffix. The first occurrence in (document, position) order has no earlier neighbour and stays.
 
 So every repeat of 50 words or more is found whatever its number of copies, and a repeat of SEED to 49 words if its suffix
-was retained. Work is linear: a suffix meets one neighbour, not all copies. Within an Arrow batch neighbours are matched
-at once and only the first of each seed is shuffled, so a passage in a third of all documents sends one row a batch.
+was retained. A suffix meets the first of each context, not all copies. Within an Arrow batch suffixes are matched at once
+and only the first of each seed and context is shuffled, so the inner suffixes of a passage in a third of all documents
+send one row a batch.
 
 Null and empty texts and texts under 50 words have no spans. Of repeated rows the later ones are spans as a whole; rows
 that share an identifier are told apart by position only. An empty table gives an empty result.
@@ -62,16 +63,50 @@ def retained(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc, pick - words.at[:-1][doc], seeds[pick], near
 
 
-def extend(ids: np.ndarray, pos: np.ndarray, near: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(id, start, end, id of the earlier one) of suffixes a, each with its match to the earlier b extended."""
-    same = (near[a] == near[b]) & (near[a] != 0)
-    left = np.cumprod(same[:, :_SIDE], axis=1).sum(1)
-    right = np.cumprod(same[:, _SIDE:], axis=1).sum(1)
-    start, end = pos[a] - left, pos[a] + SEED + right
-    own = ids[a] == ids[b]  # an overlap with itself: the earlier occurrence stays whole
-    start = np.where(own, np.maximum(start, pos[b] + SEED + right), start)
-    spans = np.stack([ids[a], start, end, ids[b]], 1)[end > start]
-    return merged(spans)
+def matched(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes sorted by (seed, id, pos): (id, start, end, id of an earlier one) of their longest matches; which to keep.
+
+    On each side those with a seed and its next d words in common are one group, and any but the first of it has an earlier
+    suffix with d words more. So each side gets the longest match to any earlier suffix. To be kept are the first of any
+    group; no other adds a match for those to come. The first ``old`` suffixes have their spans already.
+    """
+    keep, new = np.ones(len(seeds), bool), np.ones(len(seeds), bool)
+    new[1:] = seeds[1:] != seeds[:-1]
+    run = np.cumsum(new) - 1
+    rows = np.flatnonzero(np.bincount(run)[run] > 1) if len(seeds) else run
+    lead = np.flatnonzero(new)[run]
+    keep[rows] = new[rows]
+    spans, best = [], []
+
+    def own(a: np.ndarray, b: np.ndarray, left: int, right: int) -> None:
+        """An overlap with itself: the earlier occurrence stays whole."""
+        start = np.maximum(pos[a] - left, pos[b] + SEED + right)
+        spans.append(np.stack([ids[a], start, pos[a] + SEED + right, ids[b]], 1)[(pos[a] + SEED + right > start) & (a >= old)])
+
+    later = rows[~new[rows]]
+    foreign = later[ids[later] != ids[lead[later]]]
+    self_ = later[ids[later] == ids[lead[later]]]
+    own(self_, lead[self_], 0, 0)
+    for side in (0, 1):
+        depth, at, key = np.zeros(len(seeds), np.int64), rows, seeds[rows].view(np.uint64)
+        for d in range(1, _SIDE + 1):
+            word = near[at, side * _SIDE + d - 1].astype(np.uint64)
+            at, key = at[word != 0], C.mixed(key + word * np.uint64(0x9E3779B97F4A7C15))[word != 0]
+            if not len(at):
+                break
+            _, first, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            head = at[first[group]]
+            keep[at[head == at]] = True
+            other = head != at
+            a, b = at[other], head[other]
+            same = ids[a] == ids[b]
+            own(a[same], b[same], d * (side == 0), d * (side == 1))
+            depth[a[~same]] = d
+            at, key = at[n[group] > 1], key[n[group] > 1]
+        best.append(depth)
+    foreign = foreign[foreign >= old]
+    spans.append(np.stack([ids[foreign], pos[foreign] - best[0][foreign], pos[foreign] + SEED + best[1][foreign], ids[lead[foreign]]], 1))
+    return merged(np.concatenate(spans)), keep
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -109,7 +144,7 @@ def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray,
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retain suffixes; match neighbours within the batch; give the first of each seed and the spans."""
+    """Retain suffixes; match them within the batch; give the first of each seed and context, and the spans."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
         parts = [(ids[row:end][doc], pos, seeds, near) for row, end, raw, at in C.chunks(batch.column(1)) for doc, pos, seeds, near in [retained(raw, at)]]
@@ -118,14 +153,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((pos, own, seeds))
         own, pos, seeds, near = own[order], pos[order], seeds[order], near[order]
-        first = np.ones(len(seeds), bool)
-        first[1:] = seeds[1:] != seeds[:-1]
-        later = np.flatnonzero(~first)
-        yield _rows(seeds[first], own[first], pos[first], near[first], extend(own, pos, near, later, later - 1))
+        spans, keep = matched(seeds, own, pos, near)
+        yield _rows(seeds[keep], own[keep], pos[keep], near[keep], spans)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Match neighbours of the sorted suffixes, also across batches; pass finished spans on."""
+    """Match the sorted suffixes, also across batches; pass finished spans on."""
     last = None
     for batch in batches:
         done = np.asarray(batch.column(3).is_valid())
@@ -134,10 +167,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not done.all():
             near = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint16).reshape(-1, 2 * _SIDE)
             now = seeds[~done], ids[~done], pos[~done], near
-            seeds, ids, pos, near = now if last is None else (np.concatenate(x) for x in zip(last, now, strict=True))
-            last = seeds[-1:], ids[-1:], pos[-1:], near[-1:]
-            later = np.flatnonzero(seeds[1:] == seeds[:-1]) + 1
-            spans.append(extend(ids, pos, near, later, later - 1))
+            old = 0 if last is None else len(last[0])
+            now = now if last is None else tuple(np.concatenate(x) for x in zip(last, now, strict=True))
+            made, keep = matched(*now, old)
+            spans.append(made)
+            keep &= now[0] == now[0][-1]
+            last = tuple(x[keep] for x in now)
         found = merged(np.concatenate(spans))
         if len(found):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["id", "start", "end", "source"])

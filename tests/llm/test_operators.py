@@ -429,3 +429,26 @@ def test_near_duplicates_at_the_bound(spark):
         rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:36], *_prose(rnd, 4, "xyz").split()]))]
     close, want, got = _near_classes(spark, rows)
     assert len(close) == 200 and got == want
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_suffix_dedup_of_variants(spark, parts):
+    rnd = random.Random(37)
+    notice, rows = _prose(rnd, 70).split(), []
+    for k in range(60):  # variants of a notice among exact copies
+        own = notice.copy()
+        for at in (rnd.sample(range(70), k % 3)):
+            own[at] = rnd.choice("XYZ")
+        rows.append((k, " ".join([*_prose(rnd, 30).split(), *own, *_prose(rnd, 30).split()])))
+    covered = collections.defaultdict(set)
+    for r in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect():
+        covered[r.doc_id].update(range(r.start_word, r.end_word))
+    seen, wanted, forty = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for k, text in rows:
+        words = text.split()
+        for n, to in ((50, wanted), (40, forty)):
+            for i in range(len(words) - n + 1):
+                window = tuple(words[i : i + n])
+                if seen.setdefault(window, k) != k:
+                    to[k].update(range(i, i + n))
+    assert wanted and all(wanted[k] <= covered[k] <= forty[k] for k, _ in rows)
