@@ -452,3 +452,11 @@ def test_suffix_dedup_of_variants(spark, parts):
                 if seen.setdefault(window, k) != k:
                     to[k].update(range(i, i + n))
     assert wanted and all(wanted[k] <= covered[k] <= forty[k] for k, _ in rows)
+
+
+def test_quality_model_thresholds_of_a_small_language(spark):
+    rnd = random.Random(41)
+    rows = [(k, _prose(rnd, 20, "ab"), "en") for k in range(1500)] + [(9000 + k, _prose(rnd, 60, "opqrstuvwxyz"), "xx") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1, 0) for k, *_ in rows], "doc_id long, quality int, toxic int")
+    found = _by_id(quality_model.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, trusted=20))
+    assert found[9000].threshold > 2 * found[0].threshold and sum(found[k].kept for k in range(9000, 9040)) >= 38
