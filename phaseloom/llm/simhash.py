@@ -168,11 +168,12 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(mark, node, id, n, pos, rep) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
+    """(mark, node, id, n, pos, rep, fits) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
 
     The shingles of a set stand in one order for all documents: common ones last, else by hash. Two sets of at least this
     similarity have one in common among the first n - ceil(similarity * n) + 1 of each, so no pair is missed. ``node`` is a
-    hash of the set, ``rep`` the first set of the mark. Equal sets count once; rows without a mark link (id, rep) such.
+    hash of the set, ``rep`` the first set of the mark, ``fits`` whether the sizes, and what can follow the mark where it is the first that
+    the two share, allow the similarity. Equal sets count once; rows without a mark link (id, rep) such.
     """
     common, often = common_shingles(df, id_col, text_col, shingle)
     names = ["mark", "node", "id", "n", "pos", "rep"]
@@ -230,21 +231,22 @@ def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, simila
                 rows = [x[new] for x in rows]
                 first = first[new]
                 group = np.cumsum(first) - 1
-                rep = rows[2][np.flatnonzero(first)][group]
+                rep, rep_n, rep_pos = (rows[k][np.flatnonzero(first)][group] for k in (2, 3, 4))
+                fits = (1 + similarity) * np.minimum(rows[3] - rows[4], rep_n - rep_pos) >= similarity * (rows[3] + rep_n) - 1e-6
                 out = (np.bincount(group)[group] > 1) & ~rows[5]
                 last = np.flatnonzero(first)[-1]
                 keep = [last] if last == len(first) - 1 else [last, len(first) - 1]
                 held = [x[keep] for x in rows[:5]] + [np.full(len(keep), len(keep) > 1)]
                 if out.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows[:5]), pa.array(rep[out])], names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows[:5]), pa.array(rep[out]), pa.array(fits[out])], [*names, "fits"])
             if len(links):
                 none = pa.nulls(len(links), pa.int64())
                 few = pa.array(np.zeros(len(links), np.int32))
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy())], names)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy()), pa.array(np.ones(len(links), bool))], [*names, "fits"])
 
     schema = "mark long, node long, id long, n int, pos int, rep long"
     marked = C.in_arrow(C.texts(df, id_col, text_col), work, schema)
-    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema)
+    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema + ", fits boolean")
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -256,7 +258,7 @@ def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     stored = C.durable(prefix_marks(df, id_col, text_col, shingle, similarity))
     equal = stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     marks = stored.filter("mark is not null")
-    heads = marks.filter("id <> rep").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+    heads = marks.filter("id <> rep and fits").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
     stars = C.durable(verified(heads, df, id_col, text_col, shingle, similarity))
     found = components(stars).toDF("id", "component")
     placed = C.durable(marks.select("mark", "id", "n", "pos").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
