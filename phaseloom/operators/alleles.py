@@ -35,7 +35,8 @@ def length_chain(sig: DataFrame, by: list[str], ratio: float = Params.len_ratio)
     return sig.join(found, [*by, "len"])
 
 
-def _interval(std: Column, n: Column) -> Column:
+def interval(std: Column, n: Column) -> Column:
+    """Text of the 95 % interval of a mean."""
     x = F.floor(1.96 * std / F.sqrt(n)).cast("long").cast("string")
     return F.concat(F.lit("-"), x, F.lit(","), x)
 
@@ -60,7 +61,7 @@ def allele_stats(chained: DataFrame, by: list[str], mode: str = "germline") -> D
     else:
         reach = 1.5 * (F.col("q3") - F.col("q1"))
         fence = F.greatest(F.col("q1") - reach, "min_len"), F.least(F.col("q3") + reach, "max_len")
-    return got.select("*", fence[0].alias("fence_low"), fence[1].alias("fence_high"), _interval(F.col("std_pos"), F.col("n_signals")).alias("cipos"), _interval(F.col("std_len"), F.col("n_signals")).alias("cilen")).drop("q1", "q3")
+    return got.select("*", fence[0].alias("fence_low"), fence[1].alias("fence_high"), interval(F.col("std_pos"), F.col("n_signals")).alias("cipos"), interval(F.col("std_len"), F.col("n_signals")).alias("cilen")).drop("q1", "q3")
 
 
 def _second_chain(clusters: DataFrame, by: list[str], gap: int, *ties: str) -> DataFrame:
@@ -75,6 +76,11 @@ def _once(chained: DataFrame, by: list[str], *ties: str) -> DataFrame:
     return chained.withColumn("turn", F.row_number().over(Window.partitionBy(*by, "allele", "read_name").orderBy("pos2", *ties)))
 
 
+def allele_support(clusters: DataFrame, by: list[str], gap: int, *ties: str) -> DataFrame:
+    """(by, allele, read_name, hp): each read once in each allele that the second breakpoint makes."""
+    return _once(_second_chain(clusters, by, gap, *ties), by, *ties).filter("turn = 1").select(*by, F.col("allele").cast("int").alias("allele"), "read_name", "hp")
+
+
 def _reads_by_hp() -> list[Column]:
     return [F.count_if((F.col("turn") == 1) & (F.col("hp") == h)).cast("int").alias(f"s{h}") for h in (0, 1, 2)]
 
@@ -97,8 +103,8 @@ def dup_alleles(clusters: DataFrame, by: list[str], p: Params = Params()) -> Dat
     return made.filter((F.col("n_reads") >= p.min_support) & _within(F.col("bp2") - F.col("bp1"), p))
 
 
-def inv_alleles(clusters: DataFrame, by: list[str], p: Params = Params()) -> DataFrame:
-    """Breakpoints are means rounded half to even; ``strand`` is that of the first signal."""
+def inv_alleles(clusters: DataFrame, by: list[str], p: Params = Params(), least: Column | None = None) -> DataFrame:
+    """Breakpoints are means rounded half to even; ``strand`` is that of the first signal. ``least``: support of a cluster, over ``by``."""
     ties = ("pos", "strand", "read_name")
     chained = _once(_second_chain(clusters, by, p.gap_dup_inv, *ties), by, *ties)
     made = chained.groupBy(*by, "chrom", "allele").agg(
@@ -108,7 +114,8 @@ def inv_alleles(clusters: DataFrame, by: list[str], p: Params = Params()) -> Dat
         F.min(F.struct("pos", "pos2", "strand")).alias("first"),
         *_reads_by_hp(),
     )
-    kept = made.filter((F.col("n_signals") >= p.min_support) & (F.col("n_reads") >= p.min_support) & _within(F.col("bp2") - F.col("bp1"), p))
+    enough = F.lit(p.min_support) if least is None else least
+    kept = made.filter((F.col("n_signals") >= enough) & (F.col("n_reads") >= enough) & _within(F.col("bp2") - F.col("bp1"), p))
     return kept.withColumn("strand", F.col("first.strand")).drop("first")
 
 

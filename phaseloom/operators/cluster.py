@@ -47,10 +47,22 @@ def inv_clusters(sig: DataFrame, gap: int = Params.gap_dup_inv, min_support: int
     return _supported(_named(islands(sig, ["svtype", "chrom"], ["pos", "pos2", "strand", "read_name", "hp"], breaks), "svtype", "chrom"), min_support)
 
 
-def tra_clusters(sig: DataFrame, gap: int = Params.gap_tra, min_signals: int = 2) -> DataFrame:
-    """Translocations of one pair of chromosomes and one type chained by the first breakpoint."""
+def tra_clusters(sig: DataFrame, gap: int = Params.gap_tra, min_signals: int = 2, last_needs: int | None = None) -> DataFrame:
+    """Translocations of one pair of chromosomes and one type chained by the first breakpoint.
+
+    ``last_needs`` (mosaic): signals that the last cluster of every partner chromosome but the last one needs.
+    """
     keys = ["svtype", "chrom", "chrom2", "bnd_type"]
-    return _supported(_named(islands(sig, keys, ["pos", "pos2", "read_name", "hp"], lambda a, b: b["pos"] - a["pos"] > gap), *keys), min_signals)
+    made = islands(sig, keys, ["pos", "pos2", "read_name", "hp"], lambda a, b: b["pos"] - a["pos"] > gap)
+    if last_needs is None:
+        return _supported(_named(made, *keys), min_signals)
+    sizes = made.groupBy(*keys, "cluster_no").agg(F.count(F.lit(1)).alias("_n"))
+    ends = sizes.groupBy("svtype", "chrom", "chrom2").agg(F.max(F.struct("bnd_type", "cluster_no")).alias("_end"))
+    final = ends.groupBy("svtype", "chrom").agg(F.max("chrom2").alias("_final"))
+    told = sizes.join(ends, ["svtype", "chrom", "chrom2"]).join(final, ["svtype", "chrom"])
+    at_end = (F.col("_end") == F.struct("bnd_type", "cluster_no")) & (F.col("chrom2") != F.col("_final"))
+    kept = told.filter(F.col("_n") >= F.when(at_end, last_needs).otherwise(min_signals)).select(*keys, "cluster_no")
+    return _named(made.join(kept, [*keys, "cluster_no"], "left_semi"), *keys)
 
 
 def cluster_windows(clusters: DataFrame, gap: int, by: str = "indel") -> DataFrame:

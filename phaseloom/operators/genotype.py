@@ -57,7 +57,7 @@ def upgrade_unphased(gt: Column, dv: Column, dr: Column, h1: Column, h2: Column)
 
 
 def resolve_same_position(calls: DataFrame) -> DataFrame:
-    """Where a haplotype has several alleles at one place: the first 1|1 alone stays, or those several become undecided."""
+    """Where a haplotype has several alleles at one place: of its 1|1 only the first stays, or, without any, those several become undecided."""
     w = Window.partitionBy("win_id", "pos")
     has = lambda k: F.count_if(F.substring("gt", k, 1) == "1").over(w)
     many = (has(1) > 1) | (has(3) > 1)
@@ -67,7 +67,7 @@ def resolve_same_position(calls: DataFrame) -> DataFrame:
     first, second = ("1|0", "1|."), ("0|1", ".|1")
     lost = F.when(only(first) > 1, F.col("gt").isin(*first)).otherwise((only(second) > 1) & F.col("gt").isin(*second))
     told = calls.select("*", many.alias("_many"), both.alias("_both"), turn.alias("_turn"), lost.alias("_lost"))
-    kept = told.filter(~F.col("_many") | (F.col("_both") == 0) | (F.col("_turn") == 1))
+    kept = told.filter(~F.col("_many") | (F.col("gt") != "1|1") | (F.col("_turn") == 1))
     gt = F.when(F.col("_many") & (F.col("_both") == 0) & F.col("_lost"), ".|.").otherwise(F.col("gt"))
     return kept.withColumn("gt", gt).drop("_many", "_both", "_turn", "_lost")
 

@@ -102,11 +102,11 @@ def segment(ops: Column, ref_start: Column, chrom: Column, strand: Column) -> Co
     return F.struct(left.alias("read_start"), (left + S.query_span(ops)).alias("read_end"), ref_start.alias("ref_start"), (ref_start + S.reference_span(ops)).alias("ref_end"), chrom.alias("chrom"), strand.alias("strand"))
 
 
-def split_segments(df: DataFrame, p: Params = Params(), sa_zero_based: bool = False) -> DataFrame:
+def split_segments(df: DataFrame, p: Params = Params(), sa_zero_based: bool = False, bases: bool = False) -> DataFrame:
     """Primary rows with supplementary alignments as ``segs``, in read order; ``read_len`` for flipping.
 
     Where the primary is mapped well all entries count, else those that are. Entries keep their start as given, unless
-    ``sa_zero_based``.
+    ``sa_zero_based``. ``bases`` keeps ``query_seq``, in which insertions are read.
     """
     rows = df.filter(F.col("flag").isin(0, 16) & F.col("sa").isNotNull() & (F.col("query_len") >= p.min_read_len))
     ops = S.parse_cigar(F.col("cigar"))
@@ -117,7 +117,8 @@ def split_segments(df: DataFrame, p: Params = Params(), sa_zero_based: bool = Fa
     more = F.transform(parts, lambda x: segment(S.parse_cigar(x[3]), x[1].cast("long") - (1 if sa_zero_based else 0), x[0], x[2]))
     segs = F.concat(F.when(good, F.array(own)).otherwise(F.array().cast("array<struct<read_start:bigint,read_end:bigint,ref_start:bigint,ref_end:bigint,chrom:string,strand:string>>")), more)
     read_len = F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["op"].isin("M", "I", "S", "H", "=", "X"), x["len"]).otherwise(0))
-    return rows.select("read_name", "hp", F.array_sort(segs).alias("segs"), read_len.alias("read_len")).filter(F.size("segs") > 0)
+    kept = ["query_seq"] if bases else []
+    return rows.select("read_name", "hp", F.array_sort(segs).alias("segs"), read_len.alias("read_len"), *kept).filter(F.size("segs") > 0)
 
 
 def clip_points(split: DataFrame) -> DataFrame:

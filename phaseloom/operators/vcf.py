@@ -77,4 +77,5 @@ def number_calls(calls: DataFrame) -> DataFrame:
     counts = calls.groupBy("svtype", "chrom").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("svtype").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbered = calls.withColumn("_k", F.row_number().over(inside) - 1).join(counts.select("svtype", "chrom", before.alias("_before")), ["svtype", "chrom"])
-    return numbered.withColumn("id", F.concat("svtype", (F.col("_k") + F.col("_before")).cast("string"))).drop("_k", "_before")
+    kind = F.when(F.col("svtype") == "TRA", "BND").otherwise(F.col("svtype"))
+    return numbered.withColumn("id", F.concat(kind, (F.col("_k") + F.col("_before")).cast("string"))).drop("_k", "_before")

@@ -1,36 +1,53 @@
-"""End-to-end jobs: signals from alignments, and germline deletions with genotypes."""
+"""End-to-end jobs: signals from alignments, germline and mosaic calls of all types, and their VCF.
+
+Tables that several steps read are written to the session's shared folder while a job is put together (see io.stored), so
+building a result runs jobs; io.discard() deletes what a job left there once its result has been read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import parse_cigar, reference_span
 from ..operators import alleles as A
 from ..operators import cluster as C
 from ..operators import genotype as G
 from ..operators import intervals as J
 from ..operators import phase as D
 from ..operators import reads as P
+from ..operators import resolve as R
 from ..operators import signals as U
 from ..operators import split as X
 from ..operators import vcf as V
+from ..operators.allele_dp import allele_dp
 from ..params import Params
+from ..sources import io
 from ..sources.io import stored
 
+#: Columns of a call; those that a type lacks are null.
+CALL = {
+    "call_id": "string", "chrom": "string", "svtype": "string", "pos": "long", "svlen": "long", "chrom2": "string", "pos2": "long", "alt": "string", "strand": "string", "dv": "int", "dr": "int",
+    "gt": "string", "pl": "string", "gq": "int", "qual": "double", "cipos": "string", "cilen": "string", "ins_seq": "string",
+}
+#: Length from which a mosaic deletion or insertion takes clipped reads.
+MOSAIC_CLIPS = 2000
+
 
 def extract_signatures(alignments: DataFrame, bed: DataFrame | None = None, p: Params = Params()) -> dict[str, DataFrame]:
-    """``sig`` (all five types), ``clips`` and ``reads`` of an alignment table."""
+    """``sig`` (all five types, with the bases of insertions), ``clips`` and ``reads`` of an alignment table."""
     kept = P.filter_alignments(alignments)
     if bed is not None:
-        from ..functions.sequence import parse_cigar, reference_span
-
         kept = P.restrict_to_bed(kept.withColumn("ref_end", F.col("ref_start") + reference_span(parse_cigar(F.col("cigar")))), bed).drop("ref_end")
-    split = stored(P.split_segments(kept, p))  # several rules read it; most reads have no split
+    split = stored(P.split_segments(kept, p, bases=True))  # several rules read it; most reads have no split
     far = stored(X.split_signals(split, p))
-    columns = ["svtype", "chrom", "pos", "len", "pos2", "chrom2", "strand", "bnd_type", "read_name", "hp"]
-    near = P.merge_in_read(P.signal_arrays(kept, p), p).withColumn("pos", F.col("pos").cast("double"))
+    columns = ["svtype", "chrom", "pos", "len", "pos2", "chrom2", "strand", "bnd_type", "read_name", "hp", "ins_seq"]
+    near = P.merge_in_read(P.signal_arrays(kept, p), p).withColumn("pos", F.col("pos").cast("double")).withColumnRenamed("bases", "ins_seq")
     blank = {c: F.lit(None).cast(t) for c, t in (("pos2", "long"), ("chrom2", "string"), ("strand", "string"), ("bnd_type", "string"))}
-    sig = U.dedup_signals(U.union_signals(near.withColumns(blank).select(*columns, "bases"), far.filter("svtype <> 'CLIP'").select(*columns)))
+    # only insertions need the read's bases again: a join of the few of them
+    inserted = far.filter("svtype = 'INS'").join(split.select("read_name", "query_seq"), "read_name").withColumn("ins_seq", X.insert_bases(F.col("query_seq"), F.col("query_pos"), F.col("len"), F.col("minus")))
+    others = far.filter("svtype not in ('CLIP', 'INS')").withColumn("ins_seq", F.lit(None).cast("string"))
+    sig = U.dedup_signals(U.union_signals(near.withColumns(blank).select(*columns), inserted.select(*columns), others.select(*columns)))
     edges = far.filter("svtype = 'CLIP'").select("chrom", "read_name", "side", F.col("pos").cast("long").alias("pos"), "hp")
     clips = P.clip_points(split).unionByName(P.plain_clip_points(kept, p.min_mapq)).unionByName(edges)
     return {"sig": sig, "clips": clips, "reads": P.reads_table(kept, p.min_mapq)}
@@ -45,24 +62,313 @@ def counted(windows: DataFrame, support: DataFrame, reads: DataFrame) -> DataFra
     return for_.join(against, "win_id", "left").select("win_id", "dv", "s1", "s2", *zero)
 
 
-def germline_deletions(sig: DataFrame, reads: DataFrame, p: Params = Params()) -> DataFrame:
-    """Which deletions, in which genotype: alleles by haplotype where a cluster is balanced, pooled elsewhere."""
-    clusters = C.indel_clusters(sig, p.gap_indel)
-    clusters = clusters.join(C.keep_indel_clusters(clusters, min_support=p.min_support).select("win_id"), "win_id", "left_semi")
+def _against(calls: DataFrame, found: DataFrame, support: DataFrame) -> DataFrame:
+    """``calls`` with dr, r1 and r2: reads found (win_id for call_id, read_name, hp) that don't support the call."""
+    rest = J.reference_reads(found, support.select(F.col("call_id").alias("win_id"), "read_name"))
+    joined = calls.join(rest.withColumnRenamed("win_id", "call_id"), "call_id", "left")
+    return joined.select(*calls.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("dr", "r1", "r2")))
+
+
+def _windows(calls: DataFrame, start: Column, end: Column) -> DataFrame:
+    return calls.select(F.col("call_id").alias("win_id"), "chrom", start.cast("long").alias("w_start"), end.cast("long").alias("w_end"))
+
+
+def _as_calls(df: DataFrame) -> DataFrame:
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in CALL.items()))
+
+
+def route_indels(clusters: DataFrame, reads: DataFrame, p: Params, mode: str) -> DataFrame:
+    """(win_id, svtype, chrom, n_signals, least, route) of each cluster."""
     hist = J.haplotype_histogram(C.cluster_windows(clusters, p.gap_indel), reads)
-    depth = F.col("h0") + F.col("h1") + F.col("h2")
-    told = hist.select("win_id", D.is_balanced(F.col("h0"), F.col("h1"), F.col("h2"), "DEL").alias("balanced"), D.min_support_by_depth(depth, "DEL").alias("least"))
-    grouped = clusters.join(told, "win_id").withColumn("side", F.when(F.col("balanced"), F.col("hp")).otherwise(-1))
-    chained = A.length_chain(grouped, ["win_id", "side"], p.len_ratio)
-    chained = stored(chained)
-    stats = A.allele_stats(chained, ["win_id", "side"]).join(told, "win_id").filter((F.col("n_signals") >= F.col("least")) & (F.col("avg_len") >= p.min_size))
-    named = F.concat_ws("/", "win_id", "side", "allele").alias("call_id")
-    calls = stats.select("*", named)
-    at = clusters.select("win_id", "chrom", "svtype").distinct()
-    support = chained.select(named, "read_name", "hp").withColumnRenamed("call_id", "win_id")
-    windows = calls.join(at, "win_id").select(F.col("call_id").alias("win_id"), "chrom", F.col("min_pos").cast("long").alias("w_start"), F.col("max_pos").cast("long").alias("w_end"))
-    counts = G.genotyped(stored(counted(windows, support, reads))).withColumnRenamed("win_id", "call_id")
-    done = calls.join(counts, "call_id").join(at, "win_id")
-    return done.select(
-        "chrom", "svtype", F.floor("avg_pos").alias("pos"), F.floor("avg_len").alias("svlen"), "side", "dv", "dr", "gt", "pl", "gq", "qual", "cipos", "cilen", V.filter_label(F.col("gt"), F.col("qual")).alias("filter")
+    sized = clusters.groupBy("win_id", "svtype", "chrom").agg(F.count(F.lit(1)).alias("n_signals"))
+    h0, h1, h2 = (F.col(f"h{k}") for k in (0, 1, 2))
+    told = hist.join(sized, "win_id").withColumn("balanced", D.is_balanced(h0, h1, h2, "DEL", mode)).withColumn("least", D.min_support_by_depth(h0 + h1 + h2, "DEL", mode, p.min_support))
+    return D.route_clusters(told).select("win_id", "svtype", "chrom", "n_signals", "least", "route")
+
+
+def _routed(clusters: DataFrame, told: DataFrame, route: str) -> DataFrame:
+    return clusters.join(told.filter(F.col("route") == route).select("win_id"), "win_id", "left_semi")
+
+
+def haplotype_alleles(chained: DataFrame, told: DataFrame, p: Params, mode: str) -> DataFrame:
+    """Statistics of the alleles of each haplotype that have enough signals, with ``ins_seq``."""
+    by = ["win_id", "hp"]
+    need = F.col("least") if mode == "germline" else F.when(F.col("hp") == 0, 2 * p.min_support).otherwise(p.min_support)
+    stats = A.allele_stats(chained, by, mode).join(told.select("win_id", "least"), "win_id").filter(F.col("n_signals") >= need).drop("least")
+    if mode != "germline":
+        return stats.withColumn("ins_seq", F.lit("<INS>"))
+    bases = A.insert_sequence(chained.filter("svtype = 'INS'"), by)
+    return stats.join(bases, [*by, "allele"], "left").withColumn("ins_seq", F.coalesce("ins_seq", F.lit("<INS>")))
+
+
+def _balanced_indels(clusters: DataFrame, told: DataFrame, clips: DataFrame, reads: DataFrame, p: Params, mode: str) -> tuple[DataFrame, DataFrame]:
+    germline = mode == "germline"
+    chained = stored(A.length_chain(_routed(clusters, told, "haplotypes"), ["win_id", "hp"], p.len_ratio))
+    need = told.select("win_id", F.col("least") if germline else F.lit(p.min_support).alias("least"))
+    calls, support = R.merge_haplotypes_indel(chained, stored(haplotype_alleles(chained, told, p, mode)), need, p, mode)
+    support = stored(support)
+    calls = stored(R.ranked(calls.join(told.select("win_id", "svtype", "chrom"), "win_id"), F.desc(F.col("s0") + F.col("s1") + F.col("s2")), "turn"))
+    ins, length = F.col("svtype") == "INS", F.floor("size")
+    reach = F.least(F.lit(p.gap_indel), length + 50)
+    seen = lambda at, h: F.when(F.substring("gt", at, 1) == "1", h)
+    asking = calls.select(
+        "call_id",
+        "win_id",
+        "rank",
+        F.when(ins, F.least("min_pos", F.col("pos") - reach)).otherwise(F.col("min_pos")).alias("c_low"),
+        F.when(ins, F.greatest("max_pos", F.col("pos") + reach)).otherwise(F.col("max_pos")).alias("c_high"),
+        ins.alias("both_sides"),
+        F.array_compact(F.array(F.lit(0), seen(1, 1), seen(3, 2))).alias("haplotypes"),
+        (F.lit(True) if germline else length > MOSAIC_CLIPS).alias("rescue"),
+    )
+    more = stored(R.rescue_clips(asking, support, clips))
+    joined = more.groupBy("call_id").agg(*(F.count_if(F.col("hp") == h).cast("int").alias(f"c{h}") for h in (0, 1, 2)))
+    calls = calls.join(joined, "call_id", "left").withColumns({f"s{h}": F.col(f"s{h}") + F.coalesce(f"c{h}", F.lit(0)) for h in (0, 1, 2)}).drop("c0", "c1", "c2")
+    support = support.unionByName(more)
+    at = _windows(calls, F.greatest(F.col("pos") - p.gap_indel, "min_pos"), F.least(F.col("pos") + p.gap_indel, "max_pos"))
+    told_ = _against(calls.withColumn("dv", F.col("s0") + F.col("s1") + F.col("s2")), J.covering_reads(at, reads), support)
+    gt, s1, s2, r1, r2, dv, dr = (F.col(c) for c in ("gt", "s1", "s2", "r1", "r2", "dv", "dr"))
+    up = G.upgrade_unphased(gt, dv, dr, s1, s2)
+    if germline:
+        revised = G.revise_haplotype(gt, s1, s2, r1, r2)
+    else:
+        revised = G.revise_haplotype_mosaic(gt, s1, s2, r1, r2, "DEL")
+        up = F.when((dv / (dv + dr) >= 0.9) | (dr < 2), up).otherwise(gt)
+    done = told_.withColumn("gt", F.when(F.contains(gt, F.lit("1")), revised).otherwise(up)).withColumn("svlen", length)
+    if germline:
+        done = G.resolve_same_position(done.withColumn("allele", F.col("rank")))
+    else:
+        done = done.filter(~F.contains(F.col("gt"), F.lit("1")) & (F.col("svlen") >= p.min_size))
+    return _as_calls(done.drop("dr")), support
+
+
+def _dp_indels(clusters: DataFrame, told: DataFrame, p: Params, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Alleles of the dynamic program as open calls, and their support."""
+    germline = mode == "germline"
+    own = _routed(clusters, told, "dp")
+    members = stored(allele_dp(own))
+    made = members.groupBy("win_id", "allele", "start", "length").agg(
+        F.count(F.lit(1)).cast("int").alias("shown"), F.stddev_pop("pos").alias("std_pos"), F.stddev_pop("len").alias("std_len")
+    )
+    made = made.join(told.select("win_id", "svtype", "chrom", "least"), "win_id")
+    if germline:
+        bases = R.dp_insert_sequence(members.join(told.filter("svtype = 'INS'").select("win_id"), "win_id", "left_semi"), own.filter("svtype = 'INS'"))
+        made = made.filter(F.col("length") >= p.min_size).join(bases, ["win_id", "allele"], "left")
+    else:
+        made = made.withColumns({"ins_len": F.lit(None).cast("long"), "ins_seq": F.lit("<INS>")})
+    call = F.concat_ws("/", "win_id", F.lit("d"), "allele").alias("call_id")
+    support = members.groupBy("win_id", "allele", "read_name").agg(F.min("hp").alias("hp")).select(call, "win_id", "read_name", "hp")
+    reach = F.least(F.lit(p.gap_indel), F.col("length") + 50)
+    order = F.desc("shown") if germline else F.col("shown")
+    open_ = R.ranked(made, order, "allele").select(
+        call,
+        "win_id",
+        "chrom",
+        "svtype",
+        "rank",
+        "least",
+        F.col("start").alias("pos"),
+        F.coalesce("ins_len", "length").alias("svlen"),
+        (F.col("start") - reach).alias("c_low"),
+        (F.col("start") + reach).alias("c_high"),
+        (F.lit(True) if germline else F.col("length") > MOSAIC_CLIPS).alias("rescue"),
+        (F.col("start") - p.gap_indel).alias("w_start"),
+        (F.col("start") + p.gap_indel).alias("w_end"),
+        F.lit(False).alias("tight"),
+        "shown",
+        F.lit(None).cast("int").alias("s1"),  # of the reads, below
+        F.lit(None).cast("int").alias("s2"),
+        A.interval(F.col("std_pos"), F.col("shown")).alias("cipos") if germline else F.lit("./.").alias("cipos"),
+        A.interval(F.col("std_len"), F.col("shown")).alias("cilen") if germline else F.lit("./.").alias("cilen"),
+        F.coalesce("ins_seq", F.lit("<INS>")).alias("ins_seq"),
+    )
+    return open_, support
+
+
+def _pooled_indels(clusters: DataFrame, told: DataFrame, p: Params, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Alleles by length over all haplotypes as open calls, and their support."""
+    germline = mode == "germline"
+    enough = told.filter(F.col("n_signals") >= (F.col("least") if germline else p.min_support))
+    chained = stored(A.length_chain(_routed(clusters, enough, "length_chain"), ["win_id"], p.len_ratio))
+    by = ["win_id", "allele"]
+    edge = chained.groupBy(*by).agg(
+        F.min(F.struct("len", "pos", "read_name"))["pos"].alias("short_pos"),
+        F.max(F.struct("len", "pos", "read_name"))["pos"].alias("long_pos"),
+        *(F.count_if(F.col("hp") == h).cast("int").alias(f"s{h}") for h in (1, 2)),
     )
+    made = A.allele_stats(chained, ["win_id"]).join(edge, by).join(told.select("win_id", "svtype", "chrom", "least"), "win_id")
+    bases = A.insert_sequence(chained.filter("svtype = 'INS'"), ["win_id"]) if germline else None
+    made = made.join(bases, by, "left") if germline else made.withColumn("ins_seq", F.lit("<INS>"))
+    call = F.concat_ws("/", "win_id", F.lit("p"), "allele").alias("call_id")
+    support = chained.groupBy("win_id", "allele", "read_name").agg(F.min("hp").cast("int").alias("hp")).select(call, "win_id", "read_name", "hp")
+    ins, mean, pos = F.col("svtype") == "INS", F.col("avg_pos"), F.floor("avg_pos")
+    low, high = F.col("min_pos").cast("long"), F.col("max_pos").cast("long")
+    start, end = G.search_window(pos, low, high, p.gap_indel)
+    return R.ranked(made, F.desc("n_signals"), "allele").select(
+        call,
+        "win_id",
+        "chrom",
+        "svtype",
+        "rank",
+        "least",
+        pos.alias("pos"),
+        F.floor("avg_len").alias("svlen"),
+        F.when(ins, F.least(F.col("short_pos"), mean - p.gap_indel)).otherwise(F.col("short_pos")).alias("c_low"),
+        F.when(ins, F.greatest(F.col("long_pos"), mean + p.gap_indel)).otherwise(F.col("long_pos")).alias("c_high"),
+        (F.lit(True) if germline else F.col("min_len") > MOSAIC_CLIPS).alias("rescue"),
+        start.alias("w_start"),
+        end.alias("w_end"),
+        ((F.col("std_pos") < 1) & (F.col("std_len") < 1)).alias("tight"),
+        F.col("n_signals").cast("int").alias("shown"),
+        "s1",
+        "s2",
+        "cipos",
+        "cilen",
+        F.coalesce("ins_seq", F.lit("<INS>")).alias("ins_seq"),
+    ), support
+
+
+def _unbalanced_indels(clusters: DataFrame, told: DataFrame, clips: DataFrame, reads: DataFrame, p: Params, mode: str) -> tuple[DataFrame, DataFrame]:
+    germline = mode == "germline"
+    (dp, dp_support), (pooled, pooled_support) = _dp_indels(clusters, told, p, mode), _pooled_indels(clusters, told, p, mode)
+    open_ = stored(dp.unionByName(pooled).withColumn("dp", F.col("call_id").contains("/d/")))
+    support = stored(dp_support.unionByName(pooled_support).join(open_.select("call_id"), "call_id", "left_semi"))
+    asking = open_.select("call_id", "win_id", "rank", "c_low", "c_high", (F.col("svtype") == "INS").alias("both_sides"), F.lit(None).cast("array<int>").alias("haplotypes"), "rescue")
+    more = stored(R.rescue_clips(asking, support, clips))
+    by_read = support.groupBy("call_id").agg(F.count(F.lit(1)).cast("int").alias("reads"), *(F.count_if(F.col("hp") == h).cast("int").alias(f"n{h}") for h in (1, 2)))
+    by_clip = more.groupBy("call_id").agg(F.count(F.lit(1)).cast("int").alias("clipped"))
+    sized = open_.join(by_read, "call_id").join(by_clip, "call_id", "left").withColumn("clipped", F.coalesce("clipped", F.lit(0)))
+    shown = F.when(F.col("dp"), F.col("shown")).otherwise(F.col("shown") + F.col("clipped"))
+    counted_ = sized.withColumns({"shown": shown, "dv": F.col("reads") + F.col("clipped"), "s1": F.coalesce("s1", "n1"), "s2": F.coalesce("s2", "n2")})
+    enough = F.when(F.col("dp"), F.col("dv")).otherwise(F.col("shown")) >= F.col("least")
+    calls = counted_.filter(enough & (F.lit(not germline) | F.col("dp") | (F.col("svlen") >= p.min_size)))
+    support = support.unionByName(more)
+    at = _windows(calls, F.col("w_start"), F.col("w_end"))
+    told_ = _against(calls, J.covering_reads(at, reads) if germline else J.overlapping_primary_reads(at, reads), support)
+    if germline:
+        done = G.genotyped(told_)
+        done = done.withColumn("qual", G.zero_weak_quality(F.col("qual"), F.col("dv"), F.col("dr"), F.col("tight")))
+    else:
+        done = G.mosaic_filter_indel(G.assign_genotype_mosaic(told_), p.min_size)
+    return _as_calls(done.withColumn("dv", F.col("shown"))), support
+
+
+def indel_calls(sig: DataFrame, clips: DataFrame, reads: DataFrame, p: Params = Params(), mode: str = "germline") -> tuple[DataFrame, DataFrame]:
+    """Calls of deletions and insertions, and (call_id, read_name) of their support. ``sig`` has ``ins_seq``."""
+    clusters = C.indel_clusters(sig, p.gap_indel)
+    clusters = stored(clusters.join(C.keep_indel_clusters(clusters, mode, p.min_support).select("win_id"), "win_id", "left_semi"))
+    told = stored(route_indels(clusters, reads, p, mode))
+    near = stored(J.clips_in_window(C.cluster_windows(clusters, p.gap_indel), clips))
+    one, s1 = _balanced_indels(clusters, told, near, reads, p, mode)
+    two, s2 = _unbalanced_indels(clusters, told, near, reads, p, mode)
+    return one.unionByName(two), s1.unionByName(s2).select("call_id", "read_name")
+
+
+def two_breakpoint_alleles(sig: DataFrame, reads: DataFrame, svtype: str, p: Params, mode: str) -> tuple[DataFrame, DataFrame]:
+    """Alleles of duplications or inversions with ``balanced`` and ``hp`` (-1: all), and their support."""
+    inv = svtype == "INV"
+    ties = ("pos", "strand", "read_name") if inv else ("pos", "read_name")
+    clusters = C.inv_clusters(sig, p.gap_dup_inv, p.min_support, split_strand=mode == "mosaic") if inv else C.dup_clusters(sig, p.gap_dup_inv, p.min_support)
+    clusters = stored(clusters)
+    hist = J.haplotype_histogram(C.cluster_windows(clusters, p.gap_dup_inv, "inv" if inv else "indel"), reads)
+    h0, h1, h2 = (F.col(f"h{k}") for k in (0, 1, 2))
+    told = hist.select("win_id", D.is_balanced(h0, h1, h2, svtype).alias("balanced"), D.min_support_by_depth(h0 + h1 + h2, svtype, mode, p.min_support).alias("least"))
+    rows = stored(clusters.join(told, "win_id").withColumn("side", F.when(F.col("balanced"), F.col("hp")).otherwise(-1)))
+    by = ["win_id", "side", "least", "balanced"]
+    made = A.inv_alleles(rows, by, p, F.col("least")) if inv else A.dup_alleles(rows, by, p)
+    call = F.concat_ws("/", "win_id", "side", "allele").alias("call_id")
+    alleles = stored(made.select(call, "*", (F.col("bp2") - F.col("bp1")).alias("size")))
+    support = A.allele_support(rows, by, p.gap_dup_inv, *ties).select(call, "read_name", "hp").join(alleles.select("call_id"), "call_id", "left_semi")
+    return alleles, stored(support)
+
+
+def revised_two_breakpoint(alleles: DataFrame, support: DataFrame, reads: DataFrame, p: Params, mode: str) -> DataFrame:
+    """Alleles of balanced clusters with hp, dr and the revised genotype, ready for merging."""
+    own = alleles.filter("balanced").withColumn("hp", F.col("side").cast("int"))
+    at = _windows(own, F.greatest(F.col("bp1") - p.gap_dup_inv, F.lit(0)), F.col("bp1") + p.gap_dup_inv)
+    found = J.covering_reads(at, reads) if mode == "germline" else J.overlapping_primary_reads(at, reads)
+    told = _against(own, found, support)
+    dr = F.when(F.col("hp") == 1, F.col("r1")).when(F.col("hp") == 2, F.col("r2"))
+    stays = F.col("n_reads") >= dr if mode == "germline" else F.col("n_reads") / (F.col("n_reads") + dr) > 0.7
+    sign = F.when(stays, "1").otherwise(".")
+    gt = F.when(F.col("hp") == 1, F.concat(sign, F.lit("|0"))).when(F.col("hp") == 2, F.concat(F.lit("0|"), sign)).otherwise(".|.")
+    least = (F.lit(p.min_support // 2), F.lit(p.min_support)) if mode == "germline" else (F.col("least"), F.col("least"))
+    made = told.withColumns({"gt": gt, "own_dr": dr, "least": least[0], "least_untagged": least[1]})
+    return made if mode == "germline" else made.filter(~F.contains(F.col("gt"), F.lit("1")))
+
+
+def two_breakpoint_calls(sig: DataFrame, reads: DataFrame, svtype: str, p: Params = Params(), mode: str = "germline") -> tuple[DataFrame, DataFrame]:
+    """Calls of duplications or inversions, and their support."""
+    alleles, support = two_breakpoint_alleles(sig, reads, svtype, p, mode)
+    strand = F.col("strand") if svtype == "INV" else F.lit(None).cast("string")
+    alleles = alleles.withColumn("strand", strand)
+    revised = stored(revised_two_breakpoint(alleles, support, reads, p, mode))
+    pairs = stored(R.merge_haplotypes_two_breakpoints(revised, mode == "mosaic"))
+    merged_id = F.concat_ws("/", "win_id", F.lit("m"), "turn").alias("call_id")
+    members = pairs.select(merged_id, "win_id", F.inline("members"))
+    of = revised.select("win_id", "hp", F.col("allele").cast("int").alias("allele"), F.col("call_id").alias("member"), "n_reads")
+    parts = stored(members.join(of, ["win_id", "hp", "allele"]))
+    dv = parts.groupBy("call_id").agg(F.sum("n_reads").alias("dv"))
+    lead = revised.select("win_id", "hp", F.col("allele").cast("int").alias("allele"), "chrom", "strand", F.col("own_dr").alias("dr"))
+    one = pairs.select(merged_id, "win_id", "hp", "allele", "gt", F.col("bp1").alias("pos"), F.col("size").alias("svlen")).join(lead, ["win_id", "hp", "allele"]).join(dv, "call_id")
+    one_support = parts.join(support.select(F.col("call_id").alias("member"), "read_name"), "member").select("call_id", "read_name").distinct()
+    pooled = alleles.filter("not balanced").withColumn("dv", F.col("n_reads"))
+    if svtype == "INV":
+        found = J.two_point_cover(pooled.select(F.col("call_id").alias("win_id"), "chrom", F.col("bp1").alias("pos"), F.col("bp2").alias("pos2")), reads, p.gap_dup_inv)
+    else:
+        found = J.covering_reads(_windows(pooled, F.col("bp1"), F.col("bp2")), reads)
+    told = _against(pooled, found, support)
+    two = G.genotyped(told) if mode == "germline" else G.mosaic_filter_inv_tra(G.assign_genotype_mosaic(told).withColumn("svtype", F.lit(svtype)))
+    two = two.withColumns({"pos": F.col("bp1"), "svlen": F.col("size")})
+    calls = _as_calls(one.withColumn("svtype", F.lit(svtype))).unionByName(_as_calls(two.withColumn("svtype", F.lit(svtype))))
+    return calls, one_support.unionByName(support.select("call_id", "read_name").join(pooled.select("call_id"), "call_id", "left_semi"))
+
+
+def translocation_calls(sig: DataFrame, clips: DataFrame, reads: DataFrame, p: Params = Params(), mode: str = "germline") -> tuple[DataFrame, DataFrame]:
+    """Calls of translocations, and their support."""
+    clusters = stored(C.tra_clusters(sig, p.gap_tra, last_needs=p.min_support if mode == "mosaic" else None))
+    call = F.concat_ws("/", "win_id", "allele").alias("call_id")
+    alleles = stored(A.tra_alleles(clusters, p).select(call, "*"))
+    own = A.allele_support(clusters, ["win_id"], p.gap_tra, "pos", "read_name").select(call, "read_name", "hp").join(alleles.select("call_id"), "call_id", "left_semi")
+    near = alleles.select(F.col("call_id").alias("win_id"), "chrom", F.col("bp1").alias("pos"))
+    support = stored(J.tra_clip_support(near, own.withColumnRenamed("call_id", "win_id"), clips).withColumnRenamed("win_id", "call_id"))
+    counts = support.groupBy("call_id").agg(F.count(F.lit(1)).cast("int").alias("dv"), *(F.count_if(F.col("hp") == h).cast("int").alias(f"t{h}") for h in (1, 2)))
+    calls = alleles.join(counts, "call_id").withColumns({"s1": F.col("t1"), "s2": F.col("t2"), "svtype": F.lit("TRA"), "pos": F.col("bp1"), "pos2": F.col("bp2")})
+    at = _windows(calls, F.greatest(F.col("bp1") - p.gap_tra, F.lit(0)), F.col("bp1") + p.gap_tra)
+    told = _against(calls, J.overlapping_primary_reads(at, reads), support)
+    done = G.genotyped(told) if mode == "germline" else G.mosaic_filter_inv_tra(G.assign_genotype_mosaic(told))
+    return _as_calls(done), support.select("call_id", "read_name")
+
+
+def _all_calls(tables: dict[str, DataFrame], p: Params, mode: str, types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    sig, clips, reads = (tables[k] for k in ("sig", "clips", "reads"))
+    of = lambda *kinds: sig.filter(F.col("svtype").isin(*kinds))
+    made = [indel_calls(of("DEL", "INS"), clips, reads, p, mode)]
+    made += [two_breakpoint_calls(of(t), reads, t, p, mode) for t in types]
+    made.append(translocation_calls(of("TRA"), clips, reads, p, mode))
+    return U.union_calls(*(x[0] for x in made)), U.union_calls(*(x[1] for x in made))
+
+
+def call_germline(tables: dict[str, DataFrame], p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Germline calls of all five types from ``sig``, ``clips`` and ``reads``, and (call_id, read_name) of their support."""
+    return _all_calls(tables, p, "germline", ("INV", "DUP"))
+
+
+def call_mosaic(tables: dict[str, DataFrame], p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """Low-frequency calls of deletions, insertions, inversions and translocations, and their support."""
+    return _all_calls(tables, p, "mosaic", ("INV",))
+
+
+def call_lines(calls: DataFrame, ref_bins: DataFrame, bin_size: int, p: Params = Params(), support: DataFrame | None = None, large_inv: bool = False) -> DataFrame:
+    """Calls with all output columns; with ``support`` the names of the reads too."""
+    sized = V.size_filter(calls, p.max_size, large_inv)
+    if support is not None:
+        names = support.groupBy("call_id").agg(F.array_sort(F.collect_set("read_name")).alias("support"))
+        sized = sized.join(names, "call_id", "left")
+    return V.number_calls(V.vcf_fields(V.ref_alt(sized, ref_bins, bin_size), reads=support is not None))
+
+
+def write_calls(calls: DataFrame, ref_bins: DataFrame, bin_size: int, path: str, p: Params = Params(), support: DataFrame | None = None, sample: str = "NULL") -> None:
+    """One sorted VCF in ``path``: its parts in the order of their names are header and lines."""
+    contigs = [(r.chrom, r.length) for r in io.contigs(ref_bins).orderBy("chrom").collect()]  # contigs: a short list by nature
+    io.write_vcf(call_lines(calls, ref_bins, bin_size, p, support), io.vcf_header(contigs, sample), path)

@@ -16,9 +16,12 @@ from ..operators import genotype as G
 from ..operators import intervals as J
 from ..operators import phase as D
 from ..operators import reads as P
+from ..operators import resolve as R
 from ..operators import signals as U
 from ..operators import split as X
 from ..operators import vcf as V
+from ..operators.allele_dp import allele_dp
+from ..params import Params
 from ..sources import io
 from . import jobs
 from .views import ctes, view
@@ -177,7 +180,7 @@ def _(spark, sf_dir):
     path = _temp(spark)
     names = [(r.chrom, r.length) for r in io.contigs(view(spark, sf_dir, "v_ref")).orderBy("chrom").collect()]  # contigs: a short list by nature
     io.write_vcf(_vcf(spark, sf_dir), io.vcf_header(names), path)
-    return spark.read.option("recursiveFileLookup", "true").text(path)
+    return spark.read.text(path)
 
 
 # --- P: reads ---------------------------------------------------------------------------------------------------------
@@ -548,8 +551,17 @@ def _(spark, sf_dir):
     return G.assign_genotype_mosaic(_calls(spark, sf_dir)).select("win_id", "dv", "dr", "gt", "pl", "gq", "qual")
 
 
-_SQL["g11_assign_genotype_mosaic"] = _SQL["g1_genotype_likelihood"]
-_QUERIES["g11_assign_genotype_mosaic"] = _QUERIES["g1_genotype_likelihood"]
+# overlapping primary reads against, as for mosaic deletions and insertions: the same likelihoods over other counts
+_OVERLAP = _WIN + """, cov AS (SELECT win_id, read_name, min(hp) AS hp FROM win JOIN v_reads r ON r.chrom = win.chrom AND ref_start < w_end AND ref_end > w_start AND is_primary = 1 GROUP BY 1, 2)"""
+
+
+@_query("g11_assign_genotype_mosaic", _OVERLAP + _GL.removeprefix(_NCOVER) + " SELECT win_id, dv, dr, gt0 AS gt, pl, gq, qual FROM gl", "v_reads", "v_sigs")
+def _(spark, sf_dir):
+    clusters, reads = _indel(spark, sf_dir), _reads(spark, sf_dir)
+    names = clusters.groupBy("win_id", "read_name").agg(F.min("hp").alias("hp"))
+    against = J.reference_reads(J.overlapping_primary_reads(C.cluster_windows(clusters, 1000), reads), names)
+    counts = names.groupBy("win_id").agg(F.count(F.lit(1)).alias("dv")).join(against, "win_id", "left").withColumn("dr", F.coalesce("dr", F.lit(0)))
+    return G.assign_genotype_mosaic(counts).select("win_id", "dv", "dr", "gt", "pl", "gq", "qual")
 
 
 @_query("g2_assign_genotype", _GL + " SELECT win_id, dv, dr, gt, pl, gq, qual FROM gt", "v_reads", "v_sigs")
@@ -595,7 +607,7 @@ def _few(spark, sf_dir):
 @_query("g7_resolve_same_position", _GL + """, n AS (SELECT win_id AS allele, substr(win_id, 1, 8) AS win_id, CAST(dv % 2 AS BIGINT) AS pos, gt FROM gt),
 h AS (SELECT *, count(*) FILTER (gt[1] = '1') OVER w AS a, count(*) FILTER (gt[3] = '1') OVER w AS b, count(*) FILTER (gt = '1|1') OVER w AS c, count(*) FILTER (gt IN ('1|0', '1|.')) OVER w AS x, count(*) FILTER (gt IN ('0|1', '.|1')) OVER w AS y,
  row_number() OVER (PARTITION BY win_id, pos ORDER BY CASE WHEN gt = '1|1' THEN 0 ELSE 1 END, allele) AS i FROM n WINDOW w AS (PARTITION BY win_id, pos))
-SELECT win_id, allele, pos, CASE WHEN (a > 1 OR b > 1) AND c = 0 AND (CASE WHEN x > 1 THEN gt IN ('1|0', '1|.') ELSE y > 1 AND gt IN ('0|1', '.|1') END) THEN '.|.' ELSE gt END AS gt FROM h WHERE NOT (a > 1 OR b > 1) OR c = 0 OR i = 1""", "v_reads", "v_sigs")
+SELECT win_id, allele, pos, CASE WHEN (a > 1 OR b > 1) AND c = 0 AND (CASE WHEN x > 1 THEN gt IN ('1|0', '1|.') ELSE y > 1 AND gt IN ('0|1', '.|1') END) THEN '.|.' ELSE gt END AS gt FROM h WHERE NOT (a > 1 OR b > 1) OR gt <> '1|1' OR i = 1""", "v_reads", "v_sigs")
 def _(spark, sf_dir):
     g = G.genotyped(_calls(spark, sf_dir))
     return G.resolve_same_position(g.select(F.substring("win_id", 1, 8).alias("win_id"), F.col("win_id").alias("allele"), (F.col("dv") % 2).alias("pos"), "gt"))
@@ -691,14 +703,100 @@ def _(spark, sf_dir):
 # --- E: jobs ----------------------------------------------------------------------------------------------------------
 
 
+def _tables(spark, sf_dir):
+    """Signals with the bases of insertions, clips and reads of the views."""
+    sig = U.dedup_signals(view(spark, sf_dir, "v_sigs"))
+    bases = F.when(F.col("svtype") == "INS", F.substring(F.repeat(F.lit("ACGTTGCA"), F.lit(600)), F.lit(1), F.col("len").cast("int")))
+    return {"sig": sig.withColumn("ins_seq", bases), "clips": view(spark, sf_dir, "v_clips"), "reads": _reads(spark, sf_dir)}
+
+
+def _routed(spark, sf_dir, mode="germline"):
+    """Kept deletion and insertion clusters with where their alleles are formed."""
+    t, p = _tables(spark, sf_dir), Params()
+    clusters = C.indel_clusters(t["sig"].filter("svtype in ('DEL', 'INS')"), p.gap_indel)
+    clusters = io.stored(clusters.join(C.keep_indel_clusters(clusters, mode, p.min_support).select("win_id"), "win_id", "left_semi"))
+    return t, clusters, io.stored(jobs.route_indels(clusters, t["reads"], p, mode))
+
+
+@_query("a4_allele_dp")
+def _(spark, sf_dir):
+    _, clusters, told = _routed(spark, sf_dir)
+    return allele_dp(clusters.join(told.filter("route = 'dp'").select("win_id"), "win_id", "left_semi"))
+
+
+@_query("a10_rescue_clips")
+def _(spark, sf_dir):
+    # each pooled cluster as one call, every signal's read its support
+    t, clusters, told = _routed(spark, sf_dir)
+    pooled = clusters.join(told.filter("route <> 'haplotypes'").select("win_id"), "win_id", "left_semi")
+    chained = A.length_chain(pooled, ["win_id"])
+    call = F.concat_ws("/", "win_id", "allele").alias("call_id")
+    made = chained.groupBy("win_id", "svtype", "allele").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    calls = R.ranked(made, F.desc("n"), "allele").select(call, "win_id", "rank", (F.col("low") - 50).alias("c_low"), (F.col("high") + 50).alias("c_high"), (F.col("svtype") == "INS").alias("both_sides"), F.lit(None).cast("array<int>").alias("haplotypes"), F.lit(True).alias("rescue"))
+    support = chained.select(call, "win_id", "read_name", "hp").distinct()
+    return R.rescue_clips(calls, support, J.clips_in_window(C.cluster_windows(clusters, 1000), t["clips"]))
+
+
+def _merged_indels(spark, sf_dir, mode):
+    _, clusters, told = _routed(spark, sf_dir, mode)
+    p = Params()
+    chained = io.stored(A.length_chain(clusters.join(told.filter("route = 'haplotypes'").select("win_id"), "win_id", "left_semi"), ["win_id", "hp"]))
+    need = told.select("win_id", F.col("least") if mode == "germline" else F.lit(p.min_support).alias("least"))
+    return R.merge_haplotypes_indel(chained, jobs.haplotype_alleles(chained, told, p, mode), need, p, mode)[0].drop("ins_seq")
+
+
+@_query("a11_merge_haplotypes_indel")
+def _(spark, sf_dir):
+    return _merged_indels(spark, sf_dir, "germline")
+
+
+@_query("a11_merge_haplotypes_indel_mosaic")
+def _(spark, sf_dir):
+    return _merged_indels(spark, sf_dir, "mosaic")
+
+
+def _merged_two(spark, sf_dir, svtype, mode):
+    t, p = _tables(spark, sf_dir), Params()
+    alleles, support = jobs.two_breakpoint_alleles(t["sig"].filter(F.col("svtype") == svtype), t["reads"], svtype, p, mode)
+    return R.merge_haplotypes_two_breakpoints(jobs.revised_two_breakpoint(alleles, support, t["reads"], p, mode), mode == "mosaic")
+
+
+@_query("a12_merge_haplotypes_dup")
+def _(spark, sf_dir):
+    return _merged_two(spark, sf_dir, "DUP", "germline")
+
+
+@_query("a12_merge_haplotypes_inv")
+def _(spark, sf_dir):
+    return _merged_two(spark, sf_dir, "INV", "germline")
+
+
+@_query("a13_merge_haplotypes_inv_mosaic")
+def _(spark, sf_dir):
+    return _merged_two(spark, sf_dir, "INV", "mosaic")
+
+
 @_query("e1_extract_signatures")
 def _(spark, sf_dir):
     return jobs.extract_signatures(view(spark, sf_dir, "v_align"))["sig"]
 
 
-@_query("e2_germline_deletions")
+@_query("e2_call_germline")
+def _(spark, sf_dir):
+    return jobs.call_germline(_tables(spark, sf_dir))[0]
+
+
+@_query("e3_call_mosaic")
 def _(spark, sf_dir):
-    return jobs.germline_deletions(_sigs(spark, sf_dir, "DEL"), _reads(spark, sf_dir))
+    return jobs.call_mosaic(_tables(spark, sf_dir))[0]
+
+
+@_query("e4_write_calls")
+def _(spark, sf_dir):
+    path = _temp(spark)
+    calls, support = jobs.call_germline(_tables(spark, sf_dir))
+    jobs.write_calls(calls, _dense_ref(spark, sf_dir), 10_000, path, support=support)
+    return spark.read.text(path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

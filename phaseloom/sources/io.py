@@ -19,11 +19,17 @@ LINES = {
 }
 
 
+_STORED: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a temporary one where it is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine, an error elsewhere."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -31,9 +37,18 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written in the shared folder and read again: for tables that several steps read."""
     path = os.path.join(shared_folder(df.sparkSession), uuid.uuid4().hex)
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete every table that stored() has written in this process; call it once results have been read or written."""
+    jvm = spark.sparkContext._jvm
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """Alignments from Parquet, or from SAM text where the path ends in .sam; the haplotype is 0 where untagged."""
     if not path.rstrip("/").endswith(".sam"):
@@ -121,14 +136,14 @@ def vcf_header(contig_rows: list[tuple[str, int]], sample: str = "NULL") -> str:
 
 
 def vcf_lines(calls: DataFrame) -> DataFrame:
-    """One line of text a call, sorted by chromosome text and position over all partitions."""
+    """One line of text a call, with what it is sorted by."""
     qual = F.coalesce(F.col("qual").cast("string"), F.lit("."))
     line = F.concat_ws("\t", "chrom", F.col("vcf_pos").cast("string"), "id", "ref", "alt", qual, "filter", "info", "format", "sample")
-    return calls.orderBy("chrom", "pos", "id").select(line.alias("value"))
+    return calls.select("chrom", "pos", "id", line.alias("value"))
 
 
 def write_vcf(calls: DataFrame, header: str, path: str) -> None:
-    """Header and sorted lines as two parts of a folder: names sort the header first."""
-    spark = calls.sparkSession
-    spark.createDataFrame([(header,)], "value string").coalesce(1).write.text(os.path.join(path, "0-header"))
-    vcf_lines(calls).write.text(os.path.join(path, "1-calls"))
+    """One VCF as the parts of a folder, in the order of their names: the header leads the first part, as no chromosome sorts first."""
+    lines = vcf_lines(calls)
+    top = lines.sparkSession.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in lines.dtypes if c != "value"), F.lit(header).alias("value"))
+    top.unionByName(lines).orderBy(F.asc_nulls_first("chrom"), "pos", "id").select("value").write.text(path)
