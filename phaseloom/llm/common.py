@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +17,17 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task turns into arrays at once; a longer document is taken alone.
 CHUNK_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII white space.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+_TABLES: list[DataFrame] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,11 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is taken.
+    Where that is unset, a temporary folder is taken on a single machine, as in tests; elsewhere that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -42,7 +51,30 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: ``df`` written as Parquet in the shared folder and read again. It survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    _TABLES.append(made)
+    return made
+
+
+def tables() -> list[DataFrame]:
+    """The tables of durable() that haven't been discarded."""
+    return list(_TABLES)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of durable() that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _TABLES[:] = [t for t in _TABLES if t is not table]
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are out of reach: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def distinct_name(df: DataFrame, wanted: str) -> str:
@@ -95,7 +127,7 @@ class Words:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray) -> None:
         n = len(raw)
-        word = ~_SPACE[raw]
+        word = ~SPACE[raw]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -140,12 +172,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Values summed at once: a longer array, of one very long text, takes no more memory for its powers and sums.
+_SUMMED = 4 * CHUNK_BYTES
+
+
 def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each run values[start:end]; values: bytes, or 64-bit hashes of words."""
-    p, q = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((_MIX[values] if values.dtype == np.uint8 else values) * p[:-1], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64))
+    n = len(values)
+    size = min(n, _SUMMED)
+    p, q = _powers(size + 1)
+    if n == size:
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((_MIX[values] if values.dtype == np.uint8 else values) * p[:-1], out=sums[1:])
+        return mixed((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64))
+    low, high, scale = (np.zeros(len(start), np.uint64) for _ in range(3))
+    total, up, down = np.uint64(0), np.uint64(1), np.uint64(1)
+    for at in range(0, n + 1, size):
+        part = values[at : at + size]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_MIX[part] if values.dtype == np.uint8 else part) * p[: len(part)] * up, out=sums[1:])
+        sums += total
+        total = sums[-1]
+        for place, out in ((start, low), (end, high)):
+            here = (place >= at) & (place < at + size)
+            out[here] = sums[place[here] - at]
+        here = (start >= at) & (start < at + size)
+        scale[here] = q[start[here] - at] * down
+        up, down = (np.uint64(int(x) * int(y[size]) % 2**64) for x, y in ((up, p), (down, q)))
+    return mixed((high - low) * scale + (end - start).astype(np.uint64))
 
 
 def per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -177,8 +231,13 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers import this library where only the driver's path has it."""
+    """Let Python workers import this library: by path on this machine, as an archive on executors elsewhere."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    context = spark.sparkContext
+    path = context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+        context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    if not context.master.startswith("local") and not getattr(context, "has_phaseloom", False):
+        base = os.path.join(tempfile.mkdtemp(prefix="spark-"), "phaseloom")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "phaseloom"))
+        context.has_phaseloom = True

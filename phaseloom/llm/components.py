@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step replaces the links by others with the same components, nearer to stars. A node's least neighbour is
     aggregated before the shuffle and joined back, so a node with very many links is split by the skewed-join rule.
-    Lineage is cut by a checkpoint each step, so a lost executor costs one step at most. Self-links and repeats are
+    Lineage is cut by a written table each step, which replaces the one before, so a lost executor costs one step at most. Self-links and repeats are
     harmless; no links give an empty table.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        edges = durable(small)
+        before, edges = edges, durable(small)
+        discard(before)
         now = _signature(edges)
         if now == last:
             break

@@ -7,11 +7,13 @@ on a path are mixed by these weights. Where training never went, a path ends at
 in lower case with a zero byte as their end, which is coded too; the context before a text is zero bytes.
 
 Counts of grams of DEPTH + 1 bytes come from all training documents. Trees are computed where they lie: shards of the three
-nearest bytes hold whole subtrees, and only the nodes of the two upper depths, at most 65,536 contexts by 255 places
-whatever the corpus, pass through the driver. See grams.py for how texts meet the table.
+nearest bytes hold whole subtrees. The nodes of two bytes of context are a written table that is dealt to the tasks whose
+shards are below them; only the 256 contexts of one byte and the root, at most 65,535 nodes whatever the corpus, pass
+through the driver. See grams.py for how texts meet the table.
 
-Null and empty texts have one token, their end. Repeated rows are counted and scored each. Without training documents all
-decisions have probability one half. An empty table gives an empty result. Extra columns are not read.
+Null and empty texts have one token, their end. A null identifier isn't held out. Repeated rows are counted and scored each.
+Without training documents all decisions have probability one half. An empty table gives an empty result. Extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .grams import GRAM_BYTES, blocks, dense_grams, gram_places, padded, scored, single, totals
+from .grams import blocks, gram_runs, scored, single, totals, word_runs
 
 DEPTH, SHARD = 5, 3
+#: Tasks that the grams of one context of two bytes are dealt to.
+SALT = 8
 #: Grams worked on at once, in whole shards.
 PART = 150_000
 #: Keys of words have the top bit; the key of the end of a text is this one.
@@ -36,9 +40,9 @@ _WORD, _END = np.uint64(1 << 63), -1
 _SMALL = np.array([math.lgamma(k / 2) if k else 0.0 for k in range(64)])
 
 
-def held_out(ids: np.ndarray) -> np.ndarray:
+def held_out(ids: pa.Array) -> np.ndarray:
     """Whether a document isn't learned from: CRC-32 of its identifier as text is a multiple of 10."""
-    return np.fromiter((zlib.crc32(str(i).encode()) % 10 == 0 for i in ids.tolist()), bool, len(ids))
+    return np.fromiter((i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids.to_pylist()), bool, len(ids))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -145,42 +149,82 @@ def mix(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return np.log10(np.where(np.isnan(mixed), 0.5, mixed)).sum(1)
 
 
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Level, np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes of two bytes of context, grams, grams nearest first, counts) from rows sorted by context, nodes first.
+
+    The grams of one context come in one part or several, in whole shards.
+    """
+    context, nodes = -1, []
+    level = Level(*(np.zeros(0, x) for x in (np.int64, float, float, float)))
+
+    def grams(rows: Iterator[pa.RecordBatch]):
+        return whole_shards(rows)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        contexts, is_node = np.asarray(batch.column(0)), np.asarray(batch.column(1).is_valid())
+        edges = np.flatnonzero(np.concatenate([[True], (contexts[1:] != contexts[:-1]) | (is_node[1:] != is_node[:-1]), [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if contexts[a] != context:
+                for x in grams(iter(held)):
+                    yield level, *x
+                context, nodes, held, size = contexts[a], [], [], 0
+                level = Level(*(np.zeros(0, x) for x in (np.int64, float, float, float)))
+            if is_node[a]:
+                nodes.append([np.asarray(part.column(k)) for k in (4, 1, 5, 6)])
+                level = Level(*(np.concatenate(x) for x in zip(*nodes, strict=True)))
+                continue
+            held.append(pa.RecordBatch.from_arrays([part.column(2), part.column(3)], ["key", "n"]))
+            size += b - a
+            if size > 4 * PART:  # a crowded context: whole shards of it now, the last one with what follows
+                *done, (keys, _, n) = grams(iter(held))
+                for x in done:
+                    yield level, *x
+                held = [pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])]
+                size = len(keys)
+    for x in grams(iter(held)):
+        yield level, *x
+
+
 def gram_values(counts: DataFrame) -> DataFrame:
     """(key, value): log10 probability of the last byte of every gram in ``counts`` (key, n), seen in training or not."""
-    shard = F.col("key").bitwiseAND((1 << 8 * (SHARD + 1)) - (1 << 8))
-    dealt = counts.withColumn("shard", shard).repartition(C.partitions(counts), "shard").sortWithinPartitions(*_nearest_order()).select("key", "n")
-    upper = dealt.mapInArrow(_upper_rows, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
-    rows = upper.orderBy("key").toArrow()  # at most 65,536 contexts by 255 places
+    near = lambda k: F.shiftright("key", 8 * (k + 1)).bitwiseAND(255)  # noqa: E731  the byte k before the last but one
+    placed = counts.select("key", "n", (near(0) * 256 + near(1)).alias("context"), near(2).alias("third"))
+    dealt = placed.repartition(C.partitions(counts), "context", "third").sortWithinPartitions("context", "third").select("key", "n")
+    nodes = dealt.mapInArrow(_upper_rows, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+    nodes = C.durable(nodes)
+
+    def parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = Level(*(np.asarray(batch.column(k)) for k in range(4))).parent()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "n0", "n1", "below"])
+
+    first = nodes.mapInArrow(parents, "key long, n0 double, n1 double, below double").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+    rows = first.orderBy("key").toArrow()  # at most 256 contexts by 255 places
     tops = [Level(*(np.asarray(rows.column(k)) for k in range(4)))]
-    while len(tops) < SHARD:
-        tops.append(Level(*tops[-1].parent()))
+    tops.append(Level(*tops[-1].parent()))
+    # a context's grams are dealt to SALT tasks by their third byte, and its nodes to each of these
+    salt = F.pmod("third", F.lit(SALT)).alias("salt")
+    void = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    grams = placed.select("context", void("double", "n0"), "key", "n", void("long", "node"), void("double", "n1"), void("double", "below"), salt, "third")
+    known = nodes.select(F.shiftright("key", 8).alias("context"), "n0", void("long", "key"), void("long", "n"), F.col("key").alias("node"), "n1", "below", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")).alias("salt"), F.lit(-1).cast("long").alias("third"))
+    both = known.unionByName(grams).repartition(C.partitions(counts), "context", "salt").sortWithinPartitions("context", "third", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, near, n in whole_shards(batches):
-            low = lower_levels(near[n > 0], n[n > 0])
-            value = np.concatenate([mix(near[k : k + 50_000], [*low, *tops]) for k in range(0, len(near), 50_000)])
+        for level, keys, near_, n in _shared_rows(batches):
+            low = lower_levels(near_[n > 0], n[n > 0])
+            value = np.concatenate([mix(near_[k : k + 50_000], [*low, level, *tops]) for k in range(0, len(near_), 50_000)])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(value)], ["key", "value"])
 
-    return dealt.mapInArrow(run, "key long, value double")
-
-
-def _nearest_order() -> list:
-    """Sort columns for the order nearest first down to the shard."""
-    return [F.shiftright("key", 8 * (k + 1)).bitwiseAND(255) for k in range(SHARD)]
-
-
-def _document_grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text, offsets = padded(raw, at, DEPTH)
-    keys, ids = dense_grams(text, DEPTH + 1)
-    where, to = gram_places(offsets, DEPTH)
-    return keys, ids[where], to
+    return both.drop("salt", "third").mapInArrow(run, "key long, value double")
 
 
-def _document_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words (63 bits of a hash; none is that of the end), and the documents' offsets into them."""
-    words = C.Words(raw, at)
-    keys = (C.run_hashes(raw, words.start, words.end) | _WORD).view(np.int64)
-    return np.where(keys == _END, _END - 1, keys), words.at
+def word_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of words: 63 bits of a hash; none is that of the end."""
+    keys = (hashes | _WORD).view(np.int64)
+    return np.where(keys == _END, _END - 1, keys)
 
 
 def _sums(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -192,19 +236,15 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and code length in bits for each byte."""
 
     def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [], []
-        learn = ~held_out(np.asarray(batch.column(0)))
-        for row, end, raw, at in C.chunks(batch.column(1), GRAM_BYTES):
-            raw, own = C.lowered(raw), learn[row:end]
-            found, ids, to = _document_grams(raw, at)
-            n = np.bincount(ids, np.repeat(own, np.diff(to)), len(found)).astype(np.int64)
-            there = np.bincount(ids, minlength=len(found)) > 0
-            words, to = _document_words(raw, at)
-            types, which = np.unique(words, return_inverse=True)
-            keys += [found[there], types, np.array([_END])]
-            counts += [n[there], np.bincount(which, np.repeat(own, np.diff(to)), len(types)).astype(np.int64), np.array([own.sum()])]
-        if len(keys) == 3:
-            return np.concatenate(keys), np.concatenate(counts)
+        learn = ~held_out(batch.column(0))
+        keys, counts = [np.array([_END])], [np.array([learn.sum()])]
+        for row, end, found, ids, to in gram_runs(batch.column(1), DEPTH, C.lowered):
+            keys.append(found)
+            counts.append(np.bincount(ids, np.repeat(learn[row:end], np.diff(to)), len(found)).astype(np.int64))
+        for row, end, words, to in word_runs(batch.column(1), C.lowered):
+            types, which = np.unique(word_keys(words), return_inverse=True)
+            keys.append(types)
+            counts.append(np.bincount(which, np.repeat(learn[row:end], np.diff(to)), len(types)).astype(np.int64))
         all_keys, to = np.unique(np.concatenate(keys), return_inverse=True)
         return all_keys, np.bincount(to, np.concatenate(counts), len(all_keys)).astype(np.int64)
 
@@ -215,26 +255,22 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     answers = gram_values(counts.filter("key >= 0")).withColumn("value", single(F.col("value"))).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
 
     def score(batch: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        made = []
         ask = lambda k: values[np.searchsorted(keys, k)]  # noqa: E731  every key of a block is answered
-        out = held_out(np.asarray(batch.column(0)))
-        for row, end, raw, at in C.chunks(batch.column(1), GRAM_BYTES):
-            raw = C.lowered(raw)
-            own, ids, to = _document_grams(raw, at)
-            there = np.bincount(ids, minlength=len(own)) > 0
-            value = np.zeros(len(own))
-            value[there] = ask(own[there])
-            model = _sums(value[ids], to)
-            words, to = _document_words(raw, at)
-            types_here, which = np.unique(words, return_inverse=True)
-            n = np.concatenate([ask(types_here), ask(np.array([_END]))])
-            cost = np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
-            base = _sums(cost[:-1][which], to) + cost[-1]
-            known = _sums((n[:-1] > 0)[which], to) + (n[-1] > 0)
-            bits = -model / (np.diff(at) + 1) * math.log2(10)
-            made.append((out[row:end], np.diff(to) + 1, known.astype(np.int64), np.full(end - row, tokens, np.int64), base, model, bits))
-        columns = [batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        cost = lambda n: np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
+        rows = batch.num_rows
+        model, size, n_words, known, base = (np.zeros(rows, x) for x in (float, np.int64, np.int64, np.int64, float))
+        for row, end, own, ids, to in gram_runs(batch.column(1), DEPTH, C.lowered):
+            model[row:end] += _sums(ask(own)[ids], to)
+            size[row:end] += np.diff(to)
+        for row, end, words, to in word_runs(batch.column(1), C.lowered):
+            types_here, which = np.unique(word_keys(words), return_inverse=True)
+            n = ask(types_here)
+            n_words[row:end] += np.diff(to)
+            known[row:end] += _sums((n > 0)[which], to).astype(np.int64)
+            base[row:end] += _sums(cost(n)[which], to)
+        stop = ask(np.array([_END]))
+        columns = (held_out(batch.column(0)), n_words + 1, known + (stop > 0), np.full(rows, tokens, np.int64), base + cost(stop), model, -model / size * math.log2(10))
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     return scored(stored, answers, score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 

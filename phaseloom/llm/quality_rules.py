@@ -1,11 +1,11 @@
 """Operator 9, quality rules: a short-circuit cascade.
 
 Every rule is a predicate on cheap statistics of the whole text. On a sample the cascade estimates each rule's cost and
-the share that it rejects, orders the rules by rejection per cost, and then tests a document against one rule after
-another until the first that rejects it. The verdict is the conjunction of all rules, so it doesn't depend on the order;
+the share that it rejects, once for a table, orders the rules by rejection per cost, and then tests a document against
+one rule after another until the first that rejects it. The verdict is the conjunction of all rules, so it doesn't depend on the order;
 the order only decides how much work is spent.
 
-Nulls and empty texts have no words: all statistics are zero and the base rule rejects them. Repeated rows are judged
+Null identifiers are passed on. Nulls and empty texts have no words: all statistics are zero and the base rule rejects them. Repeated rows are judged
 one by one. An empty table gives an empty result. Texts of any length are read whole.
 """
 
@@ -18,40 +18,83 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(b"#*$%&|<>")] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_LETTER[0xC3:0xF5] = True  # lead bytes of other letters, one for each character
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_EXCLAIM = np.zeros(256, bool)
-_EXCLAIM[33] = True
 
-#: Documents of each batch that costs and selectivities are estimated on. Only the order of the rules depends on it.
-SAMPLE = 64
+
+def _of(*parts: bytes | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for part in parts:
+        out[list(part)] = True
+    return out
+
+
+#: Bytes that are counted; of letters beyond ASCII the lead bytes, one for each character.
+KINDS = {
+    "word": ~(C.SPACE | C._CONTINUATION),
+    "symbol": _of(b"#*$%&|<>"),
+    "letter": _of(range(65, 91), range(97, 123), range(0xC3, 0xF5)),
+    "upper": _of(range(65, 91)),
+    "exclaim": _of(b"!"),
+    "line": _of(b"\n"),
+}
+#: Documents that each statistic was made of in this process.
+MADE: dict[str, int] = {}
+
+#: Documents that costs and selectivities are estimated on, once for a table. Only the order of the rules depends on it.
+SAMPLE = 512
 
 
 class Page:
-    """A run of documents; statistics are made when a rule first asks for them, for the rows that it asks for."""
+    """A run of documents; a statistic is made when a rule first asks for it, and kept."""
 
     def __init__(self, raw: np.ndarray, at: np.ndarray) -> None:
         self.raw, self.at = raw, at
         self.words = C.Words(raw, at)
-        self.n_words = np.diff(self.words.at)
         self.hashes = C.run_hashes(raw, self.words.start, self.words.end)
-
-    def word_chars(self) -> np.ndarray:
-        return C.per_doc(~(C._SPACE | C._CONTINUATION)[self.raw], self.at)
-
-    def counted(self, which: np.ndarray) -> np.ndarray:
-        return C.per_doc(which[self.raw], self.at)
+        self.known: dict[str, np.ndarray] = {}
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.words.at)
+
+    def some(self, keep: np.ndarray) -> Page:
+        """The page of some of the documents, with what is known of them."""
+        part = object.__new__(Page)
+        sizes = np.diff(self.at)
+        part.raw = self.raw[np.repeat(keep, sizes)]
+        part.at = np.concatenate([[0], np.cumsum(sizes[keep])])
+        own = keep[self.words.doc]
+        shift = (self.at[:-1] - np.concatenate([[0], np.cumsum(np.where(keep, sizes, 0))[:-1]]))[self.words.doc[own]]
+        words = part.words = object.__new__(C.Words)
+        words.start, words.end = self.words.start[own] - shift, self.words.end[own] - shift
+        words.at = np.concatenate([[0], np.cumsum(self.n_words[keep])])
+        words.doc = np.repeat(np.arange(int(keep.sum())), np.diff(words.at))
+        part.hashes = self.hashes[own]
+        part.known = {name: x[keep] for name, x in self.known.items()}
+        return part
+
+    def _kept(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self.known:
+            MADE[name] = MADE.get(name, 0) + len(self.at) - 1
+            self.known[name] = make()
+        return self.known[name]
+
+    def counted(self, name: str) -> np.ndarray:
+        """Characters of each document of one of KINDS."""
+        return self._kept(name, lambda: C.per_doc(KINDS[name][self.raw], self.at))
 
     def dup_lines(self) -> np.ndarray:
         """Lines with a word that equal an earlier line of their document."""
+        return self._kept("dup_lines", self._dup_lines)
+
+    def repeat_words(self) -> np.ndarray:
+        """Words within 3-word windows that their document has twice or more."""
+        return self._kept("repeat_words", self._repeat_words)
+
+    def _dup_lines(self) -> np.ndarray:
         raw, at, n = self.raw, self.at, len(self.at) - 1
         cut = np.flatnonzero(raw == 10)
         start = np.concatenate([at[:-1], cut + 1])
@@ -65,8 +108,7 @@ class Page:
         start, end, doc = start[full], end[full], doc[full]
         return np.bincount(doc[self._repeats(C.run_hashes(raw, start, end), doc, True)], minlength=n)
 
-    def repeat_words(self) -> np.ndarray:
-        """Words within 3-word windows that their document has twice or more."""
+    def _repeat_words(self) -> np.ndarray:
         at, doc, n = self.words.at, self.words.doc, len(self.at) - 1
         if len(doc) < 3:
             return np.zeros(n, np.int64)
@@ -103,73 +145,82 @@ class Rule:
 RULES = (
     Rule("few_words", lambda p: p.n_words < 50),
     Rule("repeated_windows", lambda p: 100 * p.repeat_words() > 50 * p.n_words),
-    Rule("symbols", lambda p: 10 * p.counted(_SYMBOL) > np.maximum(p.n_words, 1)),
-    Rule("word_length", lambda p: (p.word_chars() < 2 * p.n_words) | (p.word_chars() > 15 * p.n_words)),
-    Rule("duplicate_lines", lambda p: (p.dup_lines() >= 4) & (100 * p.dup_lines() > 30 * (p.counted(np.arange(256) == 10) + 1))),
-    Rule("letters", lambda p: 100 * p.counted(_LETTER) < 60 * np.maximum(p.word_chars(), 1)),
-    Rule("upper_case", lambda p: 100 * p.counted(_UPPER) > 40 * np.maximum(p.counted(_LETTER), 1)),
-    Rule("exclamations", lambda p: 5 * p.counted(_EXCLAIM) > np.maximum(p.n_words, 1)),
+    Rule("symbols", lambda p: 10 * p.counted("symbol") > np.maximum(p.n_words, 1)),
+    Rule("word_length", lambda p: (p.counted("word") < 2 * p.n_words) | (p.counted("word") > 15 * p.n_words)),
+    Rule("duplicate_lines", lambda p: (p.dup_lines() >= 4) & (100 * p.dup_lines() > 30 * (p.counted("line") + 1))),
+    Rule("letters", lambda p: 100 * p.counted("letter") < 60 * np.maximum(p.counted("word"), 1)),
+    Rule("upper_case", lambda p: 100 * p.counted("upper") > 40 * np.maximum(p.counted("letter"), 1)),
+    Rule("exclamations", lambda p: 5 * p.counted("exclaim") > np.maximum(p.n_words, 1)),
 )
 
 
-def _part(raw: np.ndarray, at: np.ndarray, rows: np.ndarray) -> Page:
-    """The page of some of the documents."""
-    sizes = at[rows + 1] - at[rows]
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    take = np.repeat(at[rows] - offsets[:-1], sizes) + np.arange(offsets[-1])
-    return Page(raw[take], offsets)
+def estimated(page: Page, rules: tuple[Rule, ...]) -> list[tuple[float, float]]:
+    """(seconds, share rejected) of each rule on a page, statistics made anew for each."""
+    out = []
+    for rule in rules:
+        page.known.clear()
+        began = time.perf_counter()
+        rejected = (rule.fails(page).sum() + 0.5) / len(page.at)
+        out.append((max(time.perf_counter() - began, 1e-7), float(rejected)))
+    return out
 
 
-def order_rules(raw: np.ndarray, at: np.ndarray, rules: tuple[Rule, ...], sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """The rules by the share of the sample that they reject for each second, best first."""
-    n = len(at) - 1
-    rows = np.unique(np.linspace(0, n - 1, min(n, sample)).astype(np.int64))
-    page, scored = _part(raw, at, rows), []
-    for k, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = (rule.fails(page).sum() + 0.5) / (len(rows) + 1)
-        scored.append((-rejected / max(time.perf_counter() - began, 1e-7), k, rule))
-    return tuple(rule for *_, rule in sorted(scored, key=lambda x: x[:2]))
+def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> tuple[Rule, ...]:
+    """The rules by the share of a sample that they reject for each second, best first; ``texts`` (id, text)."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for _, _, raw, at in C.chunks(batch.column(1)):
+            made = estimated(Page(raw, at), rules)
+            yield {"rule": np.arange(len(rules)), "cost": np.array([x[0] for x in made]), "rejected": np.array([x[1] * (len(at) - 1) for x in made])}
+
+    few = texts.sample(0.2, seed=9).limit(sample)
+    rows = C.in_arrow(few, work, "rule long, cost double, rejected double").groupBy("rule").agg((F.sum("rejected") / F.sum("cost")).alias("worth")).collect()  # a row for each rule
+    worth = {r.rule: r.worth for r in rows}
+    return tuple(rule for _, _, rule in sorted(((-worth.get(k, 0.0), k, rule) for k, rule in enumerate(rules)), key=lambda x: x[:2]))
 
 
-def cascade(raw: np.ndarray, at: np.ndarray, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Which documents pass all rules; once half are rejected, later rules see a page of the rest only."""
-    rows = np.arange(len(at) - 1)
-    page, alive = Page(raw, at), np.ones(len(rows), bool)
+def cascade(page: Page, rules: tuple[Rule, ...]) -> np.ndarray:
+    """Which documents pass all rules. A rule sees a page of those documents only that no earlier rule has rejected."""
+    passed = np.ones(len(page.at) - 1, bool)
     for rule in rules:
-        if not alive.any():
-            break
-        if 2 * alive.sum() < len(alive):
-            rows = rows[alive]
-            page, alive = _part(raw, at, rows), np.ones(len(rows), bool)
-        alive &= ~rule.fails(page)
-    passed = np.zeros(len(at) - 1, bool)
-    passed[rows[alive]] = True
+        fails = rule.fails(page)
+        if fails.any():
+            passed[np.flatnonzero(passed)[fails]] = False
+            if not passed.any():
+                break
+            page = page.some(~fails)
     return passed
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row for each row of ``df``: statistics, ``base_failed`` and ``kept``, under the column ``doc_id``. No shuffle."""
+    """One row for each row of ``df``: statistics, ``base_failed`` and ``kept``, under the column ``doc_id``. No shuffle.
+
+    The statistics that are returned are made of every document, so the cascade finds them known; it makes the others of the
+    documents that are still in question.
+    """
+    own = C.texts(df, id_col, text_col)
+    order = order_rules(own, rules)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, order = batch.column(0), None
         for row, end, raw, at in C.chunks(batch.column(1)):
-            order = order or order_rules(raw, at, rules)
             page = Page(raw, at)
-            again = page.repeat_words()
+            again, lines, chars, symbols = page.repeat_words(), page.dup_lines(), page.counted("word"), page.counted("symbol")
             failed = (page.n_words < 50) | (100 * again > 50 * page.n_words)
+            kept = ~failed
+            if kept.any():
+                kept[kept] = cascade(page.some(~failed), order)
             yield {
-                "doc_id": ids.slice(row, end - row),
+                "doc_id": batch.column(0).slice(row, end - row),
                 "n_words": page.n_words.astype(np.int64),
-                "word_chars": page.word_chars(),
-                "n_symbols": page.counted(_SYMBOL),
-                "n_dup_lines": page.dup_lines().astype(np.int64),
+                "word_chars": chars,
+                "n_symbols": symbols,
+                "n_dup_lines": lines.astype(np.int64),
                 "n_repeat_words": again,
                 "base_failed": failed,
-                "kept": ~failed & cascade(raw, at, order),
+                "kept": kept,
             }
 
-    return C.in_arrow(C.texts(df, id_col, text_col), work, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return C.in_arrow(own, work, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -178,13 +229,12 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     Null and empty texts go; clashing column names can't occur as no column is added.
     """
     at_text = df.columns.index(text_col)
+    order = order_rules(C.texts(df, id_col, text_col), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, order, kept = batch.column(at_text).fill_null(""), None, []
-            for _, _, raw, at in C.chunks(column):
-                order = order or order_rules(raw, at, rules)
-                kept.append(cascade(raw, at, order))
+            column = batch.column(at_text).fill_null("")
+            kept = [cascade(Page(raw, at), order) for _, _, raw, at in C.chunks(column)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, context_tree, exact_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
+from . import chat, context_tree, exact_dedup, packing, pipeline, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
 from .common import ship_code
 
 _QUERIES = {
@@ -21,7 +20,7 @@ _QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_context_tree": context_tree.op10_context_tree,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 

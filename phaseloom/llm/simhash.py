@@ -12,7 +12,7 @@ every component whole without listing pairs.
 Equal fingerprints count once, so very large groups of copies cost nothing after the first aggregation.
 
 Null and empty texts have no words and the fingerprint zero, which is linked like any other. Repeated rows get equal
-results. An empty table gives an empty result. Extra columns are not read.
+results. A row without an identifier links nothing; it takes the component of the rows with its fingerprint, or none. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, fingerprint as 16 hex digits, component_id) for each row of ``df``; links are at 2 or fewer bits."""
     prints = C.durable(fingerprints(df, id_col, text_col, shingle))
     distinct = C.durable(prints.groupBy("fp", "cell").agg(F.min("id").alias("rep")))
-    found = components(link_fingerprints(distinct)).withColumnRenamed("node", "rep")
+    found = components(link_fingerprints(distinct.filter("rep is not null"))).withColumnRenamed("node", "rep")
     classes = distinct.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -168,15 +168,15 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(mark, node, id, n, pos, rep, fits) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
+    """(mark, node, id, n, pos, rep, rep_n, rep_pos) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
 
     The shingles of a set stand in one order for all documents: common ones last, else by hash. Two sets of at least this
     similarity have one in common among the first n - ceil(similarity * n) + 1 of each, so no pair is missed. ``node`` is a
-    hash of the set, ``rep`` the first set of the mark, ``fits`` whether the sizes, and what can follow the mark where it is the first that
-    the two share, allow the similarity. Equal sets count once; rows without a mark link (id, rep) such.
+    hash of the set, ``rep`` the first set of the mark, with its size and the mark's place in it. Equal sets count once; rows
+    without a mark link (id, rep) such.
     """
     common, often = common_shingles(df, id_col, text_col, shingle)
-    names = ["mark", "node", "id", "n", "pos", "rep"]
+    out_names = ["mark", "node", "id", "n", "pos", "rep", "rep_n", "rep_pos"]
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.asarray(batch.column(0))
@@ -232,75 +232,99 @@ def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, simila
                 first = first[new]
                 group = np.cumsum(first) - 1
                 rep, rep_n, rep_pos = (rows[k][np.flatnonzero(first)][group] for k in (2, 3, 4))
-                fits = (1 + similarity) * np.minimum(rows[3] - rows[4], rep_n - rep_pos) >= similarity * (rows[3] + rep_n) - 1e-6
                 out = (np.bincount(group)[group] > 1) & ~rows[5]
                 last = np.flatnonzero(first)[-1]
                 keep = [last] if last == len(first) - 1 else [last, len(first) - 1]
                 held = [x[keep] for x in rows[:5]] + [np.full(len(keep), len(keep) > 1)]
                 if out.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows[:5]), pa.array(rep[out]), pa.array(fits[out])], [*names, "fits"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (*rows[:5], rep, rep_n, rep_pos))], out_names)
             if len(links):
                 none = pa.nulls(len(links), pa.int64())
                 few = pa.array(np.zeros(len(links), np.int32))
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy()), pa.array(np.ones(len(links), bool))], [*names, "fits"])
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy()), few, few], out_names)
 
     schema = "mark long, node long, id long, n int, pos int, rep long"
-    marked = C.in_arrow(C.texts(df, id_col, text_col), work, schema)
-    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema + ", fits boolean")
+    marked = C.in_arrow(C.texts(df, id_col, text_col).filter("id is not null"), work, schema)
+    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema + ", rep_n int, rep_pos int")
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, n, pos, n2, pos2), one a shared mark, whose sets can have at least this similarity.
+
+    What two sets share, but for the shared marks of their prefixes, lies after the last of these in both, and outside the
+    prefix of one of them. If all their shared marks are given, no pair of this similarity is lost.
+    """
+    each = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), *(F.max(x).alias(x) for x in ("n", "n2", "pos", "pos2")))
+    after = [F.ceil(F.lit(similarity) * F.col(n) - 1e-6) - 1 for n in ("n", "n2")]  # outside the prefix
+    more = F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1, F.greatest(*after))
+    return each.filter((1 + similarity) * (F.col("c") + more) >= similarity * (F.col("n") + F.col("n2")) - 1e-6).select("a", "b")
 
 
 def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) with the components of all pairs of at least this similarity.
 
-    Each set is first tried against the first of its marks, which joins most of a large group. Then every pair that
-    shares a mark and isn't in one component by that is tried, so what the first tries leave apart is never lost.
+    Each set is first tried against the first of its marks, where they share many, which joins most of a large group. Then
+    every pair that shares a mark and isn't in one component by that is tried, so what the first tries leave apart is never
+    lost.
     """
     stored = C.durable(prefix_marks(df, id_col, text_col, shingle, similarity))
-    equal = stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    C.drop_shuffles(df.sparkSession)
+    equal = C.durable(stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     marks = stored.filter("mark is not null")
-    heads = marks.filter("id <> rep and fits").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
-    stars = C.durable(verified(heads, df, id_col, text_col, shingle, similarity))
+    first = marks.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "n", "pos", F.col("rep_n").alias("n2"), F.col("rep_pos").alias("pos2"))
+    heads = C.durable(_possible(first, similarity))
+    stars = verified(heads, df, id_col, text_col, shingle, similarity)
     found = components(stars).toDF("id", "component")
     placed = C.durable(marks.select("mark", "id", "n", "pos").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    C.discard(stored)
     mixed = placed.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("mark")
     one = placed.join(mixed, "mark", "left_semi")
     two = one.toDF("mark2", "id2", "n2", "pos2", "component2")
-    # the sizes, and what can still follow the shared shingle where it is the first, must allow the similarity
-    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    fits = (1 + similarity) * rest >= similarity * (F.col("n") + F.col("n2")) - 1e-6
+    # what two sets can share before and after a mark must allow the similarity
+    most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    fits = (1 + similarity) * most >= similarity * (F.col("n") + F.col("n2")) - 1e-6
     apart = one.join(two, (F.col("mark") == F.col("mark2")) & (F.col("id") > F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
-    pairs = apart.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
-    return equal.union(stars).union(verified(C.durable(pairs), df, id_col, text_col, shingle, similarity))
+    rest = C.durable(_possible(apart.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "pos", "n2", "pos2"), similarity).join(heads, ["a", "b"], "left_anti"))
+    more = verified(rest, df, id_col, text_col, shingle, similarity)
+    C.discard(placed, heads, rest)
+    C.drop_shuffles(df.sparkSession)
+    return equal.union(stars).union(more)
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of word shingles have at least this Jaccard similarity."""
-    own = C.texts(df, id_col, text_col)
+    """The pairs whose sets of word shingles have at least this Jaccard similarity, as a written table.
+
+    The sets of the documents in question are made once and written; only they meet the pairs.
+    """
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
+        for row, end, raw, at in C.chunks(batch.column(1)):
+            hashes, offsets = _sets(raw, at, shingle)
+            yield {"id": batch.column(0).slice(row, end - row), "set": pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())}
+
+    own = C.durable(C.in_arrow(C.texts(df, id_col, text_col).join(asked, "id", "left_semi"), sets, "id long, set binary"))
     both = pairs.join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        ok = []
-        sides = []
-        for k in (2, 3):
-            sets: list[np.ndarray] = []
-            for _, _, raw, at in C.chunks(batch.column(k)):
-                hashes, offsets = word_shingles(raw, at, shingle)
-                sets += [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            sides.append(sets)
-        for x, y in zip(*sides, strict=True):
+        ok = np.zeros(batch.num_rows, bool)
+        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
             common = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(common >= similarity * (len(x) + len(y) - common) and common > 0)
-        ok = np.array(ok)
+            ok[k] = common > 0 and common >= similarity * (len(x) + len(y) - common) - 1e-9
         yield {"a": np.asarray(batch.column(0))[ok], "b": np.asarray(batch.column(1))[ok]}
 
-    return C.in_arrow(both, work, "a long, b long")
+    made = C.durable(C.in_arrow(both, work, "a long, b long"))
+    C.discard(own)
+    return made
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the documents that have a near duplicate: five-word shingles, similarity 0.8 or more.
 
     At that similarity a 64-bit fingerprint differs in about ten bits, too many for any grid. So the candidates come from an
-    exact prefix filter over the shingle sets, and the Jaccard similarity decides. Empty texts are no one's duplicate here.
+    exact prefix filter over the shingle sets, and the Jaccard similarity decides. Empty texts and rows without an identifier
+    are no one's duplicate here; rows that share an identifier are one document.
     """
     return components(linked(df, id_col, text_col, shingle, similarity))
 

@@ -3,17 +3,21 @@
 Words are ``[^\\x20\\x09-\\x0D]+``, compared byte for byte. Of each document only the suffixes at minimisers are retained:
 in every run of WINDOW starts the one whose SEED words have the least hash. Any passage of SEED + WINDOW - 1 = 50 words
 therefore retains the same suffix wherever it occurs. The suffixes are sorted by their first SEED words (in hash order,
-which keeps equal ones together as any order does), then by document and position. Each is compared with the neighbour
-before it, and a match is extended left and right word by word, up to WINDOW - 1 words; what lies further is covered by
-the next retained suffix. The first occurrence in (document, position) order has no earlier neighbour and stays.
+which keeps equal ones together as any order does), and those with equal ones by the words that follow and, once more, by
+those that come before. On each side a suffix so meets the earlier one with most words in common, and the match is extended
+by these, up to WINDOW - 1 words; what lies further is covered by the next retained suffix. The first occurrence in
+(document, position) order has no earlier neighbour and stays. Words are compared by hashes: of 64 bits in the seed, of 24
+bits on the sides, so of 16.7 million borders one is drawn a word too far.
 
 So every repeat of 50 words or more is found whatever its number of copies, and a repeat of SEED to 49 words if its suffix
 was retained. A suffix meets the first of each context, not all copies. Within an Arrow batch suffixes are matched at once
 and only the first of each seed and context is shuffled, so the inner suffixes of a passage in a third of all documents
 send one row a batch.
 
-Null and empty texts and texts under 50 words have no spans. Of repeated rows the later ones are spans as a whole; rows
-that share an identifier are told apart by position only. An empty table gives an empty result.
+Null and empty texts and texts under 50 words have no spans. A document is an identifier with a text, of which 31 bits of a
+hash go with it: rows that share an identifier but not the text are different documents, and so are texts without an
+identifier, which come last. Rows that share both are one document, with spans for what others have before. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,17 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SEED, WINDOW = 40, 11
 _SIDE = WINDOW - 1
+#: Bits of a position; those above are of the text's hash, so that one column tells both.
+_BITS = 32
+_LAST_ID = np.iinfo(np.int64).max
 
 
 def retained(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk's retained suffixes: document, position in words, seed hash, and 16-bit hashes of the words around it.
+    """Of a chunk's retained suffixes: document, position in words, seed hash, and 24-bit hashes of the words around it.
 
     Those are of the words before the seed, nearest first, then of those after it; zero stands for no word.
     """
@@ -58,8 +65,8 @@ def retained(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     doc = words.doc[pick]
     around = pick[:, None] + np.concatenate([-np.arange(1, _SIDE + 1), np.arange(SEED, SEED + _SIDE)])
     inside = (around >= words.at[:-1][doc][:, None]) & (around < words.at[1:][doc][:, None])
-    near = np.zeros(around.shape, np.uint16)
-    near[inside] = (hashes[around[inside]] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    near = np.zeros(around.shape, np.uint32)
+    near[inside] = (hashes[around[inside]] % np.uint64(0xFFFFFF) + np.uint64(1)).astype(np.uint32)
     return doc, pick - words.at[:-1][doc], seeds[pick], near
 
 
@@ -83,9 +90,11 @@ def matched(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarra
         start = np.maximum(pos[a] - left, pos[b] + SEED + right)
         spans.append(np.stack([ids[a], start, pos[a] + SEED + right, ids[b]], 1)[(pos[a] + SEED + right > start) & (a >= old)])
 
+    text = pos >> _BITS
+    same_doc = lambda a, b: (ids[a] == ids[b]) & (text[a] == text[b])
     later = rows[~new[rows]]
-    foreign = later[ids[later] != ids[lead[later]]]
-    self_ = later[ids[later] == ids[lead[later]]]
+    foreign = later[~same_doc(later, lead[later])]
+    self_ = later[same_doc(later, lead[later])]
     own(self_, lead[self_], 0, 0)
     for side in (0, 1):
         depth, at, key = np.zeros(len(seeds), np.int64), rows, seeds[rows].view(np.uint64)
@@ -99,7 +108,7 @@ def matched(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarra
             keep[at[head == at]] = True
             other = head != at
             a, b = at[other], head[other]
-            same = ids[a] == ids[b]
+            same = same_doc(a, b)
             own(a[same], b[same], d * (side == 0), d * (side == 1))
             depth[a[~same]] = d
             at, key = at[n[group] > 1], key[n[group] > 1]
@@ -115,11 +124,11 @@ def merged(spans: np.ndarray) -> np.ndarray:
         return spans.reshape(0, 4)
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     new = np.ones(len(spans), bool)
-    new[1:] = spans[1:, 0] != spans[:-1, 0]
-    reach = spans[:, 2].copy()
+    new[1:] = (spans[1:, 0] != spans[:-1, 0]) | (spans[1:, 1] >> _BITS != spans[:-1, 1] >> _BITS)
+    reach = spans[:, 2] & ((1 << _BITS) - 1)
     group = np.cumsum(new) - 1
     lift = group * (reach.max() + 1)  # so that one running maximum does for all documents
-    reach = np.maximum.accumulate(reach + lift) - lift
+    reach = (np.maximum.accumulate(reach + lift) - lift) | spans[:, 2] >> _BITS << _BITS
     new[1:] |= spans[1:, 1] > reach[:-1]
     first = np.flatnonzero(new)
     return np.stack([spans[first, 0], spans[first, 1], np.maximum.reduceat(spans[:, 2], first), spans[first, 3]], 1)
@@ -137,7 +146,7 @@ def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray,
             column(pos, spans[:, 1]),
             pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 2]]), mask=none),
             pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 3]]), mask=none),
-            pa.concat_arrays([C.binary_rows(near), pa.nulls(m, pa.binary())]),
+            pa.concat_arrays([C.binary_rows(near.view(np.uint8).reshape(n, -1, 4)[:, :, :3].reshape(n, -1)), pa.nulls(m, pa.binary())]),
         ],
         ["mark", "id", "pos", "stop", "source", "near"],
     )
@@ -146,8 +155,8 @@ def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray,
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Retain suffixes; match them within the batch; give the first of each seed and context, and the spans."""
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        parts = [(ids[row:end][doc], pos, seeds, near) for row, end, raw, at in C.chunks(batch.column(1)) for doc, pos, seeds, near in [retained(raw, at)]]
+        ids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(2)) << _BITS
+        parts = [(ids[row:end][doc], pos | texts[row:end][doc], seeds, near) for row, end, raw, at in C.chunks(batch.column(1)) for doc, pos, seeds, near in [retained(raw, at)]]
         if not parts:
             continue
         own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -165,7 +174,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, ids, pos = (np.asarray(batch.column(k)) for k in range(3))
         spans = [np.stack([ids[done], pos[done], np.asarray(batch.column(3).drop_null()), np.asarray(batch.column(4).drop_null())], 1)]
         if not done.all():
-            near = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint16).reshape(-1, 2 * _SIDE)
+            three = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * _SIDE, 3)
+            near = np.zeros((len(three), 2 * _SIDE, 4), np.uint8)
+            near[:, :, :3] = three
+            near = near.reshape(len(three), -1).view(np.uint32)
             now = seeds[~done], ids[~done], pos[~done], near
             old = 0 if last is None else len(last[0])
             now = now if last is None else tuple(np.concatenate(x) for x in zip(last, now, strict=True))
@@ -178,16 +190,29 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["id", "start", "end", "source"])
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, source_id): passages that a smaller (identifier, position) has too."""
-    suffixes = C.texts(df, id_col, text_col).mapInArrow(_local, "mark long, id long, pos long, stop long, source long, near binary")
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND((1 << 31) - 1)
+
+
+def _document_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, start, end, source): passages that an earlier document has too; a null identifier as the largest."""
+    texts = C.texts(df, id_col, text_col).select(F.coalesce("id", F.lit(int(_LAST_ID))).alias("id"), "text", _text_hash(F.col("text")).alias("hash"))
+    suffixes = texts.mapInArrow(_local, "mark long, id long, pos long, stop long, source long, near binary")
     sorted_ = suffixes.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "id", "pos")
     spans = sorted_.mapInArrow(_neighbours, "id long, start long, end long, source long")
-    before = Window.partitionBy("id").orderBy("start", "end")
+    place = lambda c: F.col(c).bitwiseAND((1 << _BITS) - 1).alias(c)
+    spans = spans.select("id", F.shiftright("start", _BITS).alias("text_hash"), place("start"), place("end"), "source")
+    before = Window.partitionBy("id", "text_hash").orderBy("start", "end")
     reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = islands.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "source")).alias("from"))
-    return whole.filter(F.col("end") - F.col("start") >= SEED).select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), F.col("from.source").alias("source_id"))
+    whole = islands.groupBy("id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "source")).alias("from"))
+    return whole.filter(F.col("end") - F.col("start") >= SEED).select("id", "text_hash", "start", "end", F.col("from.source").alias("source"))
+
+
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start_word, end_word, source_id): passages that a smaller (identifier, text, position) has too."""
+    named = lambda c: F.nullif(F.col(c), F.lit(int(_LAST_ID)))
+    return _document_spans(df, id_col, text_col).select(named("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), named("source").alias("source_id"))
 
 
 def cut_words(column: pa.Array, spans: pa.Array) -> pa.Array:
@@ -212,10 +237,11 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     All columns stay, whatever their names. Null texts stay null and empty texts empty.
     """
-    spans = repeated_spans(df, id_col, text_col)
-    key, cut = C.distinct_name(df, "cut_id"), C.distinct_name(df, "cut")
-    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cut))
-    joined = df.join(lists, F.col(id_col).cast("long") == F.col(key), "left").select(*df.columns, cut)
+    key, text, cut = (C.distinct_name(df, x) for x in ("cut_id", "cut_text", "cut"))
+    one = F.struct(F.col("start").alias("start_word"), F.col("end").alias("end_word"))
+    lists = _document_spans(df, id_col, text_col).groupBy(F.col("id").alias(key), F.col("text_hash").alias(text)).agg(F.collect_list(one).alias(cut))
+    own = (F.coalesce(F.col(id_col).cast("long"), F.lit(int(_LAST_ID))) == F.col(key)) & (_text_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col(text))
+    joined = df.join(lists, own, "left").select(*df.columns, cut)
     at_text, names = df.columns.index(text_col), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

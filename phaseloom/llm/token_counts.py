@@ -1,13 +1,19 @@
 """Operator 3, token counts that follow edits.
 
 The pre-tokens of a document are cut into leaves of LEAF parts; a segment tree keeps the characters and tokens of every
-subtree. An edit finds its leaves by descending on characters. Encoding starts anew at the leaf before the edit, early
-enough that no earlier pre-token has seen a changed character, and goes on until a pre-token ends on an old leaf border
-after the edit: from there on nothing can differ, as the pattern has no memory but its position. The new count goes into
-the first leaf, the others become empty, and only the sums above them are renewed.
-
-Null and empty texts have no tokens. Repeated rows are counted each. An empty table gives an empty result. Extra columns
-are not read. Edits are (start, end, replacement) in code points of the old text, sorted and apart from each other.
+subtree. The leaves are kept in a table with the text (count_trees), so a document is encoded whole once; a later edit
+(edit_trees) builds the sums from the leaves, finds the leaves that it touches by descending on characters, and gives the
+table anew. Encoding starts at the leaf before the edit, early enough that no earlier pre-token has seen a changed
+character, and goes on until a pre-token ends on an old leaf border after the edit: from there on nothing can differ, as the
+pattern has no memory but its position. The new count goes into the first leaf, the others go, and only the sums above them
+are renewed.
+
+Counts are of plain text: the text of a special token counts as the characters that it has.
+
+Null and empty texts have no tokens. Repeated rows are counted each; edits of an identifier, null too, go to all its rows.
+An empty table gives an empty result. Extra columns are not read. Edits are (start, end, replacement) in code points of the
+old text; null bounds leave an edit out, a null replacement is empty, bounds beyond the text are drawn in, and of edits that
+overlap the first by (start, end) counts.
 """
 
 from __future__ import annotations
@@ -62,8 +68,8 @@ class Counter:
 class Tree:
     """Sums of characters and tokens over the leaves, in one array of nodes: children of k are 2 k and 2 k + 1."""
 
-    def __init__(self, chars: list[int], tokens: list[int]) -> None:
-        cut = np.arange(0, len(chars), LEAF)
+    def __init__(self, chars: list[int], tokens: list[int], leaf: int = LEAF) -> None:
+        cut = np.arange(0, len(chars), leaf)
         leaves = np.stack([np.add.reduceat(np.array(x, np.int64), cut) if len(cut) else np.zeros(0, np.int64) for x in (chars, tokens)], 1)
         self.n, self.size = len(leaves), 1 << max(0, (len(leaves) - 1).bit_length())
         self.sum = np.zeros((2 * self.size, 2), np.int64)
@@ -73,6 +79,16 @@ class Tree:
             self.sum[level // 2 : level] = self.sum[level : 2 * level : 2] + self.sum[level + 1 : 2 * level : 2]
             level //= 2
 
+    def leaves(self) -> np.ndarray:
+        """(characters, tokens) of the leaves that aren't empty."""
+        own = self.sum[self.size : self.size + self.n]
+        return own[own[:, 0] > 0]
+
+    @classmethod
+    def of_leaves(cls, chars: np.ndarray, tokens: np.ndarray) -> Tree:
+        """The tree of leaves that were kept."""
+        return cls(chars, tokens, 1)
+
     @property
     def tokens(self) -> int:
         return int(self.sum[1, 1])
@@ -147,50 +163,108 @@ def redactions(text: str) -> Edits:
     return out
 
 
+def in_order(edits: Edits, length: int) -> Edits:
+    """Edits drawn into a text of this length, sorted and apart from each other."""
+    out: Edits = []
+    for start, end, new in sorted((min(max(a, 0), length), min(max(b, a, 0), length), new or "") for a, b, new in edits if a is not None and b is not None):
+        if not out or start >= out[-1][1]:
+            out.append((start, end, new))
+    return out
+
+
 _COUNTERS: dict[str, Counter] = {}
 
 
-def _recounted(texts: list[str], all_edits: Iterator[Edits], vocabulary: str) -> dict:
+def _counter(vocabulary: str) -> Counter:
     if vocabulary not in _COUNTERS:
         _COUNTERS[vocabulary] = Counter(vocabulary)
-    counter, rows = _COUNTERS[vocabulary], []
-    for text, edits in zip(texts, all_edits, strict=True):
-        tree = Tree(*counter.parts(text)) if text else Tree([], [])
-        before = tree.tokens
+    return _COUNTERS[vocabulary]
+
+
+_TREES = "doc_id long, text string, tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+_COUNTS = "doc_id long, tokens_before long, tokens_after long, n_edits long, n_leaves long, chars_encoded long"
+
+
+def _lists(column: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in column])]).astype(np.int32)
+    values = np.concatenate(column).astype(np.int32) if column else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def count_trees(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """(doc_id, text, tokens, leaf_chars, leaf_tokens): the tree of every document, to be written and kept. No shuffle."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        counter = _counter(vocabulary)
+        for row in range(0, batch.num_rows, 500):
+            texts = batch.column(1).slice(row, 500)
+            leaves = [Tree(*counter.parts(x)).leaves() if x else np.zeros((0, 2), np.int64) for x in texts.to_pylist()]
+            yield {
+                "doc_id": batch.column(0).slice(row, 500),
+                "text": texts,
+                "tokens": np.array([x[:, 1].sum() for x in leaves], np.int64),
+                "leaf_chars": _lists([x[:, 0] for x in leaves]),
+                "leaf_tokens": _lists([x[:, 1] for x in leaves]),
+            }
+
+    return C.in_arrow(C.texts(df, id_col, text_col), work, _TREES)
+
+
+def _edited(texts: list[str], chars: pa.Array, tokens: pa.Array, all_edits: Iterator[Edits], vocabulary: str) -> tuple[list[str], list[np.ndarray], dict]:
+    """New texts, their leaves, and what was counted."""
+    counter, rows, new, kept = _counter(vocabulary), [], [], []
+    for text, c, t, edits in zip(texts, chars, tokens, all_edits, strict=True):
+        edits = in_order(edits, len(text))
         if text or not edits:
-            _, encoded = edit(tree, counter, text, edits)
-            rows.append((before, tree.tokens, len(edits), tree.n, encoded))
+            tree = Tree.of_leaves(c.values.to_numpy(), t.values.to_numpy())
+            before = tree.tokens
+            after, encoded = edit(tree, counter, text, edits)
         else:  # an empty text has no leaf to edit
-            new = "".join(e[2] for e in edits)
-            rows.append((0, len(counter.bpe.plain(new)), len(edits), 0, len(new)))
+            after = "".join(e[2] for e in edits)
+            tree, before, encoded = (Tree(*counter.parts(after)) if after else Tree([], [])), 0, len(after)
+        rows.append((before, tree.tokens, len(edits), tree.n, encoded))
+        new.append(after)
+        kept.append(tree.leaves())
     columns = np.array(rows, np.int64).reshape(-1, 5)
-    return dict(zip(("tokens_before", "tokens_after", "n_edits", "n_leaves", "chars_encoded"), (np.ascontiguousarray(c) for c in columns.T), strict=True))
+    names = ("tokens_before", "tokens_after", "n_edits", "n_leaves", "chars_encoded")
+    return new, kept, dict(zip(names, (np.ascontiguousarray(c) for c in columns.T), strict=True))
 
 
-_SCHEMA = "doc_id long, tokens_before long, tokens_after long, n_edits long, n_leaves long, chars_encoded long"
+def edit_trees(trees: DataFrame, edits: DataFrame | None = None, find: Callable[[str], Edits] = redactions, id_col: str = "doc_id", vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """The table of trees after edits, with tokens_before, n_edits, n_leaves and chars_encoded; only what edits touch is encoded.
 
-
-def recount(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[str], Edits] = redactions, vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """Token counts before and after the edits that ``find`` makes of each text. No shuffle."""
+    ``edits`` (id, start, end, replacement), or those that ``find`` makes of each text.
+    """
+    both = trees.select("doc_id", "text", "leaf_chars", "leaf_tokens", F.lit(None).cast("array<struct<start:int,end:int,replacement:string>>").alias("edits"))
+    if edits is not None:
+        one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("replacement").cast("string").alias("replacement"))
+        lists = edits.groupBy(F.col(id_col).cast("long").alias("of")).agg(F.array_sort(F.collect_list(one)).alias("edits"))
+        both = both.drop("edits").join(lists, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    given = edits is not None
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for row in range(0, batch.num_rows, 500):
-            texts = batch.column(1).slice(row, 500).to_pylist()
-            yield {"doc_id": batch.column(0).slice(row, 500)} | _recounted(texts, map(find, texts), vocabulary)
+            part = batch.slice(row, 500)
+            texts = part.column(1).to_pylist()
+            own = ([(e["start"], e["end"], e["replacement"]) for e in x or ()] for x in part.column(4).to_pylist()) if given else map(find, texts)
+            new, leaves, counts = _edited(texts, part.column(2), part.column(3), own, vocabulary)
+            yield {"doc_id": part.column(0), "text": pa.array(new, pa.string()), "tokens": counts["tokens_after"], "leaf_chars": _lists([x[:, 0] for x in leaves]), "leaf_tokens": _lists([x[:, 1] for x in leaves])} | counts
 
-    return C.in_arrow(C.texts(df, id_col, text_col), work, _SCHEMA)
+    return C.in_arrow(both, work, _TREES + ", tokens_before long, tokens_after long, n_edits long, n_leaves long, chars_encoded long").drop("tokens_after")
 
 
-def recount_edited(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """The same for a table of edits: id, start, end and replacement, named as in ``id_col`` and so."""
-    lists = edits.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("edits"))
-    both = C.texts(df, id_col, text_col).join(lists, "id", "left").select("id", "text", "edits")
+def _counts(edited: DataFrame) -> DataFrame:
+    return edited.select("doc_id", "tokens_before", F.col("tokens").alias("tokens_after"), "n_edits", "n_leaves", "chars_encoded")
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        given = ([(e["start"], e["end"], e["replacement"] or "") for e in x or ()] for x in batch.column(2).to_pylist())
-        yield {"doc_id": batch.column(0)} | _recounted(batch.column(1).to_pylist(), given, vocabulary)
 
-    return C.in_arrow(both, work, _SCHEMA)
+def recount(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[str], Edits] = redactions, vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """Token counts before and after the edits that ``find`` makes of each text, by trees that are written between. No shuffle."""
+    return _counts(edit_trees(C.durable(count_trees(df, id_col, text_col, vocabulary)), find=find, vocabulary=vocabulary))
+
+
+def recount_edited(df: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """The same for a table of edits: id, start, end and replacement, named as in ``id_col`` and so."""
+    return _counts(edit_trees(C.durable(count_trees(df, id_col, text_col, vocabulary)), edits, id_col=id_col, vocabulary=vocabulary))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

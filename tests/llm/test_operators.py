@@ -307,7 +307,7 @@ def test_packing_level_is_the_least_sum_of_squares():
             count[level + n] += level + n < 32
             best[level] = int((count[1:] ** 2).sum())
         assert n == 32 or best[packer.level(n)] == min(best.values())
-        packer.add(doc, bytes(4 * n))
+        packer.place(doc, n)
 
 
 def test_quality_model(spark, docs, empty):
