@@ -1,55 +1,5 @@
-"""A training corpus from raw documents in five stages, each written as Parquet and read again by the next."""
+"""The stages of the corpus pipeline; their code is in the subpackage of the operators."""
 
-from __future__ import annotations
+from phaseloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from phaseloom.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
-from phaseloom.llm.common import durable, ship_code
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the cascade of quality rules."""
-    ship_code(spark)
-    return quality_rules.keep_good(docs)
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return exact_dedup.drop_duplicates(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    ship_code(spark)
-    return simhash.drop_near_duplicates(docs)
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; n_chars is that of the new text."""
-    ship_code(spark)
-    return suffix_dedup.cut_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences of 2048 ids."""
-    ship_code(spark)
-    return packing.pack(docs)
-
-
-STAGES = [("quality", quality), ("exact", exact), ("near", near), ("repeats", repeats), ("packing", packed)]
-
-#: Tokenization and shingle hashing have no SQL form; tests hold the run against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage makes is written to the session's shared checkpoint folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        made = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return made
-        docs = durable(made)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
