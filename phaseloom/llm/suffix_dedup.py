@@ -10,9 +10,9 @@ by these, up to WINDOW - 1 words; what lies further is covered by the next retai
 bits on the sides, so of 16.7 million borders one is drawn a word too far.
 
 So every repeat of 50 words or more is found whatever its number of copies, and a repeat of SEED to 49 words if its suffix
-was retained. A suffix meets the first of each context, not all copies. Within an Arrow batch suffixes are matched at once
-and only the first of each seed and context is shuffled, so the inner suffixes of a passage in a third of all documents
-send one row a batch.
+was retained. A suffix meets the first of each context, not all copies. Within some megabytes of text suffixes are matched at
+once and only the first of each seed and context is shuffled, so the inner suffixes of a passage in a third of all
+documents send one row for these.
 
 Null and empty texts and texts under 50 words have no spans. A document is an identifier with a text, of which 31 bits of a
 hash go with it: rows that share an identifier but not the text are different documents, and so are texts without an
@@ -34,6 +34,8 @@ from . import common as C
 
 SEED, WINDOW = 40, 11
 _SIDE = WINDOW - 1
+#: Text whose suffixes are matched before the shuffle.
+LOCAL_BYTES = 8 << 20
 #: Bits of a position; those above are of the text's hash, so that one column tells both.
 _BITS = 32
 _LAST_ID = np.iinfo(np.int64).max
@@ -153,17 +155,16 @@ def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray,
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retain suffixes; match them within the batch; give the first of each seed and context, and the spans."""
+    """Retain suffixes; match them within LOCAL_BYTES of text; give the first of each seed and context, and the spans."""
     for batch in batches:
         ids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(2)) << _BITS
-        parts = [(ids[row:end][doc], pos | texts[row:end][doc], seeds, near) for row, end, raw, at in C.chunks(batch.column(1)) for doc, pos, seeds, near in [retained(raw, at)]]
-        if not parts:
-            continue
-        own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((pos, own, seeds))
-        own, pos, seeds, near = own[order], pos[order], seeds[order], near[order]
-        spans, keep = matched(seeds, own, pos, near)
-        yield _rows(seeds[keep], own[keep], pos[keep], near[keep], spans)
+        for row, end, _, _ in C.chunks(batch.column(1), LOCAL_BYTES) if batch.num_rows else ():
+            parts = [(ids[row + a : row + b][doc], pos | texts[row + a : row + b][doc], seeds, near) for a, b, raw, at in C.chunks(batch.column(1).slice(row, end - row)) for doc, pos, seeds, near in [retained(raw, at)]]
+            own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((pos, own, seeds))
+            own, pos, seeds, near = own[order], pos[order], seeds[order], near[order]
+            spans, keep = matched(seeds, own, pos, near)
+            yield _rows(seeds[keep], own[keep], pos[keep], near[keep], spans)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
