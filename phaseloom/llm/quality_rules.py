@@ -18,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common as C
 
@@ -43,8 +42,9 @@ KINDS = {
 #: Documents that each statistic was made of in this process.
 MADE: dict[str, int] = {}
 
-#: Documents that costs and selectivities are estimated on, once for a table. Only the order of the rules depends on it.
-SAMPLE = 512
+#: Costs and selectivities are estimated once for a table, on so many documents of each of so many partitions. Only the
+#: order of the rules depends on it.
+SAMPLE, SAMPLED = 256, 4
 
 
 class Page:
@@ -166,17 +166,21 @@ def estimated(page: Page, rules: tuple[Rule, ...]) -> list[tuple[float, float]]:
 
 
 def order_rules(texts: DataFrame, rules: tuple[Rule, ...], sample: int = SAMPLE) -> tuple[Rule, ...]:
-    """The rules by the share of a sample that they reject for each second, best first; ``texts`` (id, text)."""
+    """The rules by the share of a sample that they reject for each second, best first; ``texts`` (id, text).
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for _, _, raw, at in C.chunks(batch.column(1)):
-            made = estimated(Page(raw, at), rules)
-            yield {"rule": np.arange(len(rules)), "cost": np.array([x[0] for x in made]), "rejected": np.array([x[1] * (len(at) - 1) for x in made])}
-
-    few = texts.sample(0.2, seed=9).limit(sample)
-    rows = C.in_arrow(few, work, "rule long, cost double, rejected double").groupBy("rule").agg((F.sum("rejected") / F.sum("cost")).alias("worth")).collect()  # a row for each rule
-    worth = {r.rule: r.worth for r in rows}
-    return tuple(rule for _, _, rule in sorted(((-worth.get(k, 0.0), k, rule) for k, rule in enumerate(rules)), key=lambda x: x[:2]))
+    The sample is the first documents of a few partitions; what leaves them is a row for each rule.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, at in C.chunks(batch.column(1).slice(0, sample)) if batch.num_rows else ():
+                made = estimated(Page(raw, at), rules)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int64()), pa.array([x[0] for x in made]), pa.array([x[1] * (len(at) - 1) for x in made])], ["rule", "cost", "rejected"])
+                return
+
+    rows = texts.mapInArrow(work, "rule long, cost double, rejected double").limit(SAMPLED * len(rules)).collect()
+    worth = {k: sum(r.rejected for r in rows if r.rule == k) / max(sum(r.cost for r in rows if r.rule == k), 1e-9) for k in range(len(rules))}
+    return tuple(rule for _, _, rule in sorted(((-worth[k], k, rule) for k, rule in enumerate(rules)), key=lambda x: x[:2]))
 
 
 def cascade(page: Page, rules: tuple[Rule, ...]) -> np.ndarray:
