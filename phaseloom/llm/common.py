@@ -57,6 +57,17 @@ def durable(df: DataFrame) -> DataFrame:
     return made
 
 
+def bucketed(df: DataFrame, n: int, column: str) -> DataFrame:
+    """As durable(), in ``n`` buckets of a column: a later grouping by it takes them as they are, without a shuffle."""
+    name = f"phaseloom_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(name)
+    made = df.sparkSession.table(name)
+    made.stored_at, made.stored_as = path, name
+    _TABLES.append(made)
+    return made
+
+
 def tables() -> list[DataFrame]:
     """The tables of durable() that haven't been discarded."""
     return list(_TABLES)
@@ -66,6 +77,8 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables of durable() that nothing reads any more."""
     for table in tables:
         context = table.sparkSession.sparkContext
+        if "stored_as" in vars(table):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.stored_as}")
         path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         _TABLES[:] = [t for t in _TABLES if t is not table]

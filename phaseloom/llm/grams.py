@@ -2,7 +2,8 @@
 
 Documents are read once and stored in blocks of bounded size: the texts, compressed, and the distinct grams of the block,
 dealt into shards. A block's grams ask the model's table by a join on the shard and the gram, wherever it lies; the answers
-come back to the block, and each text is scored there against the answers of its block alone. So a text is never joined
+come back to the block, which stays where it was written, in a bucket, and each text is scored there against the answers of
+its block alone. So a text is never joined
 gram by gram, no table is broadcast, and what is shuffled is each block's distinct grams: sorted and as steps from each to
 the next, little over a byte each, and the answers as one blob for each block and shard.
 """
@@ -205,7 +206,7 @@ def blocks(docs: DataFrame, grams: Callable[[pa.RecordBatch], tuple[np.ndarray,
                 pa.default_memory_pool().release_unused()
                 block += 1
 
-    return C.durable(docs.mapInArrow(run, "block long, docs binary, keys array<binary>, counts array<binary>"))
+    return C.bucketed(docs.mapInArrow(run, "block long, docs binary, keys array<binary>, counts array<binary>"), n, "block")
 
 
 def _asked(stored: DataFrame) -> DataFrame:

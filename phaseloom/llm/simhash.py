@@ -168,15 +168,14 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) ->
 
 
 def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(mark, node, id, n, pos, rep, rep_n, rep_pos) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
+    """(mark, node, id, n, pos, rep) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
 
     The shingles of a set stand in one order for all documents: common ones last, else by hash. Two sets of at least this
     similarity have one in common among the first n - ceil(similarity * n) + 1 of each, so no pair is missed. ``node`` is a
-    hash of the set, ``rep`` the first set of the mark, with its size and the mark's place in it. Equal sets count once; rows
-    without a mark link (id, rep) such.
+    hash of the set. Equal sets count once; rows without a mark link (id, rep) such.
     """
     common, often = common_shingles(df, id_col, text_col, shingle)
-    out_names = ["mark", "node", "id", "n", "pos", "rep", "rep_n", "rep_pos"]
+    out_names = ["mark", "node", "id", "n", "pos", "rep"]
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = np.asarray(batch.column(0))
@@ -231,21 +230,20 @@ def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, simila
                 rows = [x[new] for x in rows]
                 first = first[new]
                 group = np.cumsum(first) - 1
-                rep, rep_n, rep_pos = (rows[k][np.flatnonzero(first)][group] for k in (2, 3, 4))
                 out = (np.bincount(group)[group] > 1) & ~rows[5]
                 last = np.flatnonzero(first)[-1]
                 keep = [last] if last == len(first) - 1 else [last, len(first) - 1]
                 held = [x[keep] for x in rows[:5]] + [np.full(len(keep), len(keep) > 1)]
                 if out.any():
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in (*rows[:5], rep, rep_n, rep_pos))], out_names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[out]) for x in rows[:5]), pa.nulls(int(out.sum()), pa.int64())], out_names)
             if len(links):
                 none = pa.nulls(len(links), pa.int64())
                 few = pa.array(np.zeros(len(links), np.int32))
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy()), few, few], out_names)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(links[:, 0].copy()), few, few, pa.array(links[:, 1].copy())], out_names)
 
     schema = "mark long, node long, id long, n int, pos int, rep long"
     marked = C.in_arrow(C.texts(df, id_col, text_col).filter("id is not null"), work, schema)
-    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema + ", rep_n int, rep_pos int")
+    return marked.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "node", "id").mapInArrow(meet, schema)
 
 
 def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -263,20 +261,26 @@ def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
 def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) with the components of all pairs of at least this similarity.
 
-    Each set is first tried against the first of its marks, where they share many, which joins most of a large group. Then
-    every pair that shares a mark and isn't in one component by that is tried, so what the first tries leave apart is never
-    lost.
+    Each set is first tried against the hub of each of its marks, where they share enough. The hub is the set of which the
+    greatest share of marks is shared: the text that a large group of copies comes from, if it is there, as a copy has marks
+    of its own where it was changed. Then every pair that shares a mark and isn't in one component by that is tried, so what
+    the first tries leave apart is never lost.
     """
     stored = C.durable(prefix_marks(df, id_col, text_col, shingle, similarity))
     C.drop_shuffles(df.sparkSession)
     equal = C.durable(stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     marks = stored.filter("mark is not null")
-    first = marks.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"), "n", "pos", F.col("rep_n").alias("n2"), F.col("rep_pos").alias("pos2"))
+    prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1
+    shares = marks.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).select("id", (F.col("c") / prefix).cast("float").alias("share"))
+    ranked = C.durable(marks.select("mark", "id", "n", "pos").join(shares, "id"))
+    C.discard(stored)
+    hubs = ranked.groupBy(F.col("mark").alias("of")).agg(F.max(F.struct("share", (-F.col("id")).alias("least"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias("hub"))
+    first = ranked.join(hubs, F.col("mark") == F.col("of")).filter(F.col("id") != F.col("hub.b")).select(F.col("id").alias("a"), "hub.b", "n", "pos", "hub.n2", "hub.pos2")
     heads = C.durable(_possible(first, similarity))
     stars = verified(heads, df, id_col, text_col, shingle, similarity)
     found = components(stars).toDF("id", "component")
-    placed = C.durable(marks.select("mark", "id", "n", "pos").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    C.discard(stored)
+    placed = C.durable(ranked.drop("share").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    C.discard(ranked)
     mixed = placed.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("mark")
     one = placed.join(mixed, "mark", "left_semi")
     two = one.toDF("mark2", "id2", "n2", "pos2", "component2")
