@@ -4,12 +4,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def parse_cigar(cigar: Column) -> Column:
     """Ordered array of struct(op, len); null or empty text gives an empty array."""
-    text = F.coalesce(cigar, F.lit(""))
-    lengths = F.regexp_extract_all(text, F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1))
-    ops = F.regexp_extract_all(text, F.lit(r"\d+([MIDNSHP=X])"), F.lit(1))
-    return F.zip_with(ops, lengths, lambda o, n: F.struct(o.alias("op"), n.cast("long").alias("len")))
+    parts = F.filter(F.split(F.coalesce(cigar, F.lit("")), "(?<=[MIDNSHP=X])"), lambda x: F.length(x) > 1)
+    return F.transform(parts, lambda x: F.struct(F.right(x, F.lit(1)).alias("op"), x.substr(F.lit(1), F.length(x) - 1).try_cast("long").alias("len")))
 
 
 def _total(ops: Column, kinds: tuple[str, ...]) -> Column:

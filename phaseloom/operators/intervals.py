@@ -99,16 +99,18 @@ def islands(df: DataFrame, keys: list[str], order: list[str], breaks, size: int
     """``df`` with ``cluster_no``, from 0 for each key: a row opens a new cluster where ``breaks(previous, row)`` holds.
 
     Two levels, so that a chromosome isn't one task: rows are compared within bins of ``order[0]``; a small table of each
-    bin's last row and number of clusters joins the bins.
+    bin's first and last row and number of clusters joins the bins. Rows are shuffled once.
     """
     row = F.struct(*order)
     binned = df.withColumn("_bin", F.floor(F.col(order[0]) / size).cast("long"))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_bin")
-    edges = binned.groupBy(*keys, "_bin").agg(F.max(row).alias("_last")).withColumn("_before", F.lag("_last").over(across)).drop("_last")
-    seen = binned.withColumn("_prev", F.lag(row).over(inside)).join(edges, [*keys, "_bin"]).withColumn("_prev", F.coalesce("_prev", "_before"))
-    flagged = seen.withColumn("_new", F.when(F.col("_prev").isNull(), 0).when(breaks(F.col("_prev"), row), 1).otherwise(0))
+    opens = lambda prev, own: F.when(prev.isNull(), 0).when(breaks(prev, own), 1).otherwise(0)
+    flagged = binned.withColumn("_prev", F.lag(row).over(inside)).withColumn("_new", opens(F.col("_prev"), row)).drop("_prev")
     running = flagged.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = flagged.groupBy(*keys, "_bin").agg(F.sum("_new").alias("_n"))
-    offset = sums.withColumn("_offset", F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return running.join(offset, [*keys, "_bin"]).withColumn("cluster_no", F.col("_run") + F.col("_offset")).drop("_bin", "_before", "_prev", "_new", "_run", "_offset")
+    # grouped as the rows are dealt already: a row for each bin
+    edges = flagged.groupBy(*keys, "_bin").agg(F.min(row).alias("_first"), F.max(row).alias("_last"), F.sum("_new").alias("_n"))
+    edges = edges.withColumn("_prev", F.lag("_last").over(across)).withColumn("_new", opens(F.col("_prev"), F.col("_first")))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_new")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = edges.select(*keys, "_bin", (before + F.col("_new")).alias("_offset"))
+    return running.join(offset, [*keys, "_bin"]).withColumn("cluster_no", F.col("_run") + F.col("_offset")).drop("_bin", "_new", "_run", "_offset")

@@ -1,11 +1,10 @@
 """P: filters and projections of alignments. Row-local except for the join with regions."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..params import Params
-from .intervals import bins
 
 
 def filter_alignments(df: DataFrame) -> DataFrame:
@@ -14,12 +13,27 @@ def filter_alignments(df: DataFrame) -> DataFrame:
 
 
 def restrict_to_bed(df: DataFrame, bed: DataFrame, bin_size: int = 1 << 16) -> DataFrame:
-    """Reads (ref_start, ref_end) that overlap a padded region. Regions meet reads by bins, so their number doesn't matter."""
-    regions = bed.select(F.col("chrom").alias("on"), "bed_start", "bed_end", F.explode(bins("bed_start", "bed_end", bin_size)).alias("bin"))
-    row = F.monotonically_increasing_id().alias("row")
-    probes = df.select("*", row, F.explode(bins("ref_start", "ref_end", bin_size)).alias("read_bin"))
-    cond = [F.col("chrom") == F.col("on"), F.col("bin") == F.col("read_bin"), F.col("ref_end") > F.col("bed_start"), F.col("ref_start") < F.col("bed_end")]
-    return probes.join(regions, cond, "left_semi").dropDuplicates(["row"]).drop("row", "read_bin")
+    """Reads (ref_start, ref_end) that overlap a padded region.
+
+    Of regions that don't touch, the last one that starts before a read's end decides. Each bin lists the regions that can be
+    that, so a read looks up one bin, by an equi-join on a unique key: rows are neither multiplied nor told apart again, and
+    Spark sends the regions to the reads, unshuffled, where their size allows.
+    """
+    by_start = Window.partitionBy("chrom").orderBy("bed_start", "bed_end")
+    reach = F.max("bed_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = bed.select("chrom", "bed_start", "bed_end", F.when(F.col("bed_start") <= reach, 0).otherwise(1).alias("new"))
+    runs = new.withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("chrom", "run").agg(F.min("bed_start").alias("start"), F.max("bed_end").alias("end"))
+    at = lambda c: F.floor(c / bin_size).cast("long")
+    next_ = F.lead("start").over(Window.partitionBy("chrom").orderBy("run"))
+    spread = whole.withColumn("next", F.coalesce(next_, "start")).select("chrom", F.struct("start", "end").alias("region"), F.explode(F.sequence(at(F.col("start")), at(F.col("next")))).alias("_bin"))
+    listed = spread.groupBy(F.col("chrom").alias("_on"), "_bin").agg(F.collect_list("region").alias("_regions"))
+    ends = whole.groupBy(F.col("chrom").alias("_of")).agg(F.max(F.struct("start", "end")).alias("_end"))
+    found = df.withColumn("_at", at(F.col("ref_end") - 1))
+    found = found.join(listed, [F.col("chrom") == F.col("_on"), F.col("_at") == F.col("_bin")], "left").join(ends, F.col("chrom") == F.col("_of"), "left")
+    inside = F.exists("_regions", lambda r: (r["start"] < F.col("ref_end")) & (r["end"] > F.col("ref_start")))
+    after = (F.col("_at") > at(F.col("_end.start"))) & (F.col("_end.end") > F.col("ref_start"))
+    return found.filter(F.coalesce(inside, F.lit(False)) | F.coalesce(after, F.lit(False))).select(*df.columns)
 
 
 def reads_table(df: DataFrame, min_mapq: int = Params.min_mapq) -> DataFrame:
@@ -30,8 +44,12 @@ def reads_table(df: DataFrame, min_mapq: int = Params.min_mapq) -> DataFrame:
     )
 
 
-def _walk(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
-    """Signals in CIGAR order: array of struct(svtype, pos, len, bases)."""
+def _walk(cigar: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
+    """Signals in CIGAR order: array of struct(svtype, pos, len, bases). The text is parsed once."""
+    return S.let(S.parse_cigar(cigar), lambda ops: _fold(ops, ref_start, seq, min_len))
+
+
+def _fold(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
     hard = F.when(F.get(ops, F.lit(0))["op"] == "H", F.get(ops, F.lit(0))["len"]).otherwise(0).cast("long")
     signal = "array<struct<svtype:string,pos:bigint,len:bigint,bases:string>>"
     start = F.struct(ref_start.cast("long").alias("ref"), (-hard).alias("query"), F.array().cast(signal).alias("found"))
@@ -53,12 +71,17 @@ def _walk(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
 def signal_arrays(df: DataFrame, p: Params = Params()) -> DataFrame:
     """``df`` with ``signals``, the insertions and deletions of each CIGAR in order. No shuffle."""
     able = df.filter((F.col("mapq") >= p.min_mapq) & (F.col("query_len") >= p.min_read_len))
-    return able.withColumn("signals", _walk(S.parse_cigar(F.col("cigar")), F.col("ref_start"), F.col("query_seq"), p.min_siglength))
+    return able.withColumn("signals", _walk(F.col("cigar"), F.col("ref_start"), F.col("query_seq"), p.min_siglength))
 
 
 def cigar_signals(df: DataFrame, p: Params = Params()) -> DataFrame:
     """(chrom, read_name, hp, svtype, pos, len, bases) of every long insertion and deletion."""
-    return signal_arrays(df, p).select("chrom", "read_name", "hp", F.inline("signals"))
+    return _listed(signal_arrays(df, p), F.col("signals"))
+
+
+def _listed(df: DataFrame, signals: Column) -> DataFrame:
+    """A row for each signal. The outer form keeps the planner from computing the signals twice, once to test for none."""
+    return df.select("chrom", "read_name", "hp", F.inline_outer(signals)).filter("svtype is not null")
 
 
 def merged_signals(signals: Column, svtype: str, gap: int = Params.merge_gap, uniform_gap: bool = False) -> Column:
@@ -92,8 +115,8 @@ def merged_signals(signals: Column, svtype: str, gap: int = Params.merge_gap, un
 
 def merge_in_read(df: DataFrame, p: Params = Params(), uniform_gap: bool = False) -> DataFrame:
     """cigar_signals() after joining neighbours within each read; rows carry ``signals``. No shuffle."""
-    both = F.concat(merged_signals(F.col("signals"), "DEL", p.merge_gap, uniform_gap), merged_signals(F.col("signals"), "INS", p.merge_gap))
-    return df.select("chrom", "read_name", "hp", F.inline(both))
+    both = S.let(F.col("signals"), lambda x: F.concat(merged_signals(x, "DEL", p.merge_gap, uniform_gap), merged_signals(x, "INS", p.merge_gap)))
+    return _listed(df, both)
 
 
 def segment(ops: Column, ref_start: Column, chrom: Column, strand: Column) -> Column:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of the signature lines of each type, in order.
@@ -84,14 +84,36 @@ def read_bed(spark: SparkSession, path: str, pad: int = 1000) -> DataFrame:
 
 
 def read_reference(spark: SparkSession, path: str, bin_size: int = 1 << 16) -> DataFrame:
-    """(chrom, bin, bin_start, bin_seq) of a FASTA file, one record a contig."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.length("value") > 0)
-    name = F.regexp_extract("value", r"^(\S+)", 1).alias("chrom")
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "").alias("seq")
-    whole = records.select(name, seq)
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.length("seq") - 1) / bin_size), F.lit(0)).cast("long"))).alias("bin")
-    cut = whole.select("chrom", "seq", at)
-    return cut.select("chrom", "bin", (F.col("bin") * bin_size).alias("bin_start"), F.col("seq").substr((F.col("bin") * bin_size + 1).cast("int"), F.lit(bin_size)).alias("bin_seq"))
+    """(chrom, bin, bin_start, bin_seq) of FASTA files.
+
+    Lines are read in splits as they lie; within a split each line gets its contig and offset by running sums, and a table
+    of a row for each split carries both on to the next. So a contig is no task's, and no line is searched twice.
+    """
+    where = ["file", "block"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.trim("value").alias("text"))
+    head = F.startswith("text", F.lit(">"))
+    marked = lines.select(*where, "row", F.when(head, F.regexp_extract("text", r"^>\s*(\S+)", 1)).alias("name"), F.when(~head, F.col("text")).alias("bases"))
+    marked = marked.withColumn("n", F.coalesce(F.length("bases"), F.lit(0)).cast("long"))
+    inside = Window.partitionBy(*where).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    told = marked.withColumns({"own": F.last("name", ignorenulls=True).over(inside), "total": F.sum("n").over(inside)})
+    told = told.withColumn("since", F.last(F.when(F.col("name").isNotNull(), F.col("total")), ignorenulls=True).over(inside))
+    splits = told.groupBy(*where).agg(F.max(F.struct("row", "own", (F.col("total") - F.coalesce("since", F.lit(0))).alias("tail"))).alias("end"), F.count("name").alias("heads"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    runs = splits.withColumn("run", F.coalesce(F.sum(F.when(F.col("heads") > 0, 1).otherwise(0)).over(before), F.lit(0)))
+    same = Window.partitionBy("file", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select(*where, F.last("end.own", ignorenulls=True).over(before).alias("carried"), F.col("run"), F.col("heads"), F.col("end.tail").alias("tail"))
+    # bases of the open contig before this split: of splits since its last header
+    opened = carried.filter("heads > 0").select("file", (F.col("run") + 1).alias("run"), F.col("tail").alias("opening"))
+    plain = F.coalesce(F.sum(F.when(F.col("heads") == 0, F.col("tail")).otherwise(0)).over(same), F.lit(0))
+    offsets = carried.withColumn("plain", plain).join(opened, ["file", "run"], "left").select(*where, "carried", (F.col("plain") + F.coalesce("opening", F.lit(0))).alias("ahead"))
+    placed = told.filter("n > 0").join(offsets, where)
+    start = F.col("total") - F.col("n") - F.coalesce("since", F.lit(0)) + F.when(F.col("own").isNull(), F.col("ahead")).otherwise(0)
+    placed = placed.select(F.coalesce("own", "carried").alias("chrom"), start.alias("start"), "n", "bases").filter("chrom is not null")
+    at = F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.col("start") + F.col("n") - 1) / bin_size))).alias("bin")
+    part = placed.select("chrom", "start", "n", "bases", at).withColumn("low", F.greatest(F.col("bin") * bin_size, "start"))
+    cut = F.col("bases").substr((F.col("low") - F.col("start") + 1).cast("int"), (F.least((F.col("bin") + 1) * bin_size, F.col("start") + F.col("n")) - F.col("low")).cast("int"))
+    whole = part.groupBy("chrom", "bin").agg(F.array_sort(F.collect_list(F.struct("low", cut.alias("bases")))).alias("parts"))
+    return whole.select("chrom", "bin", (F.col("bin") * bin_size).alias("bin_start"), F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("bin_seq"))
 
 
 def contigs(ref_bins: DataFrame) -> DataFrame:
