@@ -148,7 +148,7 @@ def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray,
             column(pos, spans[:, 1]),
             pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 2]]), mask=none),
             pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 3]]), mask=none),
-            pa.concat_arrays([C.binary_rows(near.view(np.uint8).reshape(n, -1, 4)[:, :, :3].reshape(n, -1)), pa.nulls(m, pa.binary())]),
+            pa.concat_arrays([C.binary_rows(near.view(np.uint8).reshape(n, 2 * _SIDE, 4)[:, :, :3].reshape(n, 6 * _SIDE)), pa.nulls(m, pa.binary())]),
         ],
         ["mark", "id", "pos", "stop", "source", "near"],
     )
@@ -178,7 +178,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             three = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * _SIDE, 3)
             near = np.zeros((len(three), 2 * _SIDE, 4), np.uint8)
             near[:, :, :3] = three
-            near = near.reshape(len(three), -1).view(np.uint32)
+            near = near.reshape(len(three), 8 * _SIDE).view(np.uint32)
             now = seeds[~done], ids[~done], pos[~done], near
             old = 0 if last is None else len(last[0])
             now = now if last is None else tuple(np.concatenate(x) for x in zip(last, now, strict=True))
