@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 
-
 def _of(*parts: bytes | range) -> np.ndarray:
     out = np.zeros(256, bool)
     for part in parts:

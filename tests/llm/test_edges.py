@@ -199,7 +199,7 @@ def test_quality_model_against_a_slow_one(spark):
         assert found[k].perplexity == pytest.approx(slow[k], rel=1e-5)
     for lang in ("en", "de"):
         unseen = sorted(found[k].perplexity for k, _, x in rows if x == lang and k not in half)
-        bound = unseen[math.ceil(quality_model.QUANTILE * len(unseen)) - 1] * quality_model.MARGIN
+        bound = unseen[math.ceil(quality_model.QUANTILE * len(unseen)) - 1]
         for k, _, x in rows:
             if x == lang:
                 assert found[k].threshold == pytest.approx(bound) and found[k].kept == (found[k].perplexity <= bound)
