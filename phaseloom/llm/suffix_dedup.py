@@ -12,7 +12,11 @@ bits on the sides, so of 16.7 million borders one is drawn a word too far.
 So every repeat of 50 words or more is found whatever its number of copies, and a repeat of SEED to 49 words if its suffix
 was retained. A suffix meets the first of each context, not all copies. Within some megabytes of text suffixes are matched at
 once and only the first of each seed and context is shuffled, so the inner suffixes of a passage in a third of all
-documents send one row for these.
+documents send one row for these. At the edges of such a passage every document has other words beside it, and its seed
+would fill one task. A sample of documents finds the seeds with more rows than an average partition. Their suffixes are
+dealt by seed, side and the next d words, one row for each d, to the groups of which they are the first within that text;
+any but the first of a group has an earlier suffix with d words more. So a group has one row for each LOCAL_BYTES of text
+at most, of which a task holds the first, and the spans are the same.
 
 Null and empty texts and texts under 50 words have no spans. A document is an identifier with a text, of which 31 bits of a
 hash go with it: rows that share an identifier but not the text are different documents, and so are texts without an
@@ -36,6 +40,8 @@ SEED, WINDOW = 40, 11
 _SIDE = WINDOW - 1
 #: Text whose suffixes are matched before the shuffle.
 LOCAL_BYTES = 8 << 20
+#: One document in this many is looked at for crowded seeds; it changes no result.
+SAMPLED = 32
 #: Bits of a position; those above are of the text's hash, so that one column tells both.
 _BITS = 32
 _LAST_ID = np.iinfo(np.int64).max
@@ -120,6 +126,38 @@ def matched(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarra
     return merged(np.concatenate(spans)), keep
 
 
+def levels(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes sorted by (seed, id, pos): (key, id, pos, side and depth) for each group of which one is the first.
+
+    A group has a seed and the next d words of one side in common; the groups of depth zero count as of the first side.
+    """
+    made = []
+    for side in (0, 1):
+        at, key = np.arange(len(seeds)), seeds.view(np.uint64)
+        for d in range(side, _SIDE + 1):
+            if d:
+                word = near[at, side * _SIDE + d - 1].astype(np.uint64)
+                at, key = at[word != 0], C.mixed(key + word * np.uint64(0x9E3779B97F4A7C15))[word != 0]
+            code = side * (_SIDE + 1) + d
+            group, first = np.unique(key, return_index=True)
+            made.append((C.mixed(group + np.uint64(code + 1)), at[first], np.full(len(first), code)))
+    key, at, code = (np.concatenate(x) for x in zip(*made, strict=True))
+    return key, ids[at], pos[at], code
+
+
+def met(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """(id, start, end, id of an earlier one) of all but the first of each group of levels(), sorted by (key, id, pos)."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    a, b = np.flatnonzero(~new), np.flatnonzero(new)[np.cumsum(new) - 1][~new]
+    side, d = np.divmod(code[a], _SIDE + 1)
+    start, end = pos[a] - d * (side == 0), pos[a] + SEED + d * (side == 1)
+    # an overlap with itself: the earlier occurrence stays whole
+    same = (ids[a] == ids[b]) & (pos[a] >> _BITS == pos[b] >> _BITS)
+    start = np.where(same, np.maximum(start, pos[b] + SEED + d * (side == 1)), start)
+    return np.stack([ids[a], start, end, ids[b]], 1)[start < end]
+
+
 def merged(spans: np.ndarray) -> np.ndarray:
     """Overlapping and touching spans of a document as one, with the source of the first."""
     if not len(spans):
@@ -136,50 +174,61 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], spans[first, 1], np.maximum.reduceat(spans[:, 2], first), spans[first, 3]], 1)
 
 
-def _rows(seeds: np.ndarray, ids: np.ndarray, pos: np.ndarray, near: np.ndarray, spans: np.ndarray) -> pa.RecordBatch:
-    """Suffixes and finished spans under one schema: a span has an end, and a mark that spreads it."""
-    n, m = len(seeds), len(spans)
-    none = np.arange(n + m) < n
-    column = lambda x, y: pa.array(np.concatenate([x, y]))
+def _rows(suffixes: tuple[np.ndarray, ...], crowded: tuple[np.ndarray, ...], spans: np.ndarray) -> pa.RecordBatch:
+    """Suffixes, rows of levels() and finished spans under one schema.
+
+    A suffix has the words around it, a row of levels() its side and depth as source, a span an end and a mark that spreads it.
+    """
+    seeds, ids, pos, near = suffixes
+    n, k, m = len(seeds), len(crowded[0]), len(spans)
+    row = np.arange(n + k + m)
+    column = lambda *x: pa.array(np.concatenate(x))
     return pa.RecordBatch.from_arrays(
         [
-            column(seeds.view(np.int64), C.mixed(spans[:, 0].astype(np.uint64)).view(np.int64)),
-            column(ids, spans[:, 0]),
-            column(pos, spans[:, 1]),
-            pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 2]]), mask=none),
-            pa.array(np.concatenate([np.zeros(n, np.int64), spans[:, 3]]), mask=none),
-            pa.concat_arrays([C.binary_rows(near.view(np.uint8).reshape(n, 2 * _SIDE, 4)[:, :, :3].reshape(n, 6 * _SIDE)), pa.nulls(m, pa.binary())]),
+            column(seeds.view(np.int64), crowded[0].view(np.int64), C.mixed(spans[:, 0].astype(np.uint64)).view(np.int64)),
+            column(ids, crowded[1], spans[:, 0]),
+            column(pos, crowded[2], spans[:, 1]),
+            pa.array(np.concatenate([np.zeros(n + k, np.int64), spans[:, 2]]), mask=row < n + k),
+            pa.array(np.concatenate([np.zeros(n, np.int64), crowded[3], spans[:, 3]]), mask=row < n),
+            pa.concat_arrays([C.binary_rows(near.view(np.uint8).reshape(n, 2 * _SIDE, 4)[:, :, :3].reshape(n, 6 * _SIDE)), pa.nulls(k + m, pa.binary())]),
         ],
         ["mark", "id", "pos", "stop", "source", "near"],
     )
 
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Retain suffixes; match them within LOCAL_BYTES of text; give the first of each seed and context, and the spans."""
-    for batch in batches:
-        ids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(2)) << _BITS
-        for row, end, _, _ in C.chunks(batch.column(1), LOCAL_BYTES) if batch.num_rows else ():
-            parts = [(ids[row + a : row + b][doc], pos | texts[row + a : row + b][doc], seeds, near) for a, b, raw, at in C.chunks(batch.column(1).slice(row, end - row)) for doc, pos, seeds, near in [retained(raw, at)]]
-            own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((pos, own, seeds))
-            own, pos, seeds, near = own[order], pos[order], seeds[order], near[order]
-            spans, keep = matched(seeds, own, pos, near)
-            yield _rows(seeds[keep], own[keep], pos[keep], near[keep], spans)
+def _kept(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray]]:
+    """Of each LOCAL_BYTES of text the first suffixes of each seed and context, sorted, and the spans found."""
+    ids, texts = np.asarray(batch.column(0)), np.asarray(batch.column(2)) << _BITS
+    for row, end, _, _ in C.chunks(batch.column(1), LOCAL_BYTES) if batch.num_rows else ():
+        parts = [(ids[row + a : row + b][doc], pos | texts[row + a : row + b][doc], seeds, near) for a, b, raw, at in C.chunks(batch.column(1).slice(row, end - row)) for doc, pos, seeds, near in [retained(raw, at)]]
+        own, pos, seeds, near = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, own, seeds))
+        own, pos, seeds, near = own[order], pos[order], seeds[order], near[order]
+        spans, keep = matched(seeds, own, pos, near)
+        yield (seeds[keep], own[keep], pos[keep], near[keep]), spans
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match the sorted suffixes, also across batches; pass finished spans on."""
-    last = None
+    last = head = None
     for batch in batches:
-        done = np.asarray(batch.column(3).is_valid())
-        seeds, ids, pos = (np.asarray(batch.column(k)) for k in range(3))
-        spans = [np.stack([ids[done], pos[done], np.asarray(batch.column(3).drop_null()), np.asarray(batch.column(4).drop_null())], 1)]
-        if not done.all():
+        done, whole = np.asarray(batch.column(3).is_valid()), np.asarray(batch.column(5).is_valid())
+        marks, ids, pos = (np.asarray(batch.column(k)) for k in range(3))
+        source = np.asarray(batch.column(4).fill_null(0))
+        spans = [np.stack([ids[done], pos[done], np.asarray(batch.column(3).drop_null()), source[done]], 1)]
+        crowded = ~done & ~whole
+        if crowded.any():
+            rows = tuple(x[crowded] for x in (marks, ids, pos, source))
+            rows = rows if head is None else tuple(np.concatenate(x) for x in zip(head, rows, strict=True))
+            spans.append(met(*rows))
+            first = np.flatnonzero(rows[0] == rows[0][-1])[:1]
+            head = tuple(x[first] for x in rows)
+        if whole.any():
             three = np.frombuffer(b"".join(batch.column(5).drop_null().to_pylist()), np.uint8).reshape(-1, 2 * _SIDE, 3)
             near = np.zeros((len(three), 2 * _SIDE, 4), np.uint8)
             near[:, :, :3] = three
             near = near.reshape(len(three), 8 * _SIDE).view(np.uint32)
-            now = seeds[~done], ids[~done], pos[~done], near
+            now = marks[whole], ids[whole], pos[whole], near
             old = 0 if last is None else len(last[0])
             now = now if last is None else tuple(np.concatenate(x) for x in zip(last, now, strict=True))
             made, keep = matched(*now, old)
@@ -191,14 +240,42 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["id", "start", "end", "source"])
 
 
+def crowded_seeds(texts: DataFrame) -> np.ndarray:
+    """Seeds that a sample of documents finds in more rows than an average partition has: fewer than there are partitions."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (seeds, *_), _ in _kept(batch):
+                key, n = np.unique(seeds.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["mark", "n"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("id", "hash"), F.lit(SAMPLED)) == 0)
+    counted = C.durable(sample.mapInArrow(count, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marks = counted.filter(F.col("n") > total / C.partitions(texts)).select("mark").toArrow()
+    C.discard(counted)
+    return np.sort(np.asarray(marks.column(0)).astype(np.int64))
+
+
 def _text_hash(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND((1 << 31) - 1)
 
 
-def _document_spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, start, end, source): passages that an earlier document has too; a null identifier as the largest."""
+def _document_spans(df: DataFrame, id_col: str, text_col: str, crowded: np.ndarray | None = None) -> DataFrame:
+    """(id, text_hash, start, end, source): passages that an earlier document has too; a null identifier as the largest.
+
+    ``crowded``: the seeds to deal by the words beside them, sorted; by default those of crowded_seeds().
+    """
     texts = C.texts(df, id_col, text_col).select(F.coalesce("id", F.lit(int(_LAST_ID))).alias("id"), "text", _text_hash(F.col("text")).alias("hash"))
-    suffixes = texts.mapInArrow(_local, "mark long, id long, pos long, stop long, source long, near binary")
+    crowded = crowded_seeds(texts) if crowded is None else crowded
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for suffixes, spans in _kept(batch):
+                own = np.isin(suffixes[0].view(np.int64), crowded)
+                yield _rows(tuple(x[~own] for x in suffixes), levels(*(x[own] for x in suffixes)), spans)
+
+    suffixes = texts.mapInArrow(local, "mark long, id long, pos long, stop long, source long, near binary")
     sorted_ = suffixes.repartition(C.partitions(df), "mark").sortWithinPartitions("mark", "id", "pos")
     spans = sorted_.mapInArrow(_neighbours, "id long, start long, end long, source long")
     place = lambda c: F.col(c).bitwiseAND((1 << _BITS) - 1).alias(c)

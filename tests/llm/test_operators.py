@@ -460,3 +460,42 @@ def test_quality_model_thresholds_of_a_small_language(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k, *_ in rows], "doc_id long, quality int, toxic int")
     found = _by_id(quality_model.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, trusted=20))
     assert found[9000].threshold > 2 * found[0].threshold and sum(found[k].kept for k in range(9000, 9040)) >= 38
+
+
+def _variants(documents: int) -> list[tuple[int, str]]:
+    """One passage of 50 words in all documents, and of other words before and after it few or none in common."""
+    rnd = random.Random(29)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for k in range(documents):
+        left, right = ([f"w{rnd.randrange(10**9)}" for _ in range(15)] for _ in "lr")
+        near, far = rnd.randint(0, 12), rnd.randint(0, 12)
+        left[15 - near :] = [f"l{i}" for i in range(near, 0, -1)]
+        right[:far] = [f"r{i}" for i in range(far)]
+        rows.append((k, " ".join(left + passage + right + (passage + right[:3] if k % 5 == 0 else []))))
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_suffix_dedup_of_crowded_seeds(spark, parts, monkeypatch):
+    df = spark.createDataFrame(rows := _variants(400), "doc_id long, text string").repartition(parts)
+    monkeypatch.setattr(suffix_dedup, "LOCAL_BYTES", 20_000)
+    seeds = {int(s) for _, t in rows for s in suffix_dedup.retained(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[2].view(np.int64)}
+    found = [
+        {(r.id, r.start, r.end) for r in suffix_dedup._document_spans(df, "doc_id", "text", np.array(crowded, np.int64)).collect()}
+        for crowded in ([], sorted(seeds), sorted(seeds)[::2])
+    ]
+    assert found[0] == found[1] == found[2]
+    words = {k: t.split() for k, t in rows}
+    for k in range(1, 400):
+        at = words[k].index("p0")
+        assert any(a <= at and b >= at + 50 for i, a, b in found[0] if i == k)
+
+
+def test_crowded_seeds_are_found(spark):
+    df = spark.createDataFrame(_variants(3000), "doc_id long, text string")
+    texts = suffix_dedup.C.texts(df, "doc_id", "text").select("id", "text", suffix_dedup._text_hash(suffix_dedup.F.col("text")).alias("hash"))
+    crowded = suffix_dedup.crowded_seeds(texts)
+    assert 1 <= len(crowded) < 8 and not len(suffix_dedup.crowded_seeds(texts.limit(0)))
+    spans = suffix_dedup.repeated_spans(df)
+    assert spans.select("doc_id").distinct().count() == 2999 + spans.filter("doc_id = 0").limit(1).count()
