@@ -15,8 +15,8 @@ once and only the first of each seed and context is shuffled, so the inner suffi
 documents send one row for these. At the edges of such a passage every document has other words beside it, and its seed
 would fill one task. A sample of documents finds the seeds with more rows than an average partition. Their suffixes are
 dealt by seed, side and the next d words, one row for each d, to the groups of which they are the first within that text;
-any but the first of a group has an earlier suffix with d words more. So a group has one row for each LOCAL_BYTES of text
-at most, of which a task holds the first, and the spans are the same.
+any but the first of a group has an earlier suffix with d words more. So a group has one row for each LOCAL_BYTES of text,
+or Arrow batch if smaller, of which a task holds the first, and the spans are the same.
 
 Null and empty texts and texts under 50 words have no spans. A document is an identifier with a text, of which 31 bits of a
 hash go with it: rows that share an identifier but not the text are different documents, and so are texts without an
