@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -136,11 +137,11 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Where the words ``[^\\x20\\x09-\\x0D]+`` of a chunk lie."""
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` of a chunk lie, or those of the bytes that ``word`` marks."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, at: np.ndarray, word: np.ndarray | None = None) -> None:
         n = len(raw)
-        word = ~SPACE[raw]
+        word = ~SPACE[raw] if word is None else word
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
@@ -222,9 +223,16 @@ def per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
+def column_names(schema: str) -> list[str]:
+    """Names of the columns of a schema in words, without those within them."""
+    while "<" in schema:
+        schema = re.sub("<[^<>]*>", "", schema)
+    return [part.split()[0] for part in schema.split(",")]
+
+
 def in_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over ``work``, which gives dicts of columns for each batch."""
-    names = [part.strip().split()[0] for part in schema.split(",")]
+    names = column_names(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, context_tree, exact_dedup, packing, pipeline, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
+from . import chat, context_tree, conversation_repair, decontaminate, exact_dedup, packing, periodic, pipeline, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
 from .common import ship_code
 
 _QUERIES = {
@@ -20,6 +20,9 @@ _QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_context_tree": context_tree.op10_context_tree,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
     "pipeline": pipeline.run,
 }
 

@@ -33,4 +33,4 @@ def test_stages(spark):
 
 
 def test_registry(spark, tmp_path):
-    assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) == 11
+    assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) == 14
