@@ -124,18 +124,18 @@ def runs(x: np.ndarray, at: np.ndarray, least: int = LEAST, times: int = TIMES)
         step = (tree.kth(low[able], high[able], k[able]) - b) * sign
         some = (step <= w) & (2 * step > w)
         # the earlier of the two occurrences: from there on words are equal to those a step further
-        steps.append(np.stack([step[some], b[some] - (step[some] if sign < 0 else 0)], 1))
-    steps = np.unique(np.concatenate(steps), axis=0)
+        steps.append(step[some] * len(x) + b[some] - (step[some] if sign < 0 else 0))
     made = [np.zeros((0, 3), np.int64)]
-    cut = np.flatnonzero(np.diff(steps[:, 0], prepend=-1))
-    for own in np.split(steps, cut[1:]) if len(steps) else ():
-        q = int(own[0, 0])
+    period, place = np.divmod(np.unique(np.concatenate(steps)), len(x))
+    cut = np.flatnonzero(np.diff(period, prepend=0))
+    for q, own in zip(period[cut].tolist(), np.split(place, cut[1:]), strict=True) if len(cut) else ():
         ends = np.concatenate([[-1], np.flatnonzero(x[:-q] != x[q:]), [len(x) - q]])
-        k = np.unique(np.searchsorted(ends, own[:, 1]))
+        k = np.searchsorted(ends, own)
+        k = k[np.diff(k, prepend=-1) > 0]
         start, length = ends[k - 1] + 1, ends[k] - ends[k - 1] - 1 + q
         long = length >= max(least, times * q)
         made.append(np.stack([start[long], length[long], np.full(int(long.sum()), q)], 1))
-    out = np.unique(np.concatenate(made), axis=0)
+    out = np.concatenate(made)
     return out[np.lexsort((out[:, 2], out[:, 0]))]
 
 
