@@ -1,79 +1,115 @@
 """A4: alleles of a small cluster whose haplotypes don't tell them apart, by two dynamic programs.
 
 The first chooses a chain of intervals that explains the reads' runs of signals best; the second deals each read's runs to
-the chosen intervals. A cluster that comes here has under 100 signals by rule, so one group is small whatever the input.
+the chosen intervals. A cluster that comes here has under 100 signals by rule. Clusters are read one after another from
+sorted partitions, many in one Arrow batch; within a cluster all intervals, reads and runs are arrays, without a loop over
+pairs of ends or over reads.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Likeness up to the first is ignored; between these, weakened; a run needs more than ASSIGNED to be dealt to an allele.
 IGNORED, WEAK, FULL, ASSIGNED = 0.3, 0.5, 0.8, 0.5
-#: Signals of a read that can be dealt to alleles.
-DEALT = 5
-_normal_cdf = np.vectorize(lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2))), otypes=[float])
+#: Signals of a read that can be dealt to alleles, and how far before its bounds a run may begin or end.
+DEALT, BACK = 5, 2
+#: Coefficients of the power series of the normal distribution's upper half, times the argument, by its square.
+_SERIES = [(-1) ** n / (math.factorial(n) * (2 * n + 1) * 2**n * math.sqrt(2 * math.pi)) for n in range(16)]
+#: Beyond this shift a likeness can't exceed IGNORED; the series is exact to some 1e-16 up to there.
+_SHIFT = 1.04
 
 
 def likeness(low, high, start, end, center) -> np.ndarray:
-    """How alike the interval [low, high] and a run from start to end with this weighted center are, in [0, 1]."""
+    """How alike the interval [low, high] and a run from start to end with this weighted center are; up to IGNORED: zero."""
     own, run = high - low + 1.0, end - start + 1.0
     common = np.maximum(0.0, np.minimum(high, end) - np.maximum(low, start) + 1)
-    scale = np.maximum(own * run / (own + run), common) * 2 / np.maximum(own, run)
+    longer = np.maximum(own, run)
+    value = np.maximum(own * run / (own + run), common) * 2 / longer * (np.minimum(own, run) / longer)
     shift = 6 * np.abs((low + high) / 2 - center) / (own + run)
-    return scale * np.minimum(own, run) / np.maximum(own, run) * (1 - _normal_cdf(shift))
-
-
-class ReadRuns:
-    """The signals of one read in order of position, with sums that give any run's length and center."""
-
-    def __init__(self, start: np.ndarray, length: np.ndarray) -> None:
-        self.start, self.end = start, start + length - 1
-        self.total = np.concatenate([[0.0], np.cumsum(length)])
-        self.moment = np.concatenate([[0.0], np.cumsum(length * (self.start + self.end) / 2)])
+    out = np.zeros(np.shape(value))
+    able = (value > 2 * IGNORED) & (shift < _SHIFT)
+    x = shift[able]
+    square, tail = x * x, np.zeros(len(x))
+    for c in reversed(_SERIES):
+        tail = tail * square + c
+    out[able] = value[able] * (0.5 - x * tail)
+    return np.where(out > IGNORED, out, 0.0)
+
+
+class Reads:
+    """The signals of a cluster by read, in each by position; sums give any run's length and center."""
+
+    def __init__(self, read: np.ndarray, pos: np.ndarray, length: np.ndarray) -> None:
+        self.row = np.lexsort((np.arange(len(pos)), pos, read))
+        self.start = pos[self.row].astype(float)
+        self.end = self.start + length[self.row] - 1
+        _, self.first, self.n = np.unique(read[self.row], return_index=True, return_counts=True)
+        self.of = np.repeat(np.arange(len(self.n)), self.n)
+        size = self.end - self.start + 1
+        self.total = np.concatenate([[0.0], np.cumsum(size)])
+        self.moment = np.concatenate([[0.0], np.cumsum(size * (self.start + self.end) / 2)])
+
+    def size(self, i, j) -> np.ndarray:
+        """Summed length of the signals i to j."""
+        return self.total[j + 1] - self.total[i]
 
     def like(self, low, high, i, j) -> np.ndarray:
-        """Likeness of an interval and the run of signals i to j."""
-        return likeness(low, high, self.start[i], self.end[j], (self.moment[j + 1] - self.moment[i]) / (self.total[j + 1] - self.total[i]))
+        """Likeness of intervals and the runs of signals i to j."""
+        return likeness(low, high, self.start[i], self.end[j], (self.moment[j + 1] - self.moment[i]) / self.size(i, j))
+
+    def counted(self, which: np.ndarray) -> np.ndarray:
+        """How many signals of each read (rows) are marked, for each column."""
+        return np.add.reduceat(which.astype(np.int64), self.first, axis=0)
 
-    def runs_within(self, low: int, highs: np.ndarray) -> np.ndarray:
-        """For each upper bound the last signal of the longest run that starts at or after low and stays within; -1: none."""
-        i = int(np.searchsorted(self.start, low))
-        reach = np.maximum.accumulate(self.end[i:])
-        n = np.searchsorted(reach, highs, "right")
-        return np.where((n > 0) & (highs > low), i + n - 1, -1)
+    def last_within(self, highs: np.ndarray) -> np.ndarray:
+        """For each signal (rows) and bound the last signal of the longest run that it begins within the bound; -1: none."""
+        out = np.full((len(self.start) + 1, len(highs)), -1)
+        own = np.append(self.of, -1)
+        for s in range(len(self.start) - 1, -1, -1):
+            after = out[s + 1] if own[s + 1] == own[s] else -1
+            out[s] = np.where(self.end[s] <= highs, np.maximum(after, s), -1)
+        return out[:-1]
 
 
-def interval_scores(reads: list[ReadRuns], lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+def interval_scores(reads: Reads, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
     """score[l, r, q]: worth of the interval (lows[l], highs[r]) counting only runs that end after highs[q]."""
-    n_high = len(highs)
-    score = np.zeros((len(lows), n_high, n_high))
-    gain = np.concatenate([[1.0], np.log(np.arange(2, len(reads) + 2))])
-    for a, low in enumerate(lows):
-        worth, ends = np.zeros((len(reads), n_high)), np.full((len(reads), n_high), -1)
-        for k, read in enumerate(reads):
-            last = read.runs_within(low, highs)
-            some = np.flatnonzero(last >= 0)
-            if len(some):
-                first = int(np.searchsorted(read.start, low))
-                s = read.like(low, highs[some], first, last[some])
-                weight = np.where(s >= FULL, s, np.where(s > WEAK, 2 * s * s - 0.48, 0.1 * s - 0.03))
-                share = (read.total[last[some] + 1] - read.total[first]) / (highs[some] - low + 1)
-                worth[k, some] = np.where(s > IGNORED, weight * share, 0.0)
-                ends[k, some] = np.where(s > IGNORED, read.end[last[some]], -1)
-        for b in range(n_high):
-            order = np.lexsort((worth[:, b], ends[:, b]))[::-1]
-            order = order[ends[order, b] >= 0]
-            if len(order):
-                sums = np.concatenate([[0.0], np.cumsum(worth[order, b] * gain[: len(order)])])
-                past = np.searchsorted(-ends[order, b], -highs[: b + 1], "left")  # how many runs end after each bound
-                score[a, b, : b + 1] = (past + 1) * sums[past] * (past > 0)
-    return score
+    n_low, n_high = len(lows), len(highs)
+    before = reads.counted(reads.start[:, None] < lows)  # signals of each read before each lower end
+    read, low = np.nonzero(before < reads.n[:, None])
+    lead = reads.first[read] + before[read, low]
+    last = reads.last_within(highs)[lead]
+    pair, high = np.nonzero((last >= 0) & (highs > lows[low][:, None]))
+    i, j, low = lead[pair], last[pair, high], low[pair]
+    s = reads.like(lows[low], highs[high], i, j)
+    some = s > 0
+    i, j, low, high, s = i[some], j[some], low[some], high[some], s[some]
+    weight = np.where(s >= FULL, s, np.where(s > WEAK, 2 * s * s - 0.48, 0.1 * s - 0.03))
+    worth = weight * reads.size(i, j) / (highs[high] - lows[low] + 1)
+    score = np.zeros((n_low * n_high, n_high))
+    if not len(worth):
+        return score.reshape(n_low, n_high, n_high)
+    # runs of an interval by end, then worth, both falling: the k-th counts with the weight ln k, the first with 1
+    group, end = low * n_high + high, np.searchsorted(highs, reads.end)[j]
+    fine = ((1 << 30) * (1 - worth / (worth.max() + 1e-300))).astype(np.int64)
+    order = np.argsort((group * n_high + (n_high - 1 - end)) << 31 | fine)
+    group, end, worth = group[order], end[order], worth[order]
+    ids, begin = np.unique(group, return_index=True)
+    size = np.diff(np.append(begin, len(group)))
+    turn = np.arange(len(group)) - np.repeat(begin, size)
+    gain = np.concatenate([[1.0], np.log(np.arange(2, len(reads.n) + 2))])
+    sums = np.concatenate([[0.0], np.cumsum(worth * gain[turn])])
+    own = np.repeat(np.arange(len(ids)), size)
+    past = size[:, None] - np.cumsum(np.bincount(own * n_high + end, minlength=len(ids) * n_high).reshape(len(ids), n_high), 1)
+    score[ids] = np.where(past > 0, (past + 1) * (sums[begin[:, None] + past] - sums[begin][:, None]), 0.0)
+    return score.reshape(n_low, n_high, n_high)
 
 
 def chosen_intervals(score: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> list[tuple[int, int, float]]:
@@ -107,61 +143,64 @@ def chosen_intervals(score: np.ndarray, lows: np.ndarray, highs: np.ndarray) ->
     return sorted(found[::-1], key=lambda x: x[1])
 
 
-def dealt_runs(read: ReadRuns, chosen: list[tuple[int, int, float]]) -> list[tuple[int, int, int]]:
-    """(interval, first, last signal) of the runs of a read that go to the chosen intervals, for the greatest worth."""
-    n = len(read.start)
-    best = [0.0] * (n + 1)  # the last place stands for "before the first signal"
-    origin: list[tuple] = [(-1, None)] * (n + 1)
-
-    def carry(i: int) -> None:
-        if best[i] < best[i - 1]:
-            best[i], origin[i] = best[i - 1], (i - 1, None)
-
-    now = 0
-    for which, (low, high, worth) in enumerate(chosen):
-        while now + 1 < n and read.end[now] < high:
-            now += 1
-            carry(now)
-        able = range(max(0, now - 2), min(DEALT, n))
-        for i in able:
-            carry(i)
-        opening = now
-        while opening >= 0 and read.start[opening] > low:
-            opening -= 1
-        for i in reversed(able):
-            for k in range(max(0, opening - 2), min(DEALT, i + 1)):
-                s = float(read.like(low, high, k, i))
-                if s > ASSIGNED and best[i] < best[k - 1] + s * worth:
-                    best[i], origin[i] = best[k - 1] + s * worth, (k - 1, (which, k, i))
-        for i in able:
-            carry(i)
-    while now + 1 < n:
-        now += 1
-        carry(now)
+def dealt_runs(reads: Reads, chosen: list[tuple[int, int, float]]) -> list[tuple[int, int, int]]:
+    """(interval, first, last signal) of the runs of all reads that go to the chosen intervals, for the greatest worth.
+
+    For each interval in turn, worth[r, i] becomes the most that the signals up to i of read r give, of the first DEALT ones:
+    what it was, or that of the signals before k and the likeness of the run k to i, for the first such k, or what the
+    signals up to i - 1 give. Runs may end from BACK signals before the first one that reaches the interval's end, and begin
+    from BACK signals before the last one that begins before it. ``taken`` is the interval and k of the last change of i.
+    """
+    if not chosen:
+        return []
+    lows, highs, gains = (np.array(x, float) for x in zip(*chosen, strict=True))
+    lift = reads.of * (reads.end.max() + 1)
+    reach = np.maximum.accumulate(reads.end + lift) - lift
+    now = np.minimum(reads.counted(reach[:, None] < highs), reads.n[:, None] - 1)
+    opening = np.minimum(reads.counted(reads.start[:, None] <= lows) - 1, now)
+    n_reads, k, i = len(reads.n), *np.triu_indices(DEALT)
+    first = np.minimum(reads.first[:, None] + k, len(reads.start) - 1)
+    last = np.minimum(reads.first[:, None] + i, len(reads.start) - 1)
+    there = i < reads.n[:, None]
+    worth = np.zeros((n_reads, DEALT + 1))  # [r, 0]: before the first signal
+    taken = np.full((n_reads, DEALT, 2), -1)
+    for t in range(len(chosen)):
+        able = there & (i >= now[:, t, None] - BACK) & (k >= opening[:, t, None] - BACK)
+        s = np.zeros(first.shape)
+        s[able] = reads.like(lows[t], highs[t], first[able], last[able])
+        offer = np.full((n_reads, DEALT, DEALT), -1.0)  # [r, i, k]
+        offer[:, i, k] = np.where(s > ASSIGNED, worth[:, k] + s * gains[t], -1.0)
+        best = offer.argmax(2)
+        most = np.take_along_axis(offer, best[:, :, None], 2)[:, :, 0]
+        more = most > worth[:, 1:]
+        worth[:, 1:] = np.where(more, most, worth[:, 1:])
+        taken[more] = np.stack([np.full(int(more.sum()), t), best[more]], 1)
+        for at in range(1, DEALT + 1):
+            carried = worth[:, at] < worth[:, at - 1]
+            worth[carried, at] = worth[carried, at - 1]
+            taken[carried, at - 1] = -1
     out = []
-    while now != -1:
-        now, run = origin[now]
-        if run is not None:
-            out.append(run)
+    for r, n in enumerate(np.minimum(reads.n, DEALT).tolist()):
+        at = n - 1
+        while at >= 0:
+            which, begin = taken[r, at].tolist()
+            if which >= 0:
+                out.append((which, int(reads.first[r]) + begin, int(reads.first[r]) + at))
+            at = begin - 1 if which >= 0 else at - 1
     return out
 
 
-def solve(names: list[str], pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int, list[int]]]:
-    """(start, length, members) of each allele; members are indices into the signals given.
+def solve(read: np.ndarray, pos: np.ndarray, length: np.ndarray) -> list[tuple[int, int, list[int]]]:
+    """(start, length, members) of each allele; members are indices into the signals given, ``read`` numbers the reads.
 
     An allele is where two reads or more agree; where no two do, single reads make alleles.
     """
-    order = np.argsort(pos, kind="stable")
-    rows_of: dict[str, list[int]] = {}
-    for row in order.tolist():
-        rows_of.setdefault(names[row], []).append(row)
-    reads = [ReadRuns(pos[rows].astype(float), length[rows].astype(float)) for rows in rows_of.values()]
+    reads = Reads(read, pos, length)
     lows, highs = np.unique(pos), np.unique(np.concatenate([[0], pos + length - 1]))
     chosen = chosen_intervals(interval_scores(reads, lows, highs), lows, highs)
     runs: list[list[tuple[int, int, list[int]]]] = [[] for _ in chosen]
-    for read, rows in zip(reads, rows_of.values(), strict=True):
-        for which, i, j in dealt_runs(read, chosen):
-            runs[which].append((int(read.start[i]), int(read.end[j]), rows[i : j + 1]))
+    for which, i, j in dealt_runs(reads, chosen):
+        runs[which].append((int(reads.start[i]), int(reads.end[j]), reads.row[i : j + 1].tolist()))
     least = 2 if any(len(x) > 1 for x in runs) else 1
     made = []
     for own in runs:
@@ -172,14 +211,44 @@ def solve(names: list[str], pos: np.ndarray, length: np.ndarray) -> list[tuple[i
 
 
 def allele_dp(clusters: DataFrame) -> DataFrame:
-    """(win_id, allele, start, length, read_name, pos, len, hp): one row a member signal; alleles numbered by position."""
+    """(win_id, allele, start, length, read_name, pos, len, hp): one row a member signal; alleles numbered by position.
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos", "len", "read_name"], kind="stable").reset_index(drop=True)
-        made = solve(group["read_name"].tolist(), group["pos"].to_numpy(np.int64), group["len"].to_numpy(np.int64))
-        parts = [group.loc[rows].assign(allele=k, start=start, length=length) for k, (start, length, rows) in enumerate(made)]
-        return pd.concat(parts)[columns] if parts else pd.DataFrame({c: [] for c in columns})
+    Clusters are dealt and sorted by ``win_id``, with one shuffle; of a partition no more than an Arrow batch and one cluster
+    is held.
+    """
+    order = ["win_id", "pos", "len", "read_name"]
+    schema = pa.schema([("win_id", pa.string()), ("allele", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("read_name", pa.string()), ("pos", pa.int64()), ("len", pa.int64()), ("hp", pa.int32())])
+
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        """The alleles of whole clusters, one after another."""
+        read, pos, length = np.asarray(table["read_name"].combine_chunks().dictionary_encode().indices), np.asarray(table["pos"]), np.asarray(table["len"])
+        win = np.asarray(table["win_id"].combine_chunks().dictionary_encode().indices)
+        edge = np.append(np.flatnonzero(np.diff(win, prepend=-1)), len(win))
+        rows, alleles, starts, lengths = [], [], [], []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for k, (start, size, members) in enumerate(solve(read[a:b], pos[a:b], length[a:b])):
+                rows += [a + row for row in members]
+                alleles += [k] * len(members)
+                starts += [start] * len(members)
+                lengths += [size] * len(members)
+        own = table.take(pa.array(rows, pa.int64())).combine_chunks()
+        made = [pa.array(alleles, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())]
+        columns = [own["win_id"], *made, own["read_name"], own["pos"], own["len"], own["hp"]]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table.num_rows:
+                win = table["win_id"].combine_chunks()
+                open_ = pa.compute.index(win, win[len(win) - 1]).as_py()
+                if open_:
+                    yield from solved(table.slice(0, open_)).to_batches()
+                rest = table.slice(open_)
+        if rest is not None:
+            yield from solved(rest).to_batches()
 
-    columns = ["win_id", "allele", "start", "length", "read_name", "pos", "len", "hp"]
     rows = clusters.select("win_id", "read_name", F.col("pos").cast("long").alias("pos"), F.col("len").cast("long").alias("len"), F.col("hp").cast("int").alias("hp"))
-    return rows.groupBy("win_id").applyInPandas(one, "win_id string, allele int, start long, length long, read_name string, pos long, len long, hp int")
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "win_id").sortWithinPartitions(*order).mapInArrow(run, "win_id string, allele int, start long, length long, read_name string, pos long, len long, hp int")
