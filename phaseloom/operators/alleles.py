@@ -6,33 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Params
+from .keys import sample
 
 
 def length_chain(sig: DataFrame, by: list[str], ratio: float = Params.len_ratio) -> DataFrame:
     """``sig`` with ``allele``: signals in order of length; one that exceeds the running mean by ``ratio`` opens another.
 
-    The boundary depends on the members so far, so the lengths of a cluster are folded in one array; only distinct
-    lengths with their counts enter it.
+    The boundary depends on the members so far, so the distinct lengths of a cluster with their counts are walked in order.
+    Only the borders are gathered on the way: an allele's least length is over 1 + ``ratio`` times the mean of the one before,
+    so a few dozen at most for lengths of any size, however many signals a cluster has. A walk reads each length once and
+    changes four numbers.
     """
     lengths = sig.groupBy(*by, "len").agg(F.count(F.lit(1)).alias("n"))
-    packed = lengths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("len", "n"))).alias("all"))
-    kind = "struct<done:array<struct<len:bigint,allele:int>>,allele:int,total:double,n:bigint>"
-    start = F.struct(F.array().cast("array<struct<len:bigint,allele:int>>").alias("done"), F.lit(0).alias("allele"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n")).cast(kind)
+    packed = lengths.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("len").cast("long").alias("len"), "n"))).alias("all"))
+    kind = "struct<borders:array<bigint>,total:double,n:bigint>"
+    start = F.struct(F.array().cast("array<bigint>").alias("borders"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n")).cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
         mean = acc["total"] / F.when(acc["n"] > 0, acc["n"])
-        new = F.coalesce(x["len"] - mean > ratio * mean, F.lit(False))
-        allele = (acc["allele"] + new.cast("int")).alias("allele")
+        new = F.coalesce(x["len"] - mean > ratio * mean, F.lit(True))
         total, n = (x["len"] * x["n"]).cast("double"), x["n"]
-        return F.struct(
-            F.concat(acc["done"], F.array(F.struct(x["len"].cast("long").alias("len"), (acc["allele"] + new.cast("int")).alias("allele")))).alias("done"),
-            allele,
-            F.when(new, total).otherwise(acc["total"] + total).alias("total"),
-            F.when(new, n).otherwise(acc["n"] + n).alias("n"),
-        ).cast(kind)
+        opened = F.struct(F.concat(acc["borders"], F.array(x["len"])).alias("borders"), total.alias("total"), n.alias("n"))
+        return F.when(new, opened).otherwise(F.struct(acc["borders"].alias("borders"), (acc["total"] + total).alias("total"), (acc["n"] + n).alias("n"))).cast(kind)
 
-    found = packed.select(*by, F.inline(F.aggregate("all", start, step, lambda acc: acc["done"])))
-    return sig.join(found, [*by, "len"])
+    found = packed.select(*by, F.aggregate("all", start, step, lambda acc: acc["borders"]).alias("borders"))
+    told = sig.join(found, by)
+    past = F.aggregate("borders", F.lit(-1), lambda acc, low: acc + (F.col("len") >= low).cast("int"))
+    return told.select(*sig.columns, past.alias("allele"))
 
 
 def interval(std: Column, n: Column) -> Column:
@@ -41,8 +41,8 @@ def interval(std: Column, n: Column) -> Column:
     return F.concat(F.lit("-"), x, F.lit(","), x)
 
 
-def allele_stats(chained: DataFrame, by: list[str], mode: str = "germline") -> DataFrame:
-    """Position, length, their spread and the length fence of each allele."""
+def allele_stats(chained: DataFrame, by: list[str], mode: str = "germline", more: list[Column] | None = None) -> DataFrame:
+    """Position, length, their spread and the length fence of each allele; ``more``: further aggregates in the same pass."""
     q = lambda p: F.expr(f"percentile(len, {p})")
     got = chained.groupBy(*by, "allele").agg(
         F.count(F.lit(1)).alias("n_signals"),
@@ -55,6 +55,7 @@ def allele_stats(chained: DataFrame, by: list[str], mode: str = "germline") -> D
         F.stddev_pop("len").alias("std_len"),
         q(0.25).alias("q1"),
         q(0.75).alias("q3"),
+        *(more or []),
     )
     if mode == "mosaic":
         fence = (F.col("min_len").cast("double"), F.col("max_len").cast("double"))
@@ -97,7 +98,7 @@ def dup_alleles(clusters: DataFrame, by: list[str], p: Params = Params()) -> Dat
     ranked = chained.withColumn("i", F.row_number().over(whole.orderBy("pos2", *ties)) - 1).withColumn("n", F.count(F.lit(1)).over(whole))
     low, high = F.floor(F.col("n") * 0.4), F.floor(F.col("n") * 0.6)
     middle = (F.col("i") >= low) & (F.col("i") < F.greatest(high, low + 1))
-    made = ranked.groupBy(*by, "chrom", "allele").agg(
+    made = ranked.groupBy(*sample(clusters), *by, "chrom", "allele").agg(
         *(F.floor(F.avg(F.when(middle, F.col(c)))).alias(f"bp{k}") for k, c in ((1, "pos"), (2, "pos2"))), F.count_if(F.col("turn") == 1).cast("int").alias("n_reads"), *_reads_by_hp()
     )
     return made.filter((F.col("n_reads") >= p.min_support) & _within(F.col("bp2") - F.col("bp1"), p))
@@ -107,7 +108,7 @@ def inv_alleles(clusters: DataFrame, by: list[str], p: Params = Params(), least:
     """Breakpoints are means rounded half to even; ``strand`` is that of the first signal. ``least``: support of a cluster, over ``by``."""
     ties = ("pos", "strand", "read_name")
     chained = _once(_second_chain(clusters, by, p.gap_dup_inv, *ties), by, *ties)
-    made = chained.groupBy(*by, "chrom", "allele").agg(
+    made = chained.groupBy(*sample(clusters), *by, "chrom", "allele").agg(
         *(F.bround(F.avg(c), 0).cast("long").alias(f"bp{k}") for k, c in ((1, "pos"), (2, "pos2"))),
         F.count(F.lit(1)).alias("n_signals"),
         F.count_if(F.col("turn") == 1).cast("int").alias("n_reads"),
@@ -134,7 +135,7 @@ def tra_alleles(clusters: DataFrame, p: Params = Params()) -> DataFrame:
     """The two alleles with most reads of each cluster, of two reads or more; the first signal of each read counts."""
     by, ties = ["win_id"], ("pos", "read_name")
     chained = _once(_second_chain(clusters, by, p.gap_tra, *ties), by, *ties).filter("turn = 1")
-    made = chained.groupBy("win_id", "chrom", "chrom2", "bnd_type", "allele").agg(
+    made = chained.groupBy(*sample(clusters), "win_id", "chrom", "chrom2", "bnd_type", "allele").agg(
         F.floor(F.avg("pos")).alias("bp1"), F.floor(F.avg("pos2")).alias("bp2"), F.count(F.lit(1)).cast("int").alias("n_reads"), *_reads_by_hp()
     )
     rank = F.row_number().over(Window.partitionBy("win_id").orderBy(F.desc("n_reads"), "allele"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..params import Params
+from .keys import sample
 
 
 def filter_alignments(df: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def reads_table(df: DataFrame, min_mapq: int = Params.min_mapq) -> DataFrame:
     """(chrom, ref_start, ref_end, is_primary, read_name, hp) of reads mapped well enough."""
     ops = S.parse_cigar(F.col("cigar"))
     return df.filter(F.col("mapq") >= min_mapq).select(
-        "chrom", "ref_start", (F.col("ref_start") + S.reference_span(ops)).alias("ref_end"), F.col("flag").isin(0, 16).cast("int").alias("is_primary"), "read_name", "hp"
+        *sample(df), "chrom", "ref_start", (F.col("ref_start") + S.reference_span(ops)).alias("ref_end"), F.col("flag").isin(0, 16).cast("int").alias("is_primary"), "read_name", "hp"
     )
 
 
@@ -81,7 +82,7 @@ def cigar_signals(df: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _listed(df: DataFrame, signals: Column) -> DataFrame:
     """A row for each signal. The outer form keeps the planner from computing the signals twice, once to test for none."""
-    return df.select("chrom", "read_name", "hp", F.inline_outer(signals)).filter("svtype is not null")
+    return df.select(*sample(df), "chrom", "read_name", "hp", F.inline_outer(signals)).filter("svtype is not null")
 
 
 def merged_signals(signals: Column, svtype: str, gap: int = Params.merge_gap, uniform_gap: bool = False) -> Column:
@@ -141,7 +142,7 @@ def split_segments(df: DataFrame, p: Params = Params(), sa_zero_based: bool = Fa
     segs = F.concat(F.when(good, F.array(own)).otherwise(F.array().cast("array<struct<read_start:bigint,read_end:bigint,ref_start:bigint,ref_end:bigint,chrom:string,strand:string>>")), more)
     read_len = F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["op"].isin("M", "I", "S", "H", "=", "X"), x["len"]).otherwise(0))
     kept = ["query_seq"] if bases else []
-    return rows.select("read_name", "hp", F.array_sort(segs).alias("segs"), read_len.alias("read_len"), *kept).filter(F.size("segs") > 0)
+    return rows.select(*sample(df), "read_name", "hp", F.array_sort(segs).alias("segs"), read_len.alias("read_len"), *kept).filter(F.size("segs") > 0)
 
 
 def clip_points(split: DataFrame) -> DataFrame:
@@ -150,11 +151,11 @@ def clip_points(split: DataFrame) -> DataFrame:
     ends = F.array(
         F.struct(first["chrom"].alias("chrom"), F.lit(0).alias("side"), first["ref_start"].alias("pos")), F.struct(last["chrom"].alias("chrom"), F.lit(1).alias("side"), last["ref_end"].alias("pos"))
     )
-    return split.select("read_name", "hp", F.inline(ends)).select("chrom", "read_name", "side", "pos", "hp")
+    return split.select(*sample(split), "read_name", "hp", F.inline(ends)).select(*sample(split), "chrom", "read_name", "side", "pos", "hp")
 
 
 def plain_clip_points(df: DataFrame, min_mapq: int = Params.min_mapq) -> DataFrame:
     """The same of reads without supplementary alignments, if mapped well enough."""
     rows = reads_table(df.filter(F.col("flag").isin(0, 16) & F.col("sa").isNull()), min_mapq)
     ends = F.array(F.struct(F.lit(0).alias("side"), F.col("ref_start").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("ref_end").alias("pos")))
-    return rows.select("chrom", "read_name", "hp", F.inline(ends)).select("chrom", "read_name", "side", "pos", "hp")
+    return rows.select(*sample(df), "chrom", "read_name", "hp", F.inline(ends)).select(*sample(df), "chrom", "read_name", "side", "pos", "hp")

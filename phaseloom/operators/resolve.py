@@ -221,7 +221,7 @@ def _two_breakpoint_pairs(rows: list[dict], mosaic: bool) -> list[tuple[dict, li
 
 
 def merge_haplotypes_two_breakpoints(alleles: DataFrame, mosaic: bool = False) -> DataFrame:
-    """(win_id, turn, hp, allele, gt, bp1, size, members) of duplications or inversions (A12; ``mosaic``: A13).
+    """(win_id, turn, hp, allele, gt, bp1, size, dv, members) of duplications or inversions (A12; ``mosaic``: A13).
 
     ``alleles`` (win_id, hp, allele, n_reads, bp1, size, gt, least, least_untagged): of each haplotype, with its revised
     genotype. One allele a row and some dozen reads in each, so a cluster's group is a small part of its signals.
@@ -230,10 +230,10 @@ def merge_haplotypes_two_breakpoints(alleles: DataFrame, mosaic: bool = False) -
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         made = _two_breakpoint_pairs(rows.sort_values(["hp", "allele"]).to_dict("records"), mosaic)
         found = [
-            (rows["win_id"].iloc[0], turn, own["hp"], own["allele"], gt, int(bp1), int(size), [{"hp": m["hp"], "allele": m["allele"]} for m in members])
+            (rows["win_id"].iloc[0], turn, own["hp"], own["allele"], gt, int(bp1), int(size), sum(m["n_reads"] for m in members), [{"hp": m["hp"], "allele": m["allele"]} for m in members])
             for turn, (own, members, gt, bp1, size) in enumerate(made)
         ]
-        return pd.DataFrame(found, columns=["win_id", "turn", "hp", "allele", "gt", "bp1", "size", "members"])
+        return pd.DataFrame(found, columns=["win_id", "turn", "hp", "allele", "gt", "bp1", "size", "dv", "members"])
 
     rows = alleles.select("win_id", F.col("hp").cast("int").alias("hp"), F.col("allele").cast("int").alias("allele"), "n_reads", F.col("bp1").cast("double").alias("bp1"), F.col("size").cast("double").alias("size"), "gt", "least", "least_untagged")
-    return rows.groupBy("win_id").applyInPandas(one, "win_id string, turn int, hp int, allele int, gt string, bp1 long, size long, members array<struct<hp:int,allele:int>>")
+    return rows.groupBy("win_id").applyInPandas(one, "win_id string, turn int, hp int, allele int, gt string, bp1 long, size long, dv long, members array<struct<hp:int,allele:int>>")

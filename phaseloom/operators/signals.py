@@ -4,6 +4,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
+from .keys import sample
+
 
 def union_signals(*parts: DataFrame) -> DataFrame:
     """Signals of several extractors or inputs."""
@@ -22,4 +24,4 @@ def union_calls(*parts: DataFrame) -> DataFrame:
 
 def signal_chrom_pairs(df: DataFrame) -> DataFrame:
     """Distinct chromosomes of each type, and for translocations their partners."""
-    return df.select("svtype", "chrom", "chrom2").distinct()
+    return df.select(*sample(df), "svtype", "chrom", "chrom2").distinct()

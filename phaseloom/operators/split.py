@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
 from ..params import Params
+from .keys import sample
 
 
 @dataclass
@@ -159,19 +161,25 @@ def split_signals(split: DataFrame, p: Params = Params(), strict_last_pair: bool
     """(read_name, hp, rule, svtype, chrom, pos, ...) of reads with ``segs`` and ``read_len``.
 
     A read with more parts than allowed has none. A change of chromosome counts only before the last pair of three or more
-    segments, unless ``strict_last_pair``.
+    segments, unless ``strict_last_pair``. Where ``query_seq`` is given, insertions have their bases as ``ins_seq``.
     """
-    n = F.size("segs")
+    n, who = F.size("segs"), [*sample(split), "read_name", "hp"]
     able = split.filter(n >= 2) if p.max_split_parts == -1 else split.filter((n >= 2) & (n <= p.max_split_parts))
-    at = F.explode(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))).alias("a")
-    flat = able.select("read_name", "hp", "read_len", n.alias("n"), "segs", at).select(
-        "read_name", "hp", "read_len", "n", "a", F.get("segs", F.col("a")).alias("e1"), F.get("segs", F.col("a") + 1).alias("e2"), F.get("segs", F.col("a") + 2).alias("e3")
-    )
-    near = flat.select("read_name", "hp", F.inline(_as_array(_window_signals(F.col("e1"), F.col("e2"), F.col("e3"), F.col("a"), F.col("n"), F.col("read_len"), p))))
+    seq = ["query_seq"] if "query_seq" in split.columns else []
     change = F.exists(F.sequence(F.lit(1), n - 1 if strict_last_pair else F.greatest(n - 2, F.lit(1))), lambda k: F.get("segs", k - 1)["chrom"] != F.get("segs", k)["chrom"])
-    first, last = F.get("segs", F.lit(0)), F.element_at("segs", -1)
-    whole = plus(first, last, F.col("read_len"))
-    outer = (n >= 3) & (first["chrom"] == last["chrom"]) & (first["strand"] == last["strand"])
+    # what is looked at of a read: every window, and after a change of chromosome both ends together and every pair
+    look = lambda kind, first, last: F.transform(F.sequence(first, last), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("a")))
+    none = F.array().cast("array<struct<kind:string,a:int>>")
+    moved = F.concat(look("ends", F.lit(0), F.lit(0)), look("pair", F.lit(0), n - 2))
+    looks = F.concat(look("window", F.lit(0), F.greatest(n - 3, F.lit(0))), F.when(change, moved).otherwise(none))
+    at = able.select(*who, *seq, "read_len", "segs", n.alias("n"), F.inline(looks))
+    ends = F.col("kind") == "ends"
+    seg = lambda k: F.get("segs", F.col("a") + k)
+    flat = at.select(
+        *who, *seq, "read_len", "n", "a", "kind", seg(0).alias("e1"), F.when(ends, F.element_at("segs", -1)).otherwise(seg(1)).alias("e2"), F.when(F.col("kind") == "window", seg(2)).alias("e3"), F.get("segs", F.lit(0)).alias("head"), F.element_at("segs", -1).alias("tail")
+    )
+    whole = plus(F.col("head"), F.col("tail"), F.col("read_len"))
+    outer = (F.col("n") >= 3) & (F.col("head.chrom") == F.col("tail.chrom")) & (F.col("head.strand") == F.col("tail.strand"))
     delta = whole.r - whole.d
     inserted = outer & (F.abs(whole.d) <= 100) & _fits(delta, p) & (whole.ref_end2 > whole.ref_end1)
     doubled = outer & ~inserted & (-whole.d >= p.min_size) & (F.abs(whole.r) < p.min_size)
@@ -180,16 +188,16 @@ def split_signals(split: DataFrame, p: Params = Params(), strict_last_pair: bool
         (inserted, _signal("X6", "INS", whole.chrom, (whole.ref_start2 + whole.ref_end1) / 2, len=delta, query_pos=F.greatest(whole.end1 + half, F.lit(0)), minus=whole.minus)),
         (doubled, _signal("X6", "DUP", whole.chrom, whole.ref_start2, pos2=whole.ref_end1)),
     ]
-    moved = able.filter(change)
-    far = moved.select("read_name", "hp", F.inline(_as_array(across)))
-    steps = moved.filter(~F.coalesce(inserted | doubled, F.lit(False))).select("read_name", "hp", "segs", F.explode(F.sequence(F.lit(0), n - 2)).alias("a"))
-    steps = steps.select("read_name", "hp", F.get("segs", F.col("a")).alias("x"), F.get("segs", F.col("a") + 1).alias("y"))
-    tra = steps.select("read_name", "hp", F.inline(_as_array([translocation(F.col("x"), F.col("y"))])))
-    return near.unionByName(far).unionByName(tra)
+    step = translocation(F.col("e1"), F.col("e2"))
+    found = F.when(F.col("kind") == "window", _as_array(_window_signals(F.col("e1"), F.col("e2"), F.col("e3"), F.col("a"), F.col("n"), F.col("read_len"), p)))
+    found = found.when(ends, _as_array(across)).otherwise(_as_array([(~F.coalesce(inserted | doubled, F.lit(False)) & step[0], step[1])]))
+    made = flat.select(*who, *seq, F.inline(found))
+    if not seq:
+        return made
+    # an insertion's bases are cut where the read's still are in the row
+    return made.withColumn("ins_seq", F.when(F.col("svtype") == "INS", insert_bases(F.col("query_seq"), F.col("query_pos"), F.col("len"), F.col("minus")))).drop("query_seq")
 
 
 def insert_bases(seq: Column, query_pos: Column, length: Column, minus: Column) -> Column:
     """Bases of a split-read insertion, from the read or its reverse complement."""
-    from ..functions.sequence import reverse_complement
-
     return F.when(minus, reverse_complement(seq)).otherwise(seq).substr((query_pos + 1).cast("int"), length.cast("int"))

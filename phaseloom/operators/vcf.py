@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import sample
+
 
 def filter_label(gt: Column, qual: Column) -> Column:
     return F.when(gt.isin(".|0", "0|.", ".|."), "q5").when(qual.isNull() | (qual >= 5), "PASS").otherwise("q5")
@@ -69,13 +71,14 @@ def vcf_fields(calls: DataFrame, genotype: bool = True, reads: bool = False) ->
 
 
 def number_calls(calls: DataFrame) -> DataFrame:
-    """``id``: type and running number of each type by chromosome text and position, from 0.
+    """``id``: type and running number of each type by chromosome text and position, from 0, in each sample.
 
     Numbers run within a chromosome; offsets come from a table of counts by type and chromosome.
     """
-    inside = Window.partitionBy("svtype", "chrom").orderBy("pos", "call_id")
-    counts = calls.groupBy("svtype", "chrom").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("svtype").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = calls.withColumn("_k", F.row_number().over(inside) - 1).join(counts.select("svtype", "chrom", before.alias("_before")), ["svtype", "chrom"])
+    of = sample(calls)
+    inside = Window.partitionBy(*of, "svtype", "chrom").orderBy("pos", "call_id")
+    counts = calls.groupBy(*of, "svtype", "chrom").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*of, "svtype").orderBy("chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = calls.withColumn("_k", F.row_number().over(inside) - 1).join(counts.select(*of, "svtype", "chrom", before.alias("_before")), [*of, "svtype", "chrom"])
     kind = F.when(F.col("svtype") == "TRA", "BND").otherwise(F.col("svtype"))
     return numbered.withColumn("id", F.concat(kind, (F.col("_k") + F.col("_before")).cast("string"))).drop("_k", "_before")

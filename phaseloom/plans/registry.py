@@ -24,6 +24,7 @@ from ..operators.allele_dp import allele_dp
 from ..params import Params
 from ..sources import io
 from . import jobs
+from .job import Job
 from .views import ctes, view
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,8 @@ def _query(name: str, sql: str | None = None, *views: str) -> Callable:
 
 
 def _temp(spark: SparkSession) -> str:
-    return os.path.join(io.shared_folder(spark), uuid.uuid4().hex)
+    """A path of its own in the shared folder; what is written there goes when the application ends."""
+    return os.path.join(io.delete_on_exit(spark, os.path.join(io.shared_folder(spark), uuid.uuid4().hex)), "table")
 
 
 # --- SQL shared by several counterparts -------------------------------------------------------------------------------
@@ -710,24 +712,37 @@ def _tables(spark, sf_dir):
     return {"sig": sig.withColumn("ins_seq", bases), "clips": view(spark, sf_dir, "v_clips"), "reads": _reads(spark, sf_dir)}
 
 
-def _routed(spark, sf_dir, mode="germline"):
+def _routed(spark, sf_dir, job, mode="germline"):
     """Kept deletion and insertion clusters with where their alleles are formed."""
     t, p = _tables(spark, sf_dir), Params()
-    clusters = C.indel_clusters(t["sig"].filter("svtype in ('DEL', 'INS')"), p.gap_indel)
-    clusters = io.stored(clusters.join(C.keep_indel_clusters(clusters, mode, p.min_support).select("win_id"), "win_id", "left_semi"))
-    return t, clusters, io.stored(jobs.route_indels(clusters, t["reads"], p, mode))
+    clusters = job.kept("clusters", C.indel_clusters(t["sig"].filter("svtype in ('DEL', 'INS')"), p.gap_indel))
+    told = job.kept("routes", jobs.routes(clusters, t["reads"], p, mode))
+    return t, clusters.join(told.select("win_id"), "win_id", "left_semi"), told
 
 
-@_query("a4_allele_dp")
-def _(spark, sf_dir):
-    _, clusters, told = _routed(spark, sf_dir)
+def _job_query(name: str) -> Callable:
+    """A query whose steps keep tables: its result is written, then those go."""
+
+    def add(f: Callable) -> Callable:
+        def run(spark, sf_dir):
+            with Job(spark) as job:
+                return job.result(f(spark, sf_dir, job))
+
+        return _query(name)(run)
+
+    return add
+
+
+@_job_query("a4_allele_dp")
+def _(spark, sf_dir, job):
+    _, clusters, told = _routed(spark, sf_dir, job)
     return allele_dp(clusters.join(told.filter("route = 'dp'").select("win_id"), "win_id", "left_semi"))
 
 
-@_query("a10_rescue_clips")
-def _(spark, sf_dir):
+@_job_query("a10_rescue_clips")
+def _(spark, sf_dir, job):
     # each pooled cluster as one call, every signal's read its support
-    t, clusters, told = _routed(spark, sf_dir)
+    t, clusters, told = _routed(spark, sf_dir, job)
     pooled = clusters.join(told.filter("route <> 'haplotypes'").select("win_id"), "win_id", "left_semi")
     chained = A.length_chain(pooled, ["win_id"])
     call = F.concat_ws("/", "win_id", "allele").alias("call_id")
@@ -737,65 +752,71 @@ def _(spark, sf_dir):
     return R.rescue_clips(calls, support, J.clips_in_window(C.cluster_windows(clusters, 1000), t["clips"]))
 
 
-def _merged_indels(spark, sf_dir, mode):
-    _, clusters, told = _routed(spark, sf_dir, mode)
+def _merged_indels(spark, sf_dir, job, mode):
+    _, clusters, told = _routed(spark, sf_dir, job, mode)
     p = Params()
-    chained = io.stored(A.length_chain(clusters.join(told.filter("route = 'haplotypes'").select("win_id"), "win_id", "left_semi"), ["win_id", "hp"]))
+    chained = job.kept("chained", A.length_chain(clusters.join(told.filter("route = 'haplotypes'").select("win_id"), "win_id", "left_semi"), ["win_id", "hp"]))
     need = told.select("win_id", F.col("least") if mode == "germline" else F.lit(p.min_support).alias("least"))
     return R.merge_haplotypes_indel(chained, jobs.haplotype_alleles(chained, told, p, mode), need, p, mode)[0].drop("ins_seq")
 
 
-@_query("a11_merge_haplotypes_indel")
-def _(spark, sf_dir):
-    return _merged_indels(spark, sf_dir, "germline")
+@_job_query("a11_merge_haplotypes_indel")
+def _(spark, sf_dir, job):
+    return _merged_indels(spark, sf_dir, job, "germline")
 
 
-@_query("a11_merge_haplotypes_indel_mosaic")
-def _(spark, sf_dir):
-    return _merged_indels(spark, sf_dir, "mosaic")
+@_job_query("a11_merge_haplotypes_indel_mosaic")
+def _(spark, sf_dir, job):
+    return _merged_indels(spark, sf_dir, job, "mosaic")
 
 
-def _merged_two(spark, sf_dir, svtype, mode):
+def _merged_two(spark, sf_dir, job, svtype, mode):
     t, p = _tables(spark, sf_dir), Params()
-    alleles, support = jobs.two_breakpoint_alleles(t["sig"].filter(F.col("svtype") == svtype), t["reads"], svtype, p, mode)
+    clusters = job.kept("clusters", jobs.all_clusters(t["sig"].filter(F.col("svtype") == svtype), p, mode))
+    alleles, support = jobs.two_breakpoint_alleles(clusters, job.kept("routes", jobs.routes(clusters, t["reads"], p, mode)), p, mode)
+    alleles, support = job.kept("alleles", alleles), job.kept("support", support)
     return R.merge_haplotypes_two_breakpoints(jobs.revised_two_breakpoint(alleles, support, t["reads"], p, mode), mode == "mosaic")
 
 
-@_query("a12_merge_haplotypes_dup")
-def _(spark, sf_dir):
-    return _merged_two(spark, sf_dir, "DUP", "germline")
+@_job_query("a12_merge_haplotypes_dup")
+def _(spark, sf_dir, job):
+    return _merged_two(spark, sf_dir, job, "DUP", "germline")
 
 
-@_query("a12_merge_haplotypes_inv")
-def _(spark, sf_dir):
-    return _merged_two(spark, sf_dir, "INV", "germline")
+@_job_query("a12_merge_haplotypes_inv")
+def _(spark, sf_dir, job):
+    return _merged_two(spark, sf_dir, job, "INV", "germline")
 
 
-@_query("a13_merge_haplotypes_inv_mosaic")
-def _(spark, sf_dir):
-    return _merged_two(spark, sf_dir, "INV", "mosaic")
+@_job_query("a13_merge_haplotypes_inv_mosaic")
+def _(spark, sf_dir, job):
+    return _merged_two(spark, sf_dir, job, "INV", "mosaic")
 
 
-@_query("e1_extract_signatures")
-def _(spark, sf_dir):
-    return jobs.extract_signatures(view(spark, sf_dir, "v_align"))["sig"]
+def _signatures(name: str) -> Callable:
+    return lambda spark, sf_dir: jobs.extract_signatures(view(spark, sf_dir, "v_align"))[name]
 
 
-@_query("e2_call_germline")
-def _(spark, sf_dir):
-    return jobs.call_germline(_tables(spark, sf_dir))[0]
+for _name, _table in (("e1_extract_signatures", "sig"), ("e1_extract_clips", "clips"), ("e1_extract_reads", "reads")):
+    _query(_name)(_signatures(_table))
 
 
-@_query("e3_call_mosaic")
-def _(spark, sf_dir):
-    return jobs.call_mosaic(_tables(spark, sf_dir))[0]
+@_job_query("e2_call_germline")
+def _(spark, sf_dir, job):
+    return jobs.call_germline(_tables(spark, sf_dir), job=job)[0]
+
+
+@_job_query("e3_call_mosaic")
+def _(spark, sf_dir, job):
+    return jobs.call_mosaic(_tables(spark, sf_dir), job=job)[0]
 
 
 @_query("e4_write_calls")
 def _(spark, sf_dir):
     path = _temp(spark)
-    calls, support = jobs.call_germline(_tables(spark, sf_dir))
-    jobs.write_calls(calls, _dense_ref(spark, sf_dir), 10_000, path, support=support)
+    with Job(spark) as job:
+        calls, support = jobs.call_germline(_tables(spark, sf_dir), job=job)
+        jobs.write_calls(calls, _dense_ref(spark, sf_dir), 10_000, path, support=support)
     return spark.read.text(path)
 
 

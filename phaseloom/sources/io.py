@@ -19,9 +19,6 @@ LINES = {
 }
 
 
-_STORED: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine, an error elsewhere."""
     context = spark.sparkContext
@@ -33,20 +30,34 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder and read again: for tables that several steps read."""
-    path = os.path.join(shared_folder(df.sparkSession), uuid.uuid4().hex)
-    df.write.parquet(path)
-    _STORED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
 
 
-def discard(spark: SparkSession) -> None:
-    """Delete every table that stored() has written in this process; call it once results have been read or written."""
-    jvm = spark.sparkContext._jvm
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which is deleted when the application ends, if nobody has by then."""
+    system, where = _file_system(spark, path)
+    system.mkdirs(where)  # only what is there can be marked
+    system.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again; the table goes when the application ends."""
+    path = delete_on_exit(df.sparkSession, f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
