@@ -17,6 +17,7 @@ results. A row without an identifier links nothing; it takes the component of th
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from .components import components
 SEED = 42
 #: Cells with more marks than this are verified by marks of whole fingerprints, not by pairs.
 CELL_PAIRS = 64
-#: Most shingles that near_duplicates() takes as common, and the fewest documents of one; both change its cost only.
-COMMON, COMMON_FROM = 1 << 15, 64
+#: Buckets in which near_duplicates() counts how rare shingles are; the order changes its cost only.
+RARITY_BITS = 20
 #: Hashes whose bits are counted at once.
 MAJORITY_HASHES = 1 << 15
 
@@ -152,29 +153,54 @@ def _sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return hashes[new], np.searchsorted(doc[new], np.arange(len(at)))
 
 
-def common_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to COMMON shingles that very many documents have, sorted, and the logarithm of how many. They only set an order."""
+def rarity(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
+    """In how many documents the shingles of each hash bucket are, counted over all documents: 2**RARITY_BITS numbers.
+
+    Every shingle has its place in this order whatever the size of the corpus; a task holds 4 MB of it. Each task sums its own
+    documents, what is shuffled are slices of these sums, and the driver gets one number for each bucket.
+    """
+    bits, n = RARITY_BITS, 64
+    size = 1 << bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.uint32)
+        for batch in batches:
+            for _, _, raw, at in C.chunks(batch.column(1)) if batch.num_rows else ():
+                sums += np.bincount(_bucket(_sets(raw, at, shingle)[0], bits), minlength=size).astype(np.uint32)
+        if sums.any():
+            part = size // n
+            blobs = pa.array([zlib.compress(sums[k * part : (k + 1) * part].tobytes(), 1) for k in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), blobs], ["slice", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.uint64)
+                held[k] = held[k] + own if k in held else own
+        if held:
+            blobs = [np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], ["slice", "sums"])
+
+    parts = C.texts(df, id_col, text_col).mapInArrow(count, "slice int, sums binary").repartition(min(n, C.partitions(df)), "slice").mapInArrow(add, "slice int, sums binary").toArrow()
+    out = np.zeros((n, size // n), np.uint32)
+    for k, blob in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
+        out[k] = np.frombuffer(blob, np.uint32)
+    return out.ravel()
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for _, _, raw, at in C.chunks(batch.column(1)):
-            key, n = np.unique(_sets(raw, at, shingle)[0], return_counts=True)
-            yield {"key": key[n > 1].view(np.int64), "n": n[n > 1]}
 
-    counted = C.in_arrow(C.texts(df, id_col, text_col), work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
-    rows = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
-    key, n = np.asarray(rows.column(0)).astype(np.int64).view(np.uint64), np.asarray(rows.column(1)).astype(np.int64)
-    order = np.argsort(key)
-    return key[order], np.log2(n[order].astype(float)).astype(np.int8)
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """(mark, node, id, n, pos, rep) of the prefix of every distinct set of shingles, of which two or more sets have the mark.
 
-    The shingles of a set stand in one order for all documents: common ones last, else by hash. Two sets of at least this
+    The shingles of a set stand in one order for all documents: by rarity(), then by hash. Two sets of at least this
     similarity have one in common among the first n - ceil(similarity * n) + 1 of each, so no pair is missed. ``node`` is a
     hash of the set. Equal sets count once; rows without a mark link (id, rep) such.
     """
-    common, often = common_shingles(df, id_col, text_col, shingle)
+    bits, known = RARITY_BITS, df.sparkSession.sparkContext.broadcast(rarity(df, id_col, text_col, shingle))
     out_names = ["mark", "node", "id", "n", "pos", "rep"]
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -190,10 +216,7 @@ def prefix_marks(df: DataFrame, id_col: str, text_col: str, shingle: int, simila
             lead = by[first]
             same, to = by[~first], lead[np.cumsum(first) - 1][~first]
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            rank = np.zeros(len(sets), np.int8)
-            if len(common):
-                at_ = np.minimum(np.searchsorted(common, sets), len(common) - 1)
-                rank = np.where(common[at_] == sets, often[at_], 0)
+            rank = known.value[_bucket(sets, bits)]
             order = np.lexsort((sets, rank, doc))
             pos = np.arange(len(sets)) - offsets[:-1][doc]
             prefix = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1

@@ -399,9 +399,9 @@ def _near_classes(spark, rows):
     return close, want, {r.node: r.component for r in simhash.near_duplicates(frame).collect()}
 
 
-@pytest.mark.parametrize("common", [64, 3])
-def test_near_duplicates_of_one_template(spark, monkeypatch, common):
-    monkeypatch.setattr(simhash, "COMMON_FROM", common)
+@pytest.mark.parametrize("bits", [20, 6])
+def test_near_duplicates_of_one_template(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "RARITY_BITS", bits)
     rnd = random.Random(23)
     base, rows = _prose(rnd, 160).split(), []
     for k in range(150):  # chains: a document is near some of the template's others, but seldom near the first
@@ -422,6 +422,19 @@ def test_near_duplicates_with_a_repeated_phrase(spark):
     assert len(close) == 20 and got == want
 
 
+def test_near_candidates_grow_in_proportion_to_the_documents(spark):
+    """2400 sentences that very many documents share, in no two of them the same: more common shingles than a short list holds."""
+    rnd = random.Random(37)
+    shared = [_prose(rnd, 8) for _ in range(300)]
+    rows = [(k, " ".join(x for _ in range(10) for x in (rnd.choice(shared), _prose(rnd, 12)))) for k in range(1200)]
+    tried = []
+    for n in (600, 1200):
+        marks = simhash.prefix_marks(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(5), "doc_id", "text", 5, 0.8)
+        sizes = marks.filter("mark is not null").groupBy("mark").count()
+        tried.append(sizes.selectExpr("sum(count * (count - 1))").first()[0] or 0)
+    assert tried[1] <= 2.2 * max(tried[0], 600)
+
+
 def test_near_duplicates_at_the_bound(spark):
     rnd, rows = random.Random(31), []
     for k in range(0, 400, 2):  # 36 shingles each, 32 of them shared: exactly 0.8
