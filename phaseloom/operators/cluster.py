@@ -15,10 +15,10 @@ def _named(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def indel_clusters(sig: DataFrame, gap: int = Params.gap_indel) -> DataFrame:
-    """Deletions or insertions chained by position, truncated first: half positions occur."""
+    """Deletions or insertions in order of position, then chained by whole positions, which are those of the result: halves occur."""
     whole = lambda x: x["pos"].cast("long")
     made = islands(sig, [*sample(sig), "svtype", "chrom"], ["pos", "len", "read_name", "hp"], lambda a, b: whole(b) - whole(a) > gap)
-    return _named(made, "svtype", "chrom")
+    return _named(made.withColumn("pos", F.col("pos").cast("long")), "svtype", "chrom")
 
 
 def enough_signals(mode: str = "germline", min_support: int = Params.min_support) -> Column:

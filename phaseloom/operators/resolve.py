@@ -142,7 +142,7 @@ def rescue_clips(calls: DataFrame, support: DataFrame, clips: DataFrame) -> Data
     """(call_id, win_id, read_name, hp): clipped reads that join a call (A10).
 
     ``calls`` (call_id, win_id, rank, c_low, c_high, both_sides, haplotypes or null, rescue) are served in order of rank.
-    A clip is used once; a read that supports this or an earlier call by its signals is skipped. ``clips`` as clips_in_window().
+    A clip is used once, of equal rows each; a read that supports this or an earlier call by its signals is skipped. ``clips`` as clips_in_window().
     """
     open_ = calls.filter("rescue").select("call_id", "win_id", "rank", "c_low", "c_high", "both_sides", "haplotypes")
     known = support.join(calls.select("call_id", "rank"), "call_id").groupBy("win_id", "read_name").agg(F.min("rank").alias("known"))
@@ -150,16 +150,19 @@ def rescue_clips(calls: DataFrame, support: DataFrame, clips: DataFrame) -> Data
     able = inside & (F.col("haplotypes").isNull() | F.array_contains("haplotypes", F.col("hp").cast("int")))
     met = clips.join(open_, "win_id").filter(able).join(known, ["win_id", "read_name"], "left").filter(F.col("known").isNull() | (F.col("rank") < F.col("known")))
     asks = met.groupBy("win_id", "read_name").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "side", F.col("hp").cast("int").alias("hp"), "call_id"))).alias("asks"))
-    kind = "struct<rank:int,used:array<struct<pos:bigint,side:int,hp:int>>,out:array<struct<call_id:string,hp:int>>>"
-    start = F.struct(F.lit(-1).alias("rank"), F.array().cast("array<struct<pos:bigint,side:int,hp:int>>").alias("used"), F.array().cast("array<struct<call_id:string,hp:int>>").alias("out")).cast(kind)
+    clip = "pos:bigint,side:int,hp:int,copy:int"
+    kind = f"struct<rank:int,before:struct<rank:int,{clip}>,used:array<struct<{clip}>>,out:array<struct<call_id:string,hp:int>>>"
+    none = F.array()
+    start = F.struct(F.lit(-1).alias("rank"), F.lit(None).alias("before"), none.alias("used"), none.alias("out")).cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
-        clip = F.struct(x["pos"].cast("long").alias("pos"), x["side"].cast("int").alias("side"), x["hp"].alias("hp"))
-        take = (x["rank"] != acc["rank"]) & ~F.array_contains(acc["used"], clip)
-        return F.when(
-            take,
-            F.struct(x["rank"].alias("rank"), F.concat(acc["used"], F.array(clip)).alias("used"), F.concat(acc["out"], F.array(F.struct(x["call_id"].alias("call_id"), x["hp"].alias("hp")))).alias("out")).cast(kind),
-        ).otherwise(acc)
+        # equal clips of one call stand side by side: the second is another clip
+        again = (acc["before"]["rank"] == x["rank"]) & (acc["before"]["pos"] == x["pos"]) & (acc["before"]["side"] == x["side"]) & (acc["before"]["hp"] == x["hp"])
+        own = [x["pos"].cast("long").alias("pos"), x["side"].cast("int").alias("side"), x["hp"].alias("hp"), F.when(F.coalesce(again, F.lit(False)), acc["before"]["copy"] + 1).otherwise(0).alias("copy")]
+        take = (x["rank"] != acc["rank"]) & ~F.array_contains(acc["used"], F.struct(*own))
+        before = F.struct(x["rank"].alias("rank"), *own).alias("before")
+        taken = F.struct(x["rank"].alias("rank"), before, F.concat(acc["used"], F.array(F.struct(*own))).alias("used"), F.concat(acc["out"], F.array(F.struct(x["call_id"].alias("call_id"), x["hp"].alias("hp")))).alias("out"))
+        return F.when(take, taken).otherwise(F.struct(acc["rank"].alias("rank"), before, acc["used"].alias("used"), acc["out"].alias("out"))).cast(kind)
 
     return asks.select("win_id", "read_name", F.inline(F.aggregate("asks", start, step, lambda acc: acc["out"]))).select("call_id", "win_id", "read_name", "hp")
 
