@@ -43,17 +43,20 @@ def _hot(rows: DataFrame) -> list[int]:
     return [r.h for r in counted.filter(F.col("n") > max(3, total // share)).orderBy(F.desc("n")).limit(share).collect()]
 
 
-def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The cold and the hot rows, each with keep_id and group_size; cold ones with place, 1 for the row that stays."""
+def _decided(rows: DataFrame, again: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The cold and the hot rows, each with keep_id and group_size; cold ones with place, 1 for the row that stays.
+
+    ``again``: the normalised text of rows that carry their text otherwise too; they are shuffled without it.
+    """
     hot = _hot(rows)
     cold = rows.filter(~F.xxhash64("norm").isin(hot)) if hot else rows
     cold = cold.withColumns({"lead": F.substring("norm", 1, LEAD), "tie": F.xxhash64("norm")})
     near = Window.partitionBy("lead", "tie", "norm").orderBy(F.desc("n"), F.asc_nulls_last("id"))
     whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # a window clustered by these and the text takes the ranges as they are: the only shuffle is this one
-    cold = cold.repartitionByRange(C.partitions(rows), "lead", "tie").select(
-        "*", F.first("id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(near).alias("place")
-    )
+    cold = (cold if again is None else cold.drop("norm")).repartitionByRange(C.partitions(rows), "lead", "tie")
+    cold = cold if again is None else cold.withColumn("norm", again)
+    cold = cold.select("*", F.first("id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"), F.row_number().over(near).alias("place"))
     if not hot:
         return cold, None
     found = rows.filter(F.xxhash64("norm").isin(hot))
@@ -62,8 +65,12 @@ def _decided(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return cold, found.withColumn("sha", F.sha2("norm", 256)).join(F.broadcast(best), "sha").drop("sha")
 
 
+def _text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
 def _prepared(df: DataFrame, id_col: str, text_col: str, *carried: Column) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = _text(F.col(text_col))
     return df.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("n"), normalised(text).alias("norm"), *carried)
 
 
@@ -79,7 +86,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns, whatever these are called."""
-    cold, hot = _decided(_prepared(df, id_col, text_col, F.struct("*").alias("row")))
+    cold, hot = _decided(_prepared(df, id_col, text_col, F.struct("*").alias("row")), normalised(_text(F.col("row").getField(text_col))))
     kept = cold.filter("place = 1").select("row.*")
     if hot is not None:
         kept = kept.unionByName(hot.filter("id <=> keep_id").dropDuplicates(["id", "norm"]).select("row.*"))
