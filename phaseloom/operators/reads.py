@@ -45,28 +45,44 @@ def reads_table(df: DataFrame, min_mapq: int = Params.min_mapq) -> DataFrame:
     )
 
 
+def at_least(n: int) -> str:
+    """Pattern of whole numbers of at least ``n``, which is positive, without leading zeros."""
+    digits = str(n)
+    # longer ones; or those that are greater in one digit and equal before it; or n
+    more = [f"[1-9][0-9]{{{len(digits)},}}"]
+    more += [f"{digits[:k]}[{int(d) + 1}-9][0-9]{{{len(digits) - k - 1}}}" for k, d in enumerate(digits) if d != "9"]
+    return "(?:" + "|".join([*more, digits]) + ")"
+
+
 def _walk(cigar: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
-    """Signals in CIGAR order: array of struct(svtype, pos, len, bases). The text is parsed once."""
-    return S.let(S.parse_cigar(cigar), lambda ops: _fold(ops, ref_start, seq, min_len))
+    """Signals in CIGAR order: array of struct(svtype, pos, len, bases).
+
+    A text without a long enough I or D, which most reads have, isn't parsed; others are parsed once.
+    """
+    none = F.array().cast("array<struct<svtype:string,pos:bigint,len:bigint,bases:string>>")
+    some = cigar.rlike(f"(?:^|[^0-9])0*{at_least(min_len)}[ID]")
+    return F.when(some, S.let(S.parse_cigar(cigar), lambda ops: _long_ones(ops, ref_start, seq, min_len))).otherwise(none)
 
 
-def _fold(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
+def _long_ones(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
+    """The long insertions and deletions, each with the sums of the operations before it; no list grows on the way."""
     hard = F.when(F.get(ops, F.lit(0))["op"] == "H", F.get(ops, F.lit(0))["len"]).otherwise(0).cast("long")
-    signal = "array<struct<svtype:string,pos:bigint,len:bigint,bases:string>>"
-    start = F.struct(ref_start.cast("long").alias("ref"), (-hard).alias("query"), F.array().cast(signal).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        op, n = x["op"], x["len"]
-        kept = (n >= min_len) & op.isin("I", "D")
-        bases = F.when(op == "I", seq.substr((acc["query"] + 1).cast("int"), n.cast("int")))
-        made = F.struct(F.when(op == "I", "INS").otherwise("DEL").alias("svtype"), acc["ref"].alias("pos"), n.alias("len"), bases.alias("bases"))
+    op = lambda i: F.get(ops, i)
+    kept = F.filter(F.sequence(F.lit(0), F.size(ops) - 1), lambda i: op(i)["op"].isin("I", "D") & (op(i)["len"] >= min_len))
+    zero = F.lit(0).cast("long")
+    before = lambda i, counts: F.aggregate(F.slice(ops, 1, i), zero, lambda acc, x: acc + F.when(counts(x["op"]), x["len"]).otherwise(0))
+
+    def signal(i: Column) -> Column:
+        kind, n = op(i)["op"], op(i)["len"]
+        query = before(i, lambda o: o != "D") - hard
         return F.struct(
-            (acc["ref"] + F.when(op.isin("M", "D", "N", "=", "X"), n).otherwise(0)).alias("ref"),
-            (acc["query"] + F.when(op != "D", n).otherwise(0)).alias("query"),
-            F.when(kept, F.concat(acc["found"], F.array(made))).otherwise(acc["found"]).alias("found"),
+            F.when(kind == "I", "INS").otherwise("DEL").alias("svtype"),
+            (ref_start.cast("long") + before(i, lambda o: o.isin("M", "D", "N", "=", "X"))).alias("pos"),
+            n.alias("len"),
+            F.when(kind == "I", seq.substr((query + 1).cast("int"), n.cast("int"))).alias("bases"),
         )
 
-    return F.aggregate(ops, start, step, lambda acc: acc["found"])
+    return F.transform(kept, signal)
 
 
 def signal_arrays(df: DataFrame, p: Params = Params()) -> DataFrame:

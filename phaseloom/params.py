@@ -17,3 +17,4 @@ class Params:
     gap_dup_inv: int = 500
     gap_tra: int = 50
     len_ratio: float = 0.9
+    max_cluster: int = -1  # signals of a cluster beyond which a job fails; -1: no limit

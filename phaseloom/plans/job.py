@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..sources import io
 
@@ -19,17 +19,23 @@ class Job:
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.steps = spark, []
+        #: Of each step that was measured, what was asked of its rows.
+        self.sizes: dict[str, dict] = {}
         self.folder = folder or f"{io.shared_folder(spark)}/job-{uuid.uuid4().hex}"
         if folder is None:
             io.delete_on_exit(spark, self.folder)
 
-    def kept(self, name: str, table: DataFrame) -> DataFrame:
-        """``table``, written once for all steps that read it."""
+    def kept(self, name: str, table: DataFrame, **measures: Column) -> DataFrame:
+        """``table``, written once for all steps that read it; ``measures`` are aggregates taken on the way, for ``sizes``."""
         if name in self.steps:
             raise ValueError(f"a step {name} has been made already")
         path = f"{self.folder}/{name}"
         if not io.exists(self.spark, f"{path}/_SUCCESS"):
-            table.write.mode("overwrite").parquet(path)
+            seen = Observation(name)
+            measured = table.observe(seen, *(c.alias(k) for k, c in measures.items())) if measures else table
+            measured.write.mode("overwrite").parquet(path)
+            if measures:
+                self.sizes[name] = seen.get
         self.steps.append(name)
         return self.spark.read.schema(table.schema).parquet(path)
 

@@ -100,11 +100,17 @@ def all_clusters(sig: DataFrame, p: Params = Params(), mode: str = "germline") -
 
 
 def routes(clusters: DataFrame, reads: DataFrame | J.Dealt, p: Params, mode: str) -> DataFrame:
-    """One row for each cluster that is kept, of all types but translocations: its window, n_signals, least and route."""
+    """One row for each cluster that is kept, of all types but translocations: its window, n_signals, least and route.
+
+    A cluster of more than ``p.max_cluster`` signals, as dense places chain, is an error; no row is ever dropped for its size.
+    """
     at, kind = F.col("pos").cast("long"), F.col("svtype")
     reach = F.when(kind == "INV", p.gap_dup_inv // 2).when(kind == "DUP", p.gap_dup_inv).otherwise(p.gap_indel)
     own = clusters.filter(kind != "TRA")
     sized = own.groupBy(*sample(clusters), "win_id", "svtype", "chrom").agg(F.count(F.lit(1)).alias("n_signals"), F.avg("len").alias("mean_len"), F.min(at).alias("low"), F.max(at).alias("high"))
+    if p.max_cluster != -1:
+        told = F.concat(F.lit("cluster "), "win_id", F.lit(" has "), F.col("n_signals").cast("string"), F.lit(f" signals, over the limit of {p.max_cluster}"))
+        sized = sized.withColumn("n_signals", F.when(F.col("n_signals") > p.max_cluster, F.raise_error(told).cast("long")).otherwise(F.col("n_signals")))
     windows = sized.withColumns({"w_start": F.greatest(F.col("low") - reach, F.lit(0)), "w_end": F.col("high") + reach}).filter(kind.isin("DUP", "INV") | C.enough_signals(mode, p.min_support)).drop("mean_len", "low", "high")
     hist = J.haplotype_histogram(windows, reads)
     h0, h1, h2 = (F.col(f"h{k}") for k in (0, 1, 2))
@@ -367,7 +373,7 @@ def _all_calls(tables: dict[str, DataFrame], p: Params, mode: str, job: Job | No
     job, _ = job or Job(sig.sparkSession), sample(sig, clips, reads)
     spread = J.deal(reads, once=True)
     clusters = job.kept("clusters", all_clusters(sig, p, mode))
-    told = job.kept("routes", routes(clusters, spread, p, mode))
+    told = job.kept("routes", routes(clusters, spread, p, mode), clusters=F.count(F.lit(1)), largest=F.max("n_signals"))
     two, tra = two_breakpoint_alleles(clusters, told, p, mode), translocation_alleles(clusters, clips, p)
     support = job.kept("support", two[1].withColumn("tra", F.lit(False)).unionByName(tra[1].withColumn("tra", F.lit(True))))
     alleles = job.kept("alleles", two[0].unionByName(tra[0], allowMissingColumns=True))
@@ -402,7 +408,7 @@ def call_lines(calls: DataFrame, ref_bins: DataFrame, bin_size: int, p: Params =
     return V.number_calls(V.vcf_fields(V.ref_alt(sized, ref_bins, bin_size), reads=support is not None))
 
 
-def write_calls(calls: DataFrame, ref_bins: DataFrame, bin_size: int, path: str, p: Params = Params(), support: DataFrame | None = None, sample: str = "NULL") -> None:
-    """One sorted VCF in ``path``: its parts in the order of their names are header and lines."""
+def write_calls(calls: DataFrame, ref_bins: DataFrame, bin_size: int, path: str, p: Params = Params(), support: DataFrame | None = None, sample: str = "NULL", command: str | None = None) -> None:
+    """One sorted VCF in ``path``, or one for each sample: its parts in the order of their names are header and lines."""
     contigs = [(r.chrom, r.length) for r in io.contigs(ref_bins).orderBy("chrom").collect()]  # contigs: a short list by nature
-    io.write_vcf(call_lines(calls, ref_bins, bin_size, p, support), io.vcf_header(contigs, sample), path)
+    io.write_vcf(call_lines(calls, ref_bins, bin_size, p, support), io.vcf_header(contigs, sample, command), path)

@@ -177,6 +177,15 @@ def _(spark, sf_dir):
     return io.read_signatures(spark, path).select(*sigs.columns)
 
 
+@_query("s5_signature_lines", """SELECT DISTINCT svtype, chrom, CAST(pos AS DOUBLE) AS pos, CASE WHEN svtype IN ('DEL', 'INS') THEN len END AS len, CASE WHEN svtype IN ('DUP', 'INV', 'TRA') THEN pos2 END AS pos2,
+ CASE WHEN svtype = 'TRA' THEN chrom2 END AS chrom2, CASE WHEN svtype = 'INV' THEN strand END AS strand, CASE WHEN svtype = 'TRA' THEN bnd_type END AS bnd_type, read_name, hp,
+ CASE WHEN svtype = 'INS' THEN substr(repeat('ACGTTGCA', 600), 1, CAST(len AS INT)) END AS ins_seq FROM v_sigs""", "v_sigs")
+def _(spark, sf_dir):
+    path = _temp(spark)
+    io.write_signatures(_tables(spark, sf_dir)["sig"], path, lines=True)
+    return io.read_signatures(spark, path, lines=True).distinct()
+
+
 @_query("s6_write_vcf")
 def _(spark, sf_dir):
     path = _temp(spark)
@@ -702,6 +711,40 @@ def _(spark, sf_dir):
     return V.number_calls(_placed(spark, sf_dir)).select("win_id", "id")
 
 
+# --- by sample: the same over two samples in one table ------------------------------------------------------------------
+
+_OF = "CASE WHEN CAST(right(read_name, 1) AS INT) % 2 = 0 THEN 's1' ELSE 's2' END AS sample_id"
+_S_TABLES = f", s_sigs AS (SELECT {_OF}, * FROM v_sigs), s_reads AS (SELECT {_OF}, * FROM v_reads)"
+_S_INDEL = _S_TABLES + _chain("'DEL', 'INS'", "pos, len, read_name, hp, pos2, chrom2, strand, bnd_type", "pos - lag(pos) OVER w > 1000", "sample_id, svtype, chrom").replace("FROM v_sigs", "FROM s_sigs")
+_S_WIN = _S_INDEL + ", win AS (SELECT sample_id, win_id, chrom, greatest(min(pos) - 1000, 0) AS w_start, max(pos) + 1000 AS w_end FROM cl GROUP BY 1, 2, 3)"
+
+
+def _of_samples(df: DataFrame) -> DataFrame:
+    return df.withColumn("sample_id", F.when(F.right("read_name", F.lit(1)).cast("int") % 2 == 0, "s1").otherwise("s2"))
+
+
+def _s_indel(spark, sf_dir):
+    return C.indel_clusters(_of_samples(_sigs(spark, sf_dir, "DEL", "INS")))
+
+
+@_query("c1_indel_clusters_by_sample", _S_INDEL + " SELECT sample_id, win_id, pos, len, read_name, hp FROM cl", "v_sigs", "v_reads")
+def _(spark, sf_dir):
+    return _s_indel(spark, sf_dir).select("sample_id", "win_id", "pos", "len", "read_name", "hp")
+
+
+@_query("j1_overlapping_reads_by_sample", _S_WIN + """ SELECT DISTINCT ON (win_id, read_name) win_id, read_name, r.is_primary, ref_start, ref_end, hp FROM win JOIN s_reads r ON r.sample_id = win.sample_id AND r.chrom = win.chrom AND ref_start < w_end AND ref_end > w_start
+ ORDER BY win_id, read_name, r.is_primary DESC, ref_start, ref_end, hp""", "v_sigs", "v_reads")
+def _(spark, sf_dir):
+    return J.overlapping_reads(C.cluster_windows(_s_indel(spark, sf_dir), 1000), _of_samples(_reads(spark, sf_dir)))
+
+
+@_query("v6_number_calls_by_sample", _S_INDEL + """, at AS (SELECT sample_id, win_id, svtype, chrom, CAST(floor(avg(pos)) AS BIGINT) AS pos FROM cl GROUP BY 1, 2, 3, 4)
+SELECT sample_id, win_id, concat(svtype, row_number() OVER (PARTITION BY sample_id, svtype ORDER BY chrom, pos, win_id) - 1) AS id FROM at""", "v_sigs", "v_reads")
+def _(spark, sf_dir):
+    at = _s_indel(spark, sf_dir).groupBy("sample_id", F.col("win_id").alias("call_id"), "svtype", "chrom").agg(F.floor(F.avg("pos")).alias("pos"))
+    return V.number_calls(at).select("sample_id", F.col("call_id").alias("win_id"), "id")
+
+
 # --- E: jobs ----------------------------------------------------------------------------------------------------------
 
 

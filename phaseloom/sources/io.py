@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.keys import SAMPLE
+
 #: Columns of the signature lines of each type, in order.
 LINES = {
     "DEL": ("chrom", "pos", "len", "read_name", "svtype", "hp"),
@@ -60,11 +64,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments from Parquet, or from SAM text where the path ends in .sam; the haplotype is 0 where untagged."""
+def read_alignments(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
+    """Alignments from Parquet, or from SAM text where the path ends in .sam; the haplotype is 0 where untagged.
+
+    ``sample`` names the sample of all rows, as ``sample_id``; a Parquet table may have that column itself.
+    """
+    named = {} if sample is None else {"sample_id": F.lit(sample)}
     if not path.rstrip("/").endswith(".sam"):
         df = spark.read.parquet(path)
-        return df.withColumn("hp", F.coalesce("hp", F.lit(0)))
+        return df.withColumns({"hp": F.coalesce("hp", F.lit(0)), **named})
     lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
     tag = lambda name, kind: F.nullif(F.regexp_extract("value", rf"\t{name}:{kind}:([^\t]*)", 1), F.lit(""))
@@ -79,13 +87,53 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
         F.length(f[9]).alias("query_len"),
         f[9].alias("query_seq"),
         tag("SA", "Z").alias("sa"),
+        *(c.alias(n) for n, c in named.items()),
     )
 
 
+def sam_header(spark: SparkSession, path: str, most: int = 100_000) -> list[str]:
+    """The header lines of the SAM text files in ``path``, of the first file that has any; ``most`` lines at most, or an error.
+
+    Only the beginning of each file is read, through the file system that has it, up to its first alignment.
+    """
+    system, where = _file_system(spark, path)
+    java = spark.sparkContext._jvm.java.io
+    codecs = spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.globStatus(where) or []
+    files = [f for x in found for f in (system.listStatus(x.getPath()) if x.isDirectory() else [x]) if not f.isDirectory() and f.getPath().getName()[:1] not in "._"]
+    for file in sorted(files, key=lambda f: f.getPath().toString()):
+        stream, codec = system.open(file.getPath()), codecs.getCodec(file.getPath())
+        reader = java.BufferedReader(java.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
+        try:
+            out, line = [], reader.readLine()
+            while line is not None and line.startswith("@"):
+                if len(out) == most:
+                    raise ValueError(f"over {most} header lines in {file.getPath()}")
+                out.append(line)
+                line = reader.readLine()
+        finally:
+            reader.close()
+        if out:
+            return out
+    return []
+
+
+def _tags(line: str) -> dict[str, str]:
+    return dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x)
+
+
 def contigs_of_sam(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, length) from header lines."""
-    rows = spark.read.text(path).filter(F.col("value").startswith("@SQ"))
-    return rows.select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("chrom"), F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("long").alias("length"))
+    """(chrom, length) from header lines; alignments aren't read."""
+    rows = [(t["SN"], int(t["LN"])) for line in sam_header(spark, path) if line.startswith("@SQ") for t in [_tags(line)]]
+    return spark.createDataFrame(rows, "chrom string, length long")
+
+
+def sample_of_sam(spark: SparkSession, path: str) -> str | None:
+    """The one sample that the read groups of a SAM header name; none if there is none, an error if there are several."""
+    names = {t["SM"] for line in sam_header(spark, path) if line.startswith("@RG") for t in [_tags(line)] if "SM" in t}
+    if len(names) > 1:
+        raise ValueError(f"several samples in {path}: {sorted(names)}")
+    return next(iter(names), None)
 
 
 def read_bed(spark: SparkSession, path: str, pad: int = 1000) -> DataFrame:
@@ -139,20 +187,35 @@ def write_signatures(sigs: DataFrame, path: str, lines: bool = False) -> None:
         return
     kinds = [r.svtype for r in sigs.select("svtype").distinct().collect()]  # five types at most
     for kind in kinds:
-        columns = [F.col(c).cast("string") for c in LINES[kind]]
+        # an empty field where there is nothing, so that every line has all its fields
+        columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LINES[kind]]
         sigs.filter(F.col("svtype") == kind).select(F.concat_ws("\t", *columns).alias("value")).write.text(os.path.join(path, kind))
 
 
-def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
-def vcf_header(contig_rows: list[tuple[str, int]], sample: str = "NULL") -> str:
-    """Header text; contigs are few, so they come as rows."""
+def read_signatures(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Signals that write_signatures() has written. Of ``lines``, columns that a type lacks are null, and positions are double."""
+    if not lines:
+        return spark.read.parquet(path)
+    kinds = {"pos": "double", "len": "long", "pos2": "long", "hp": "int"}
+    columns = list(dict.fromkeys(c for names in LINES.values() for c in names))
+    parts = []
+    for kind, names in LINES.items():
+        if exists(spark, os.path.join(path, kind)):
+            own = spark.read.csv(os.path.join(path, kind), sep="\t", schema=", ".join(f"{c} {kinds.get(c, 'string')}" for c in names), quote="", nullValue=None, emptyValue="")
+            parts.append(own.select(*((F.col(c) if c in names else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in columns)))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def vcf_header(contig_rows: list[tuple[str, int]], sample: str = "NULL", command: str | None = None, date: str | None = None) -> str:
+    """Header text; contigs are few, so they come as rows. ``date`` of the file, now by default; ``command`` that made it."""
     info = (
         ("PRECISE", "0", "Flag", "Precise structural variant"),
+        ("IMPRECISE", "0", "Flag", "Structural variant without a precise place"),
         ("SVTYPE", "1", "String", "Type of structural variant"),
         ("SVLEN", "1", "Integer", "Difference in length between REF and ALT"),
+        ("CHR2", "1", "String", "Chromosome of the other breakend of a translocation"),
         ("END", "1", "Integer", "End position of the variant"),
         ("CIPOS", "2", "Integer", "Confidence interval around POS"),
         ("CILEN", "2", "Integer", "Confidence interval around the length"),
@@ -162,21 +225,35 @@ def vcf_header(contig_rows: list[tuple[str, int]], sample: str = "NULL") -> str:
         ("AF", "A", "Float", "Allele frequency"),
     )
     form = (("GT", "1", "String", "Genotype"), ("DR", "1", "Integer", "Reads for the reference"), ("DV", "1", "Integer", "Reads for the variant"), ("PL", "G", "Integer", "Phred-scaled likelihoods"), ("GQ", "1", "Integer", "Genotype quality"))
-    out = ["##fileformat=VCFv4.2", *(f"##contig=<ID={c},length={n}>" for c, n in contig_rows), *(f'##ALT=<ID={t},Description="{t}">' for t in ("INS", "DEL", "DUP", "INV", "BND"))]
+    out = ["##fileformat=VCFv4.2", "##source=phaseloom", f"##fileDate={date or time.strftime('%Y-%m-%d %H:%M:%S')}"]
+    out += [*(f"##contig=<ID={c},length={n}>" for c, n in contig_rows), *(f'##ALT=<ID={t},Description="{t}">' for t in ("INS", "DEL", "DUP", "INV", "BND"))]
     out += [f'##INFO=<ID={a},Number={b},Type={c},Description="{d}">' for a, b, c, d in info]
     out += ['##FILTER=<ID=q5,Description="Quality below 5">', *(f'##FORMAT=<ID={a},Number={b},Type={c},Description="{d}">' for a, b, c, d in form)]
+    out += [] if command is None else ['##CommandLine="' + command.replace('"', "'").replace("\n", " ") + '"']
     return "\n".join([*out, "#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])])
 
 
 def vcf_lines(calls: DataFrame) -> DataFrame:
-    """One line of text a call, with what it is sorted by."""
+    """One line of text a call, with its sample, where there is one, and what it is sorted by."""
     qual = F.coalesce(F.col("qual").cast("string"), F.lit("."))
     line = F.concat_ws("\t", "chrom", F.col("vcf_pos").cast("string"), "id", "ref", "alt", qual, "filter", "info", "format", "sample")
-    return calls.select("chrom", "pos", "id", line.alias("value"))
+    return calls.select(*([SAMPLE] if SAMPLE in calls.columns else []), "chrom", "pos", "id", line.alias("value"))
 
 
 def write_vcf(calls: DataFrame, header: str, path: str) -> None:
-    """One VCF as the parts of a folder, in the order of their names: the header leads the first part, as no chromosome sorts first."""
+    """One VCF as the parts of a folder, in the order of their names: the header leads the first part, as no chromosome sorts first.
+
+    Calls of several samples make one such folder for each, ``path``/sample_id=..., by one sort; the last column of a header
+    is its sample.
+    """
     lines = vcf_lines(calls)
-    top = lines.sparkSession.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in lines.dtypes if c != "value"), F.lit(header).alias("value"))
-    top.unionByName(lines).orderBy(F.asc_nulls_first("chrom"), "pos", "id").select("value").write.text(path)
+    blank = lambda skip: [F.lit(None).cast(t).alias(c) for c, t in lines.dtypes if c not in skip]
+    order = [F.asc_nulls_first("chrom"), "pos", "id"]
+    if SAMPLE not in lines.columns:
+        top = lines.sparkSession.range(1).select(*blank(["value"]), F.lit(header).alias("value"))
+        top.unionByName(lines).orderBy(*order).select("value").write.text(path)
+        return
+    lead = header.rpartition("\t")[0]
+    top = lines.select(SAMPLE).distinct().select(SAMPLE, *blank([SAMPLE, "value"]), F.concat(F.lit(lead + "\t"), SAMPLE).alias("value"))
+    sorted_ = top.unionByName(lines).repartitionByRange(SAMPLE, *order).sortWithinPartitions(SAMPLE, *order)
+    sorted_.select(SAMPLE, "value").write.partitionBy(SAMPLE).text(path)
