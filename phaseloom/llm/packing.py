@@ -5,9 +5,10 @@ goes to the fill level that minimises the sum, over all levels, of the squared n
 level array holds those numbers, so a placement reads one array of window size and no window.
 
 Rests are packed as rows of numbers, without their ids, in streams of about STREAM documents in document order: what a
-stream leaves open is some 280 windows of 2048 ids whatever its length, 93 % full on average. Only the ids of these (about
-1.3 % of all ids with the test tables' documents) are read again, laid end to end and cut into full windows, and the last of
-these into powers of two, which need no padding. So sequences are filled whole or to a power of two.
+stream leaves open is some 280 windows of 2048 ids whatever its length, 93 % full on average. The fullest of them stay as
+they were placed; the emptiest, a few, are taken apart, and their ids, read again, fill the room that the others have. What
+is left of them is laid end to end and cut into full windows, and the last of these into powers of two, which need no
+padding. So sequences are filled whole or to a power of two.
 
 Null and empty texts are the end id alone. Repeated rows are packed each, null identifiers like others. An empty table gives
 an empty result. Extra columns are not read.
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 from .byte_bpe import loaded
@@ -75,16 +77,26 @@ class Packer:
             offset += n
         self.next += 1
 
-    def rest(self) -> list[int]:
-        """The rows of all open windows, the fullest first."""
-        return [row for level in sorted(self.open, reverse=True) for window in self.open[level] for row, _ in window]
+    def settle(self) -> tuple[list[tuple[int, int, int]], list[int]]:
+        """Close the fullest windows with room for no more than the others hold: (room, sequence, offset) of that; rows of the others."""
+        windows = [(level, window) for level in sorted(self.open, reverse=True) for window in self.open[level]]
+        rooms, room, left = [], 0, sum(level for level, _ in windows)
+        while len(rooms) < len(windows):
+            level, window = windows[len(rooms)]
+            if room + self.size - level > left - level:
+                break
+            room, left = room + self.size - level, left - level
+            rooms.append((self.size - level, self.next, level))
+            self.close(window)
+        self.open = {}
+        return rooms, [row for _, window in windows[len(rooms) :] for row, _ in window]
 
 
-def laid_out(sizes: list[int], size: int = SIZE) -> Iterator[list[tuple[int, int, int]]]:
-    """Pieces of these sizes end to end, cut into full windows and at last into powers of two: (piece, start, length) of each."""
-    left, piece, at = sum(sizes), 0, 0
+def laid_out(sizes: list[int], size: int = SIZE, rooms: list[int] | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Pieces of these sizes end to end, cut to ``rooms``, then into full windows and at last into powers of two: (piece, start, length) of each."""
+    left, piece, at, rooms = sum(sizes), 0, 0, list(rooms or ())
     while left:
-        room = size if left >= size else 1 << left.bit_length() - 1
+        room = rooms.pop(0) if rooms else size if left >= size else 1 << left.bit_length() - 1
         left -= room
         window = []
         while room:
@@ -152,13 +164,19 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
         if not at:
             return
         table = pa.Table.from_batches(rows)
+        rooms, rest_rows = packer.settle()
         row, sequence, offset = (np.array(x, np.int64) for x in zip(*packer.out, strict=True)) if packer.out else [np.zeros(0, np.int64)] * 3
-        open_ = np.array(packer.rest(), np.int64)
-        # pieces of open windows have no sequence yet; their offset is their turn
-        closed = table.take(row).drop(["sequence_id", "offset"]).append_column("sequence_id", pa.array(4 * sequence)).append_column("offset", pa.array(offset))
-        later = table.take(open_).drop(["sequence_id", "offset"]).append_column("sequence_id", pa.nulls(len(open_), pa.int64())).append_column("offset", pa.array(np.arange(len(open_))))
-        for part in (closed, later):
-            yield from part.append_column("stream", pa.array(np.full(len(part), task))).select([*_COLUMNS, "slot", "stream"]).to_batches(max_chunksize=50_000)
+        open_ = np.array(rest_rows, np.int64)
+        long = lambda x: pa.array(np.asarray(x, np.int64))
+        nulls = lambda n: pa.nulls(n, pa.int64())
+        # pieces of windows taken apart have no sequence yet; their offset is their turn
+        closed = table.take(long(row)).drop(["sequence_id", "offset"]).append_column("sequence_id", long(4 * sequence)).append_column("offset", long(offset))
+        later = table.take(long(open_)).drop(["sequence_id", "offset"]).append_column("sequence_id", nulls(len(open_))).append_column("offset", long(np.arange(len(open_))))
+        # room of closed windows, as rows without a slot: (room, offset, sequence) as start, length and doc_tokens
+        n, own = len(rooms), np.array(rooms, np.int64).reshape(-1, 3)
+        free = pa.table([nulls(n), long(own[:, 0]), long(own[:, 2]), nulls(n), long(4 * own[:, 1]), nulls(n), long(np.arange(n) - n), nulls(n)], [*_COLUMNS, "slot"])
+        for part in (closed, later, free):
+            yield from part.append_column("stream", long(np.full(len(part), task))).select([*_COLUMNS, "slot", "stream"]).to_batches(max_chunksize=50_000)
 
     names = ", ".join(f"{x} long" for x in _COLUMNS)
     placed = C.durable(rest.repartition(streams, "slot").sortWithinPartitions("slot").mapInArrow(place, names + ", slot long, stream long"))
@@ -174,23 +192,29 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabula
         if held:
             yield _finished(held, size)
 
-    left = placed.filter("sequence_id is null").join(cut.select("slot", "ids"), "slot")
+    open_ = placed.filter("sequence_id is null")
+    columns = ["doc_id", "start", "length", "doc_tokens", "stream", "offset"]
+    left = open_.join(cut.select("slot", "ids"), "slot").select(*columns, "ids").unionByName(open_.filter("slot is null").select(*columns, F.lit(None).cast("binary").alias("ids")))
     dealt = left.repartition(min(streams, C.partitions(df)), "stream").sortWithinPartitions("stream", "offset")
-    last = dealt.select("doc_id", "start", "doc_tokens", "stream", "ids").mapInArrow(finish, names)
+    last = dealt.select("doc_id", "start", "length", "doc_tokens", "stream", "ids").mapInArrow(finish, names)
     whole = cut.filter("sequence_id is not null").select(*_COLUMNS)
     return whole.unionByName(placed.filter("sequence_id is not null").select(*_COLUMNS)).unionByName(last)
 
 
 def _finished(rows: list[dict], size: int) -> pa.RecordBatch:
-    """The pieces of one stream's open windows, laid out anew."""
-    out = []
-    for k, window in enumerate(laid_out([len(r["ids"]) // 4 for r in rows], size)):
-        offset, sequence = 0, 4 * ((rows[0]["stream"] << 32) + k) + 2
+    """The pieces of one stream that are cut anew: first into the room of its closed windows."""
+    out, rooms, rows = [], [r for r in rows if r["ids"] is None], [r for r in rows if r["ids"] is not None]
+    for k, window in enumerate(laid_out([len(r["ids"]) // 4 for r in rows], size, [r["start"] for r in rooms])):
+        if k < len(rooms):
+            offset, sequence = rooms[k]["length"], rooms[k]["doc_tokens"]
+        else:
+            offset, sequence = 0, 4 * ((rows[0]["stream"] << 32) + k) + 2
         for piece, at, n in window:
             r = rows[piece]
             out.append((r["doc_id"], r["start"] + at, n, zlib.crc32(r["ids"][4 * at : 4 * (at + n)]), r["doc_tokens"], sequence, offset))
             offset += n
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], _COLUMNS)
+    columns = zip(*out, strict=True) if out else [[]] * len(_COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], _COLUMNS)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -288,7 +288,10 @@ def _document_spans(df: DataFrame, id_col: str, text_col: str, crowded: np.ndarr
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, source_id): passages that a smaller (identifier, text, position) has too."""
+    """(doc_id, start_word, end_word, source_id): stretches of words each of which lies in SEED words that a smaller (identifier, text, position) has too.
+
+    Overlapping matches make one stretch, so its ends may come from different documents; ``source_id`` has SEED words of it.
+    """
     named = lambda c: F.nullif(F.col(c), F.lit(int(_LAST_ID)))
     return _document_spans(df, id_col, text_col).select(named("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), named("source").alias("source_id"))
 

@@ -296,6 +296,19 @@ def test_packing(docs, empty, texts):
     assert held.keys() == ids.keys() and packing.pack(empty).count() == 0
 
 
+def test_packing_cuts_few_ids_anew(spark):
+    rnd = random.Random(43)
+    texts = [(k, _prose(rnd, int(rnd.paretovariate(1.1) * 25) % 3000 + 1)) for k in range(3000)]
+    pieces = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    ids = collections.Counter()
+    for p in pieces:
+        ids[p.sequence_id] += p.length
+    assert all(n == 2048 or n.bit_count() == 1 for n in ids.values()) and sum(n < 2048 for n in ids.values()) <= 11
+    split = collections.Counter((p.doc_id, p.start // 2048) for p in pieces)
+    anew = sum(p.length for p in pieces if split[p.doc_id, p.start // 2048] > 1)
+    assert anew < 0.08 * sum(ids.values())
+
+
 def test_packing_level_is_the_least_sum_of_squares():
     rnd, packer = random.Random(17), packing.Packer(0, 32)
     for doc in range(400):
