@@ -33,7 +33,7 @@ SEED = 42
 #: Cells with more marks than this are verified by marks of whole fingerprints, not by pairs.
 CELL_PAIRS = 64
 #: Buckets in which near_duplicates() counts how rare shingles are; the order changes its cost only.
-RARITY_BITS = 20
+RARITY_BITS, COMMON_FROM = 20, 16
 #: Hashes whose bits are counted at once.
 MAJORITY_HASHES = 1 << 15
 
@@ -154,10 +154,12 @@ def _sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def rarity(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """In how many documents the shingles of each hash bucket are, counted over all documents: 2**RARITY_BITS numbers.
+    """How common the shingles of each of 2**RARITY_BITS hash buckets are: the logarithm of their documents beyond a mean bucket's.
 
-    Every shingle has its place in this order whatever the size of the corpus; a task holds 4 MB of it. Each task sums its own
-    documents, what is shuffled are slices of these sums, and the driver gets one number for each bucket.
+    Counted over all documents, so every shingle has its place in this order whatever the size of the corpus. Up to
+    COMMON_FROM documents more, or what may be chance, it is zero: shingles of copies stay in hash order then, which makes
+    copies share marks. A task holds 1 MB. Each task sums its own documents, what is shuffled are slices of these sums, and
+    the driver gets one number for each bucket.
     """
     bits, n = RARITY_BITS, 64
     size = 1 << bits
@@ -186,7 +188,9 @@ def rarity(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarra
     out = np.zeros((n, size // n), np.uint32)
     for k, blob in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
         out[k] = np.frombuffer(blob, np.uint32)
-    return out.ravel()
+    mean = out.mean()
+    more = out.ravel() - mean
+    return np.where(more >= max(COMMON_FROM, 4 * mean**0.5), np.log2(np.maximum(more, 1)), 0).astype(np.int8)
 
 
 def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
