@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import alike, renamed, sample
+from .keys import CHAIN_BITS, alike, chain_bin, renamed, sample
 
 BIN = 1 << 14
 #: One row in this many is looked at for crowded bins, and parts of a partition that a bin may hold. They change no result.
@@ -153,14 +153,15 @@ def covering_histogram(windows: DataFrame, reads: DataFrame | Dealt, size: int =
     return _by_hp(_cover(windows, reads, size).select("win_id", "hp"))
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], breaks, size: int = 1 << 20) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: list[str], breaks, size: int = 1 << CHAIN_BITS) -> DataFrame:
     """``df`` with ``cluster_no``, from 0 for each key: a row opens a new cluster where ``breaks(previous, row)`` holds.
 
     Two levels, so that a chromosome isn't one task: rows are compared within bins of ``order[0]``; a small table of each
-    bin's first and last row and number of clusters joins the bins. Rows are shuffled once.
+    bin's first and last row and number of clusters joins the bins. Rows are shuffled once, or not at all where they have
+    their bins already, as ``_bin``, and lie by them (sources.io.store_signatures).
     """
     row = F.struct(*order)
-    binned = df.withColumn("_bin", F.floor(F.col(order[0]) / size).cast("long"))
+    binned = df if "_bin" in df.columns else df.withColumn("_bin", chain_bin(F.col(order[0]), size))
     inside = Window.partitionBy(*keys, "_bin").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_bin")
     opens = lambda prev, own: F.when(prev.isNull(), 0).when(breaks(prev, own), 1).otherwise(0)

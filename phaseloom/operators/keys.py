@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = "sample_id"
+#: Bins in which chains are looked for have two to this many bases.
+CHAIN_BITS = 20
 
 
 def sample(*tables: DataFrame) -> list[str]:
@@ -25,3 +27,8 @@ def alike(columns: list[str], prefix: str) -> Column:
     for c in columns:
         cond = cond & (F.col(c) == F.col(prefix + c))
     return cond
+
+
+def chain_bin(pos: Column, size: int = 1 << CHAIN_BITS) -> Column:
+    """The bin of a position in which its chain is looked for."""
+    return F.floor(pos / size).cast("long")

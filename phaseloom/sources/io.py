@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.keys import SAMPLE
+from ..operators.keys import CHAIN_BITS, SAMPLE, chain_bin
 
 #: Columns of the signature lines of each type, in order.
 LINES = {
@@ -208,6 +208,28 @@ def read_signatures(spark: SparkSession, path: str, lines: bool = False) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
+def store_signatures(sigs: DataFrame, name: str, path: str, buckets: int = 256) -> None:
+    """Signals as the table ``name`` in ``path``, without identical rows, for any number of runs over them.
+
+    A folder for each type and chromosome, and in it buckets of the bins in which chains are looked for (of each sample, where
+    there are several): chains and U2 take the table as it lies, without a shuffle of signals, and a region reads its buckets.
+    """
+    binned = sigs.withColumn("_bin", chain_bin(F.col("pos")))
+    own = [*([SAMPLE] if SAMPLE in sigs.columns else []), "_bin"]
+    dealt = binned.dropDuplicates().repartition(buckets, *own)
+    dealt.write.partitionBy("svtype", "chrom").bucketBy(buckets, *own).sortBy(*own, "pos").format("parquet").option("path", path).mode("overwrite").saveAsTable(name)
+
+
+def stored_signatures(spark: SparkSession, name: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Signals of store_signatures(), or those with a position in ``region`` (chromosome, start, end), both ends included."""
+    table = spark.table(name)
+    if region is None:
+        return table
+    chrom, start, end = region
+    first, last = (int(x) >> CHAIN_BITS for x in (start, end))
+    return table.filter((F.col("chrom") == chrom) & F.col("_bin").isin(*range(first, last + 1)) & F.col("pos").between(start, end))
+
+
 def vcf_header(contig_rows: list[tuple[str, int]], sample: str = "NULL", command: str | None = None, date: str | None = None) -> str:
     """Header text; contigs are few, so they come as rows. ``date`` of the file, now by default; ``command`` that made it."""
     info = (

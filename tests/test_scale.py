@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from phaseloom.operators import alleles as A
+from phaseloom.operators import cluster as C
 from phaseloom.operators import intervals as J
 from phaseloom.operators import reads as P
+from phaseloom.operators import signals as U
 from phaseloom.params import Params
 from phaseloom.plans import jobs
 from phaseloom.plans.job import Job
@@ -129,3 +131,34 @@ def test_signals_of_odd_cigars(spark):
     got = sorted((r.read_name, r.svtype, r.pos, r.len, r.bases) for r in P.cigar_signals(df).collect())
     seq = "ACGTTGCAAT" * 20
     assert got == [("r0", "INS", 110, 30, seq[10:40]), ("r1", "DEL", 0, 30, None), ("r1", "INS", 33, 31, seq[39:70]), ("r5", "DEL", 9, 30, None), ("r6", "INS", 11, 30, seq[10:40])]
+
+
+def test_stored_signatures_are_chained_as_they_lie(spark, tmp_path):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["DEL", "INS"]), f"c{rnd.randrange(3)}", float(rnd.randrange(12) << 19) + rnd.randrange(4000), rnd.randrange(50, 90), None, None, None, None, f"r{rnd.randrange(400)}", k % 3, None) for k in range(3000)]
+    rows += rows[:200]
+    df = spark.createDataFrame(rows, "svtype string, chrom string, pos double, len long, pos2 long, chrom2 string, strand string, bnd_type string, read_name string, hp int, ins_seq string")
+    io.store_signatures(df, "stored_sigs", str(tmp_path / "store"), buckets=7)
+    try:
+        table = io.stored_signatures(spark, "stored_sigs")
+        assert table.count() == len(set(rows))
+        plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan(U.dedup_signals(table))
+        key = lambda r: tuple(map(str, r))
+        names = ["win_id", "svtype", "chrom", "pos", "len", "read_name", "hp"]
+        got, want = C.indel_clusters(table), C.indel_clusters(U.dedup_signals(df))
+        assert sorted(map(key, got.select(names).collect())) == sorted(map(key, want.select(names).collect()))
+        # from each scan of signals upwards no exchange comes before the first window
+        lines = plan(got).split("\n")
+        for k, line in enumerate(lines):
+            if "FileScan" in line:
+                above = next(x for x in reversed(lines[:k]) if "Window" in x or "Exchange" in x)
+                assert "Window" in above
+        some = io.stored_signatures(spark, "stored_sigs", ("c1", 1_000_000, 1_500_000))
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # else buckets are left out too, but not told of
+        assert "SelectedBucketsCount: " in some.select("*")._jdf.queryExecution().explainString(mode)
+        assert some.count() == len({r for r in rows if r[1] == "c1" and 1_000_000 <= r[2] <= 1_500_000}) > 0
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.sql("DROP TABLE IF EXISTS stored_sigs")
