@@ -176,9 +176,10 @@ def dp_insert_sequence(members: DataFrame, bases: DataFrame) -> DataFrame:
     """(win_id, allele, ins_len, ins_seq) of alleles of the dynamic program (A9).
 
     The bases of each read are joined; lengths within a fence about their middle are averaged, and the shortest read of at
-    least that length, cut to it, is the sequence. ``members`` as allele_dp(), ``bases`` (win_id, read_name, pos, ins_seq).
+    least that length, cut to it, is the sequence. ``members`` as allele_dp(), ``bases`` (win_id, read_name, pos, len, ins_seq).
     """
-    text = bases.groupBy("win_id", "read_name", F.col("pos").cast("long").alias("pos")).agg(F.max("ins_seq").alias("ins_seq"))
+    # of several insertions of a read at one position the longest stands for each of them
+    text = bases.groupBy("win_id", "read_name", F.col("pos").cast("long").alias("pos")).agg(F.max(F.struct("len", "ins_seq"))["ins_seq"].alias("ins_seq"))
     read = members.join(text, ["win_id", "read_name", "pos"]).groupBy("win_id", "allele", "read_name").agg(F.array_sort(F.collect_list(F.struct("pos", "len", "ins_seq"))).alias("all"))
     whole = read.select("win_id", "allele", "read_name", F.array_join(F.transform("all", lambda x: x["ins_seq"]), "").alias("seq"))
     whole = whole.withColumn("n", F.length("seq"))

@@ -241,9 +241,9 @@ def open_indels(cluster, p, mode, least):
             if germline and size < p.min_size:
                 continue
             if germline and kind == "INS":
-                whole = {}
-                for r in sorted(own, key=lambda r: (r["pos"], r["len"])):
-                    whole[r["read_name"]] = whole.get(r["read_name"], "") + r["ins_seq"]
+                whole, at = {}, {(r["read_name"], r["pos"]): r["ins_seq"] for r in sorted(rows, key=lambda r: (r["len"], r["ins_seq"]))}
+                for r in sorted(own, key=lambda r: r["pos"]):
+                    whole[r["read_name"]] = whole.get(r["read_name"], "") + at[r["read_name"], r["pos"]]
                 n = sorted(len(x) for x in whole.values())
                 q1, q3 = np.percentile(n, 20), np.percentile(n, 80)
                 inner = [x for x in n if q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1)]
