@@ -33,7 +33,7 @@ SEED = 42
 #: Cells with more marks than this are verified by marks of whole fingerprints, not by pairs.
 CELL_PAIRS = 64
 #: Buckets in which near_duplicates() counts how rare shingles are; the order changes its cost only.
-RARITY_BITS, COMMON_FROM = 20, 16
+RARITY_BITS, COMMON_FROM = 20, 64
 #: Hashes whose bits are counted at once.
 MAJORITY_HASHES = 1 << 15
 
