@@ -154,12 +154,12 @@ def _sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def rarity(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
-    """How common the shingles of each of 2**RARITY_BITS hash buckets are: the logarithm, of base 16, of their documents beyond a mean bucket's.
+    """How common the shingles of each of 2**RARITY_BITS hash buckets are: the logarithm of their documents beyond a mean bucket's.
 
     Counted over all documents, so every shingle has its place in this order whatever the size of the corpus. Up to
-    COMMON_FROM documents more, or what may be chance, it is zero. The steps are wide, so that the shingles of a group of
-    copies, which some of them have lost, mostly stay in one step and so in hash order: copies share marks then. A task holds 1 MB. Each task sums its own documents, what is shuffled are slices of these sums, and
-    the driver gets one number for each bucket.
+    COMMON_FROM documents more, or what may be chance, it is zero. Its base is 16: the shingles of a group of copies, which
+    some of them have lost, mostly stay in one step and so in hash order, and copies share marks. A task holds 1 MB. Each
+    task sums its own documents, what is shuffled are slices of these sums, and the driver gets one number for each bucket.
     """
     bits, n = RARITY_BITS, 64
     size = 1 << bits

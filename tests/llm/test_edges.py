@@ -133,7 +133,7 @@ def test_quality_verdict_is_that_of_all_rules(spark):
         texts.append(" ".join(words) + ("\n" + line) * rnd.choice([0, 0, 3, 6, 12]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {k: plain_verdict(t) for k, t in enumerate(texts)}
-    assert 60 < sum(want.values()) < 540
+    assert 30 < sum(want.values()) < 570
     assert {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()} == want
     assert {r.doc_id for r in quality_rules.keep_good(docs).collect()} == {k for k, good in want.items() if good}
 
