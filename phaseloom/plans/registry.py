@@ -738,8 +738,8 @@ def _(spark, sf_dir):
     return J.overlapping_reads(C.cluster_windows(_s_indel(spark, sf_dir), 1000), _of_samples(_reads(spark, sf_dir)))
 
 
-@_query("v6_number_calls_by_sample", _S_INDEL + """, at AS (SELECT sample_id, win_id, svtype, chrom, CAST(floor(avg(pos)) AS BIGINT) AS pos FROM cl GROUP BY 1, 2, 3, 4)
-SELECT sample_id, win_id, concat(svtype, row_number() OVER (PARTITION BY sample_id, svtype ORDER BY chrom, pos, win_id) - 1) AS id FROM at""", "v_sigs", "v_reads")
+@_query("v6_number_calls_by_sample", _S_INDEL + """, put AS (SELECT sample_id, win_id, svtype, chrom, CAST(floor(avg(pos)) AS BIGINT) AS pos FROM cl GROUP BY 1, 2, 3, 4)
+SELECT sample_id, win_id, concat(svtype, row_number() OVER (PARTITION BY sample_id, svtype ORDER BY chrom, pos, win_id) - 1) AS id FROM put""", "v_sigs", "v_reads")
 def _(spark, sf_dir):
     at = _s_indel(spark, sf_dir).groupBy("sample_id", F.col("win_id").alias("call_id"), "svtype", "chrom").agg(F.floor(F.avg("pos")).alias("pos"))
     return V.number_calls(at).select("sample_id", F.col("call_id").alias("win_id"), "id")
