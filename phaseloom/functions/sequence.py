@@ -1,7 +1,10 @@
-"""CIGAR text and base sequences as columns; everything stays in code-generated expressions, row by row."""
+"""CIGAR text and base sequences as columns: expressions over a row, and the reverse complement by Arrow batches."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def let(value: Column, then) -> Column:
@@ -44,5 +47,17 @@ def right_clip(ops: Column) -> Column:
     return _edge_clip(F.reverse(ops))
 
 
-def reverse_complement(seq: Column) -> Column:
+_COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+
+
+@F.arrow_udf(StringType())
+def reverse_complement(seq: pa.Array) -> pa.Array:
+    """The complement of a batch's bytes by one table; other characters, of several bytes too, stay."""
+    valid, at, data = seq.buffers()
+    turned = pa.py_buffer((b"" if data is None else data.to_pybytes()).translate(_COMPLEMENT))
+    return pc.utf8_reverse(pa.Array.from_buffers(seq.type, len(seq), [valid, at, turned], offset=seq.offset))
+
+
+def reverse_complement_of_few(seq: Column) -> Column:
+    """The same as an expression, for short texts of few rows, which then needn't leave their stage."""
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))

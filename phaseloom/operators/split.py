@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import reverse_complement
+from ..functions.sequence import reverse_complement_of_few
 from ..params import Params
 from .keys import sample
 
@@ -200,4 +200,7 @@ def split_signals(split: DataFrame, p: Params = Params(), strict_last_pair: bool
 
 def insert_bases(seq: Column, query_pos: Column, length: Column, minus: Column) -> Column:
     """Bases of a split-read insertion, from the read or its reverse complement."""
-    return F.when(minus, reverse_complement(seq)).otherwise(seq).substr((query_pos + 1).cast("int"), length.cast("int"))
+    # on the minus strand the same bases are counted from the other end, and only they are turned round
+    first = F.length(seq) - query_pos - length
+    back = seq.substr((F.greatest(first, F.lit(0)) + 1).cast("int"), F.greatest(length + F.least(first, F.lit(0)), F.lit(0)).cast("int"))
+    return F.when(minus, reverse_complement_of_few(back)).otherwise(seq.substr((query_pos + 1).cast("int"), length.cast("int")))
