@@ -1,9 +1,12 @@
 """P: filters and projections of alignments. Row-local except for the join with regions."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions.cigar import signals
 from ..params import Params
 from .keys import sample
 
@@ -54,86 +57,28 @@ def at_least(n: int) -> str:
     return "(?:" + "|".join([*more, digits]) + ")"
 
 
-def _walk(cigar: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
-    """Signals in CIGAR order: array of struct(svtype, pos, len, bases).
-
-    A text without a long enough I or D, which most reads have, isn't parsed; others are parsed once.
-    """
-    none = F.array().cast("array<struct<svtype:string,pos:bigint,len:bigint,bases:string>>")
-    some = cigar.rlike(f"(?:^|[^0-9])0*{at_least(min_len)}[ID]")
-    return F.when(some, S.let(S.parse_cigar(cigar), lambda ops: _long_ones(ops, ref_start, seq, min_len))).otherwise(none)
-
-
-def _long_ones(ops: Column, ref_start: Column, seq: Column, min_len: int) -> Column:
-    """The long insertions and deletions, each with the sums of the operations before it; no list grows on the way."""
-    hard = F.when(F.get(ops, F.lit(0))["op"] == "H", F.get(ops, F.lit(0))["len"]).otherwise(0).cast("long")
-    op = lambda i: F.get(ops, i)
-    kept = F.filter(F.sequence(F.lit(0), F.size(ops) - 1), lambda i: op(i)["op"].isin("I", "D") & (op(i)["len"] >= min_len))
-    zero = F.lit(0).cast("long")
-    before = lambda i, counts: F.aggregate(F.slice(ops, 1, i), zero, lambda acc, x: acc + F.when(counts(x["op"]), x["len"]).otherwise(0))
-
-    def signal(i: Column) -> Column:
-        kind, n = op(i)["op"], op(i)["len"]
-        query = before(i, lambda o: o != "D") - hard
-        return F.struct(
-            F.when(kind == "I", "INS").otherwise("DEL").alias("svtype"),
-            (ref_start.cast("long") + before(i, lambda o: o.isin("M", "D", "N", "=", "X"))).alias("pos"),
-            n.alias("len"),
-            F.when(kind == "I", seq.substr((query + 1).cast("int"), n.cast("int"))).alias("bases"),
-        )
-
-    return F.transform(kept, signal)
-
-
-def signal_arrays(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """``df`` with ``signals``, the insertions and deletions of each CIGAR in order. No shuffle."""
-    able = df.filter((F.col("mapq") >= p.min_mapq) & (F.col("query_len") >= p.min_read_len))
-    return able.withColumn("signals", _walk(F.col("cigar"), F.col("ref_start"), F.col("query_seq"), p.min_siglength))
-
-
 def cigar_signals(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """(chrom, read_name, hp, svtype, pos, len, bases) of every long insertion and deletion."""
-    return _listed(signal_arrays(df, p), F.col("signals"))
-
+    """(chrom, read_name, hp, svtype, pos, len, bases) of every long insertion and deletion. No shuffle."""
+    return _listed(df, signals(p.min_siglength), p)
 
-def _listed(df: DataFrame, signals: Column) -> DataFrame:
-    """A row for each signal. The outer form keeps the planner from computing the signals twice, once to test for none."""
-    return df.select(*sample(df), "chrom", "read_name", "hp", F.inline_outer(signals)).filter("svtype is not null")
 
-
-def merged_signals(signals: Column, svtype: str, gap: int = Params.merge_gap, uniform_gap: bool = False) -> Column:
-    """Neighbouring signals of one type in a read joined where nothing of the other type lies between them.
+def merge_in_read(df: DataFrame, p: Params = Params(), uniform_gap: bool = False) -> DataFrame:
+    """cigar_signals() after joining neighbours of one type within each read where nothing of the other lies between. No shuffle.
 
     The gap of insertions is from start to start. That of deletions is from the end; only a group after the first, while it
     has one member, is measured from its start, unless ``uniform_gap``.
     """
-    item = "struct<svtype:string,pos:bigint,len:bigint,bases:string>"
-    none = F.lit(None).cast(item)
-    start = F.struct(F.array().cast(f"array<{item}>").alias("done"), none.alias("open"), F.lit(0).cast("long").alias("mark"), F.lit("").alias("before"))
-
-    def step(acc: Column, x: Column) -> Column:
-        open_, mine = acc["open"], x["svtype"] == svtype
-        near = (acc["before"] == svtype) & (x["pos"] - acc["mark"] <= F.least(open_["len"], x["len"], F.lit(gap)))
-        joined = F.struct(open_["svtype"].alias("svtype"), open_["pos"].alias("pos"), (open_["len"] + x["len"]).alias("len"), F.concat(open_["bases"], x["bases"]).alias("bases"))
-        end = x["pos"] + x["len"]
-        if svtype == "INS":
-            mark = x["pos"]
-        else:
-            mark = end if uniform_gap else F.when(open_.isNull() | near, end).otherwise(x["pos"])
-        return F.struct(
-            F.when(mine & open_.isNotNull() & ~near, F.concat(acc["done"], F.array(open_))).otherwise(acc["done"]).alias("done"),
-            F.when(~mine, open_).when(open_.isNull() | ~near, x).otherwise(joined).alias("open"),
-            F.when(mine, mark).otherwise(acc["mark"]).alias("mark"),
-            x["svtype"].alias("before"),
-        )
-
-    return F.aggregate(signals, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    return _listed(df, signals(p.min_siglength, p.merge_gap, uniform_gap), p)
 
 
-def merge_in_read(df: DataFrame, p: Params = Params(), uniform_gap: bool = False) -> DataFrame:
-    """cigar_signals() after joining neighbours within each read; rows carry ``signals``. No shuffle."""
-    both = S.let(F.col("signals"), lambda x: F.concat(merged_signals(x, "DEL", p.merge_gap, uniform_gap), merged_signals(x, "INS", p.merge_gap)))
-    return _listed(df, both)
+def _listed(df: DataFrame, found: Callable[[str], Column], p: Params) -> DataFrame:
+    """A row for each signal; the bases of insertions are cut where the read's still are in the row."""
+    some = F.col("cigar").rlike(f"(?:^|[^0-9])0*{at_least(p.min_siglength)}[ID]")  # most reads have no long enough operation
+    able = df.filter((F.col("mapq") >= p.min_mapq) & (F.col("query_len") >= p.min_read_len) & some)
+    rows = able.select(*sample(df), "chrom", "read_name", "hp", F.col("ref_start").cast("long").alias("_start"), "query_seq", F.inline(found("cigar")))
+    cut = lambda x: F.col("query_seq").substr((x["query"] + 1).cast("int"), x["len"].cast("int"))
+    bases = F.when(F.size("parts") == 1, cut(F.get("parts", F.lit(0)))).otherwise(F.aggregate("parts", F.lit(""), lambda acc, x: F.concat(acc, cut(x))))
+    return rows.select(*sample(df), "chrom", "read_name", "hp", "svtype", (F.col("_start") + F.col("ahead")).alias("pos"), "len", F.when(F.col("svtype") == "INS", bases).alias("bases"))
 
 
 def segment(ops: Column, ref_start: Column, chrom: Column, strand: Column) -> Column:
@@ -149,16 +94,19 @@ def split_segments(df: DataFrame, p: Params = Params(), sa_zero_based: bool = Fa
     ``sa_zero_based``. ``bases`` keeps ``query_seq``, in which insertions are read.
     """
     rows = df.filter(F.col("flag").isin(0, 16) & F.col("sa").isNotNull() & (F.col("query_len") >= p.min_read_len))
-    ops = S.parse_cigar(F.col("cigar"))
     good = F.col("mapq") >= p.min_mapq
-    own = segment(ops, F.col("ref_start").cast("long"), F.col("chrom"), F.when(F.col("flag") == 16, "-").otherwise("+"))
+    strand, both = F.when(F.col("flag") == 16, "-").otherwise("+"), ("M", "I", "S", "H", "=", "X")
+    read_len = lambda ops: F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["op"].isin(*both), x["len"]).otherwise(0))
+    own = S.let(S.parse_cigar(F.col("cigar")), lambda ops: F.struct(segment(ops, F.col("ref_start").cast("long"), F.col("chrom"), strand).alias("seg"), read_len(ops).alias("len")))
     parts = F.transform(F.filter(F.split("sa", ";"), lambda x: x != ""), lambda x: F.split(x, ","))
     parts = F.filter(parts, lambda x: good | (x[4].cast("int") >= p.min_mapq))
-    more = F.transform(parts, lambda x: segment(S.parse_cigar(x[3]), x[1].cast("long") - (1 if sa_zero_based else 0), x[0], x[2]))
-    segs = F.concat(F.when(good, F.array(own)).otherwise(F.array().cast("array<struct<read_start:bigint,read_end:bigint,ref_start:bigint,ref_end:bigint,chrom:string,strand:string>>")), more)
-    read_len = F.aggregate(ops, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["op"].isin("M", "I", "S", "H", "=", "X"), x["len"]).otherwise(0))
+    more = F.transform(parts, lambda x: S.let(S.parse_cigar(x[3]), lambda ops: segment(ops, x[1].cast("long") - (1 if sa_zero_based else 0), x[0], x[2])))
+    none = F.array().cast("array<struct<read_start:bigint,read_end:bigint,ref_start:bigint,ref_end:bigint,chrom:string,strand:string>>")
+    made = S.let(own, lambda x: F.struct(F.array_sort(F.concat(F.when(good, F.array(x["seg"])).otherwise(none), more)).alias("segs"), x["len"].alias("read_len")))
     kept = ["query_seq"] if bases else []
-    return rows.select(*sample(df), "read_name", "hp", F.array_sort(segs).alias("segs"), read_len.alias("read_len"), *kept).filter(F.size("segs") > 0)
+    # each row's texts are parsed once: a generated column isn't computed again by what reads it
+    found = rows.select(*sample(df), "read_name", "hp", *kept, F.inline_outer(F.array(made)))
+    return found.filter(F.size("segs") > 0).select(*sample(df), "read_name", "hp", "segs", "read_len", *kept)
 
 
 def clip_points(split: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def extract_signatures(alignments: DataFrame, bed: DataFrame | None = None, p: P
     split = P.split_segments(kept, p, bases=True)  # most reads have no split
     far = X.split_signals(split, p).select(*of, *names, "side")
     far = far if job is None else job.kept("split_signals", far)
-    near = P.merge_in_read(P.signal_arrays(kept, p), p).withColumn("pos", F.col("pos").cast("double")).withColumnRenamed("bases", "ins_seq")
+    near = P.merge_in_read(kept, p).withColumn("pos", F.col("pos").cast("double")).withColumnRenamed("bases", "ins_seq")
     blank = {c: F.lit(None).cast(t) for c, t in (("pos2", "long"), ("chrom2", "string"), ("strand", "string"), ("bnd_type", "string"))}
     sig = U.dedup_signals(U.union_signals(near.withColumns(blank).select(*of, *names), far.filter("svtype <> 'CLIP'").select(*of, *names)))
     edges = far.filter("svtype = 'CLIP'").select(*of, "chrom", "read_name", "side", F.col("pos").cast("long").alias("pos"), "hp")
