@@ -145,7 +145,7 @@ def _(spark, sf_dir):
     a = view(spark, sf_dir, "v_align")
     tags = F.concat(F.when(F.col("hp") > 0, F.concat(F.lit("\tHP:i:"), F.col("hp"))).otherwise(""), F.coalesce(F.concat(F.lit("\tSA:Z:"), "sa"), F.lit("")))
     line = F.concat_ws("\t", "read_name", "flag", "chrom", F.col("ref_start") + 1, "mapq", "cigar", F.lit("*\t0\t0"), "query_seq", F.lit("*"))
-    a.select(F.concat(line, tags).alias("value")).write.text(path)
+    a.select(F.concat(line, tags).alias("value")).write.text(path, compression="gzip")  # a line is some 900 bytes, of few kinds
     return io.read_alignments(spark, path).drop("query_seq")
 
 
@@ -241,7 +241,7 @@ UNION ALL SELECT chrom, read_name, hp, 'DEL', d2, n2, NULL FROM m WHERE n2 >= 30
 UNION ALL SELECT chrom, read_name, hp, 'INS', i1, n3 + CASE WHEN mi THEN n4 ELSE 0 END, substr(seq, o1 + 1, n3) || CASE WHEN mi THEN substr(seq, o2 + 1, n4) ELSE '' END FROM m WHERE n3 >= 30
 UNION ALL SELECT chrom, read_name, hp, 'INS', i2, n4, substr(seq, o2 + 1, n4) FROM m WHERE NOT mi""", "v_reads")
 def _(spark, sf_dir):
-    return P.merge_in_read(P.signal_arrays(view(spark, sf_dir, "v_align")))
+    return P.merge_in_read(view(spark, sf_dir, "v_align"))
 
 
 @_query("p7_split_segments", f""", a AS (SELECT *, q % 10 <> 0 AS good FROM v_reads WHERE ok % 4 = 0 AND ln <> 7)
