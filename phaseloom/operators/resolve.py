@@ -7,9 +7,10 @@ Clips are dealt by read, as the fate of a read's clips depends on no other read:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ from ..params import Params
 
 #: Least ratio of lengths at which alleles of two haplotypes are one variant, and at which another read's signal joins it.
 SAME, ALIKE = 0.9, 0.7
-_PAIRED = {"hp": "int", "mate_hp": "int", "mate": "int", "gt": "string"}
+#: Rows after which a task hands on what it has made.
+SOLVED = 10_000
 
 
 def _ratio(x: float, y: float) -> float:
@@ -53,23 +55,36 @@ def _pairs(by_hp: dict[int, list[dict]]) -> Iterator[tuple[dict, dict | None, st
             yield own, None, ".|."
 
 
-def _by_hp(rows: pd.DataFrame, order: list[str]) -> dict[int, list[dict]]:
-    ranked = rows.sort_values(order, ascending=[c != "n_signals" for c in order], kind="stable")
-    return {hp: ranked[ranked["hp"] == hp].to_dict("records") for hp in (0, 1, 2)}
+def _solved(rows: DataFrame, solve: Callable[[list[dict]], Iterator[dict]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """What ``solve`` makes of the rows of each ``win_id``, cluster after cluster of a sorted partition.
+
+    Clusters have a few rows each, so one costs what its rows cost: many of them come and go in one Arrow batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_schema, out = pa.schema(list(kinds.items())), []
+        for _, own in groupby((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["win_id"]):
+            out += solve(list(own))
+            if len(out) >= SOLVED:
+                yield pa.RecordBatch.from_pylist(out, own_schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, own_schema)
+
+    return rows.repartition("win_id").sortWithinPartitions("win_id").mapInArrow(run, schema)
 
 
 def pair_haplotypes(alleles: DataFrame) -> DataFrame:
     """(win_id, turn, hp, allele, mate_hp, mate, gt) for alleles (win_id, hp, allele, n_signals, size, low, high)."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        found = [
-            (rows["win_id"].iloc[0], turn, own["hp"], own["allele"], None if mate is None else mate["hp"], None if mate is None else mate["allele"], gt)
-            for turn, (own, mate, gt) in enumerate(_pairs(_by_hp(rows, ["n_signals", "allele"])))
-        ]
-        return pd.DataFrame(found, columns=["win_id", "turn", "hp", "allele", "mate_hp", "mate", "gt"])
+    def one(rows: list[dict]) -> Iterator[dict]:
+        ordered = sorted(rows, key=lambda x: (-x["n_signals"], x["allele"]))
+        for turn, (own, mate, gt) in enumerate(_pairs({hp: [x for x in ordered if x["hp"] == hp] for hp in (0, 1, 2)})):
+            yield {"win_id": own["win_id"], "turn": turn, "hp": own["hp"], "allele": own["allele"], "mate_hp": mate and mate["hp"], "mate": mate and mate["allele"], "gt": gt}
 
-    schema = "win_id string, turn int, hp int, allele int, mate_hp int, mate int, gt string"
-    return alleles.select("win_id", F.col("hp").cast("int").alias("hp"), F.col("allele").cast("int").alias("allele"), "n_signals", "size", "low", "high").groupBy("win_id").applyInPandas(one, schema)
+    kinds = {"win_id": pa.string(), **dict.fromkeys(("turn", "hp", "allele", "mate_hp", "mate"), pa.int32()), "gt": pa.string()}
+    rows = alleles.select("win_id", F.col("hp").cast("int").alias("hp"), F.col("allele").cast("int").alias("allele"), "n_signals", "size", "low", "high")
+    return _solved(rows, one, kinds, "win_id string, turn int, hp int, allele int, mate_hp int, mate int, gt string")
 
 
 def merge_haplotypes_indel(chained: DataFrame, stats: DataFrame, need: DataFrame, p: Params = Params(), mode: str = "germline") -> tuple[DataFrame, DataFrame]:
@@ -231,13 +246,13 @@ def merge_haplotypes_two_breakpoints(alleles: DataFrame, mosaic: bool = False) -
     genotype. One allele a row and some dozen reads in each, so a cluster's group is a small part of its signals.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        made = _two_breakpoint_pairs(rows.sort_values(["hp", "allele"]).to_dict("records"), mosaic)
-        found = [
-            (rows["win_id"].iloc[0], turn, own["hp"], own["allele"], gt, int(bp1), int(size), sum(m["n_reads"] for m in members), [{"hp": m["hp"], "allele": m["allele"]} for m in members])
-            for turn, (own, members, gt, bp1, size) in enumerate(made)
-        ]
-        return pd.DataFrame(found, columns=["win_id", "turn", "hp", "allele", "gt", "bp1", "size", "dv", "members"])
+    def one(rows: list[dict]) -> Iterator[dict]:
+        made = _two_breakpoint_pairs(sorted(rows, key=lambda x: (x["hp"], x["allele"])), mosaic)
+        for turn, (own, members, gt, bp1, size) in enumerate(made):
+            named = [{"hp": m["hp"], "allele": m["allele"]} for m in members]
+            yield {"win_id": own["win_id"], "turn": turn, "hp": own["hp"], "allele": own["allele"], "gt": gt, "bp1": int(bp1), "size": int(size), "dv": sum(m["n_reads"] for m in members), "members": named}
 
+    whole, few = pa.int64(), pa.int32()
+    kinds = {"win_id": pa.string(), "turn": few, "hp": few, "allele": few, "gt": pa.string(), "bp1": whole, "size": whole, "dv": whole, "members": pa.list_(pa.struct([("hp", few), ("allele", few)]))}
     rows = alleles.select("win_id", F.col("hp").cast("int").alias("hp"), F.col("allele").cast("int").alias("allele"), "n_reads", F.col("bp1").cast("double").alias("bp1"), F.col("size").cast("double").alias("size"), "gt", "least", "least_untagged")
-    return rows.groupBy("win_id").applyInPandas(one, "win_id string, turn int, hp int, allele int, gt string, bp1 long, size long, dv long, members array<struct<hp:int,allele:int>>")
+    return _solved(rows, one, kinds, "win_id string, turn int, hp int, allele int, gt string, bp1 long, size long, dv long, members array<struct<hp:int,allele:int>>")
