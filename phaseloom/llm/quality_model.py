@@ -1,8 +1,8 @@
 """Operator 1, quality classifier: an interpolated modified Kneser-Ney model of byte 5-grams.
 
-Trusted documents are those labelled of good quality and not toxic. Half of them, of each language about TRUSTED / 2 at
-most, taken by a hash of their identifier, train the counts; all others, unseen by the model, set for each language the
-quantile of perplexity above which a document is rejected. Counts, contexts and continuation counts are tables, sharded
+Trusted documents are those labelled of good quality and not toxic. Half of them, taken by a hash of their identifier, train
+the counts; all others, unseen by the model, set for each language the quantile of perplexity above which a document is
+rejected. Counts, contexts and continuation counts are tables, sharded
 by gram; the grams of all documents are joined with them order by order, and each document gets its perplexity for each
 byte.
 
@@ -25,8 +25,6 @@ from . import common as C
 from .grams import blocks, gram_runs, scored, single, totals
 
 ORDER = 5
-#: Half of it is about the most trusted documents of a language that train the counts.
-TRUSTED = 20_000
 #: A quantile over n documents is off by at most n / ACCURACY ranks; up to so many it is exact.
 ACCURACY = 100_000
 #: A document is kept up to this quantile of its language's trusted documents.
@@ -123,20 +121,24 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     return found
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: int = TRUSTED, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, perplexity, threshold, kept) for each row of ``df``."""
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", trusted: int | None = None, quantile: float = QUANTILE) -> DataFrame:
+    """(doc_id, lang, perplexity, threshold, kept) for each row of ``df``.
+
+    All of the trusted half trains the counts, unless ``trusted`` asks for about half of so many documents of a language.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     good = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).filter("q = 1 and x = 0")
     half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0
-    able = C.durable(docs.select("id", "lang").join(good.filter(half).select("id"), "id").distinct())
-    # a hash of the identifier in [0, 1), below the share of its language that the bound allows
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
-    shares = able.groupBy("lang").agg((F.lit(trusted / 2) / F.count(F.lit(1))).alias("share"))
-    few = able.join(F.broadcast(shares), able["lang"].eqNullSafe(shares["lang"])).filter(place < F.col("share"))
-    trained = C.durable(few.select("id").distinct())
+    able = docs.select("id", "lang").join(good.filter(half).select("id"), "id", "left_semi").distinct()
+    if trusted is not None:
+        # a hash of the identifier in [0, 1), below the share of its language that the bound allows
+        place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+        shares = able.groupBy("lang").agg((F.lit(trusted / 2) / F.count(F.lit(1))).alias("share"))
+        able = able.join(F.broadcast(shares), able["lang"].eqNullSafe(shares["lang"])).filter(place < F.col("share"))
+    trained = C.durable(able.select("id").distinct())
     counts = C.durable(trained_counts(docs.select("id", "text").join(trained, "id", "left_semi")))
     found = perplexities(docs, counts)
-    C.discard(able, counts)
+    C.discard(counts)
     unseen = good.select("id").join(trained, "id", "left_anti").withColumnRenamed("id", "doc_id")
     held = C.durable(found.join(unseen, "doc_id", "left_semi").filter("perplexity is not null").select("lang", "perplexity"))
     bound = F.expr(f"percentile_approx(perplexity, {quantile}D, {ACCURACY})")
