@@ -27,7 +27,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: operator 5 over five-word shingles, a similarity of 0.8 or more checked.
+
+    What fingerprints can't find at that similarity is added exactly.
+    """
     C.ship_code(spark)
     return simhash.drop_near_duplicates(docs)
 

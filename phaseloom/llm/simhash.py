@@ -11,6 +11,8 @@ every component whole without listing pairs.
 
 Equal fingerprints count once, so very large groups of copies cost nothing after the first aggregation.
 
+near_duplicates() takes its links by the same steps, from both halves of a fingerprint, and checks them by their shingles.
+
 Null and empty texts have no words and the fingerprint zero, which is linked like any other. Repeated rows get equal
 results. A row without an identifier links nothing; it takes the component of the rows with its fingerprint, or none. An empty table gives an empty result. Extra columns are not read.
 """
@@ -115,18 +117,23 @@ def _marks(df: DataFrame, column: str, steps: list[int], name: str, xor: bool) -
     return df.select("fp", "rep", F.explode(F.array(own, *near)).alias(name))
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the rep of distinct (fp, cell, rep) that keep all components at Hamming distance 2 or less."""
-    steps = [sign << 4 * k if sign > 0 else -(1 << 4 * k) for k in range(16) for sign in (1, -1)]
+def link_fingerprints(distinct: DataFrame, bits: int = 64, most: int | None = None) -> DataFrame:
+    """Links (a, b), a > b, between the rep of distinct (fp, cell, rep) that keep all components at Hamming distance 2 or less.
+
+    Fingerprints with different bits from ``bits`` on, where that is less than 64, are never linked. Cells of up to ``most``
+    marks (else CELL_PAIRS) are verified by pairs.
+    """
+    most = CELL_PAIRS if most is None else most
+    steps = [sign << 4 * k if sign > 0 else -(1 << 4 * k) for k in range(bits // 4) for sign in (1, -1)]
     marks = _marks(distinct, "cell", steps, "mark", False)
     shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    few = marks.join(shared.filter(F.col("n") <= CELL_PAIRS).select("mark"), "mark", "left_semi")
+    few = marks.join(shared.filter(F.col("n") <= most).select("mark"), "mark", "left_semi")
     other = few.select("mark", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
     close = (F.col("rep") > F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= 2)
     pairs = few.join(other, (few["mark"] == other["mark"]) & close).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    full = shared.filter(F.col("n") > CELL_PAIRS).select("mark")
+    full = shared.filter(F.col("n") > most).select("mark")
     near = marks.join(full, "mark", "left_semi").groupBy("fp").agg(F.min("rep").alias("rep"))
-    flips = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
+    flips = [1 << k if k < 63 else -(1 << 63) for k in range(bits)]
     exact = _marks(near, "fp", flips, "mark", True)
     least = exact.groupBy("mark").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = exact.join(least, "mark").select(F.col("rep").alias("a"), "b").filter("a <> b")
@@ -153,6 +160,40 @@ def _sets(raw: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return hashes[new], np.searchsorted(doc[new], np.arange(len(at)))
 
 
+def halves(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, cell) for both halves of the fingerprint of each set of shingles that isn't empty: bit 32 tells the upper half.
+
+    Other than in fingerprints(), a shingle that a text repeats has one vote, as it counts once in the similarity.
+    """
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids = np.asarray(batch.column(0))
+        for row, end, raw, at in C.chunks(batch.column(1)):
+            sets, offsets = _sets(raw, at, shingle)
+            some = np.diff(offsets) > 0
+            fp = majorities(sets, offsets)[some]
+            both = np.concatenate([fp & np.uint64(0xFFFFFFFF), fp >> np.uint64(32) | np.uint64(1 << 32)])
+            yield {"id": np.tile(ids[row:end][some], 2), "fp": both.view(np.int64), "cell": cells(both).view(np.int64)}
+
+    return C.in_arrow(C.texts(df, id_col, text_col).filter("id is not null"), work, "id long, fp long, cell long")
+
+
+def fingerprint_pairs(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Pairs (a, b), a > b, of documents whose fingerprints have a half within 2 bits, as a written table.
+
+    Of two fingerprints within 5 bits one half is. A half is linked as op5_simhash() links whole fingerprints, by the bit
+    counts of its 8 segments; documents of equal halves are paired with the smallest of them. Cells of 8 segments fill soon,
+    so all are verified by marks of whole halves: rows grow with the documents at every size.
+    """
+    prints = C.durable(halves(df, id_col, text_col, shingle))
+    distinct = C.durable(prints.groupBy("fp", "cell").agg(F.min("id").alias("rep")))
+    equal = prints.join(distinct.select("fp", "rep"), "fp").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    pairs = C.durable(equal.union(link_fingerprints(distinct, 32, 0)).distinct())
+    C.discard(prints, distinct)
+    C.drop_shuffles(df.sparkSession)
+    return pairs
+
+
 def rarity(df: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
     """How common the shingles of each of 2**RARITY_BITS hash buckets are: the logarithm of their documents beyond a mean bucket's.
 
@@ -288,25 +329,31 @@ def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
 def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) with the components of all pairs of at least this similarity.
 
-    Each set is first tried against the hub of each of its marks, where they share enough. The hub is the set of which the
-    greatest share of marks is shared: the text that a large group of copies comes from, if it is there, as a copy has marks
-    of its own where it was changed. Then every pair that shares a mark and isn't in one component by that is tried, so what
-    the first tries leave apart is never lost.
+    The pairs of fingerprint_pairs() come first. What their fingerprints tell apart, or what these pairs leave out where a
+    mark has more than two, comes by prefix_marks(), and only if it isn't in one component yet. Each set is tried against the hub of
+    each of its marks, where they share enough. The hub is the set of which the greatest share of marks is shared: the text
+    that a large group of copies comes from, if it is there, as a copy has marks of its own where it was changed. Then every
+    pair that shares a mark and is still apart is tried, so what all these leave apart is never lost.
     """
+    close = fingerprint_pairs(df, id_col, text_col, shingle)
+    alike = verified(close, df, id_col, text_col, shingle, similarity)
     stored = C.durable(prefix_marks(df, id_col, text_col, shingle, similarity))
     C.drop_shuffles(df.sparkSession)
     equal = C.durable(stored.filter("mark is null").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    known = components(alike.union(equal)).toDF("id", "component")
     marks = stored.filter("mark is not null")
     prefix = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-6) + 1
     shares = marks.groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).select("id", (F.col("c") / prefix).cast("float").alias("share"))
-    ranked = C.durable(marks.select("mark", "id", "n", "pos").join(shares, "id"))
+    own = F.coalesce("component", "id").alias("component")
+    ranked = C.durable(marks.select("mark", "id", "n", "pos").join(shares.join(known, "id", "left").select("id", "share", own), "id"))
     C.discard(stored)
-    hubs = ranked.groupBy(F.col("mark").alias("of")).agg(F.max(F.struct("share", (-F.col("id")).alias("least"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias("hub"))
-    first = ranked.join(hubs, F.col("mark") == F.col("of")).filter(F.col("id") != F.col("hub.b")).select(F.col("id").alias("a"), "hub.b", "n", "pos", "hub.n2", "hub.pos2")
+    hub = F.struct("share", (-F.col("id")).alias("least"), F.col("id").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "component")
+    hubs = ranked.groupBy(F.col("mark").alias("of")).agg(F.max(hub).alias("hub"))
+    first = ranked.join(hubs, F.col("mark") == F.col("of")).filter(F.col("component") != F.col("hub.component")).select(F.col("id").alias("a"), "hub.b", "n", "pos", "hub.n2", "hub.pos2")
     heads = C.durable(_possible(first, similarity))
     stars = verified(heads, df, id_col, text_col, shingle, similarity)
-    found = components(stars).toDF("id", "component")
-    placed = C.durable(ranked.drop("share").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    found = components(known.toDF("a", "b").union(stars)).toDF("id", "component")
+    placed = C.durable(ranked.drop("share", "component").join(found, "id", "left").withColumn("component", own))
     C.discard(ranked)
     mixed = placed.groupBy("mark").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("mark")
     one = placed.join(mixed, "mark", "left_semi")
@@ -315,11 +362,12 @@ def linked(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     most = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     fits = (1 + similarity) * most >= similarity * (F.col("n") + F.col("n2")) - 1e-6
     apart = one.join(two, (F.col("mark") == F.col("mark2")) & (F.col("id") > F.col("id2")) & (F.col("component") != F.col("component2")) & fits)
-    rest = C.durable(_possible(apart.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "pos", "n2", "pos2"), similarity).join(heads, ["a", "b"], "left_anti"))
+    possible = _possible(apart.select(F.col("id").alias("a"), F.col("id2").alias("b"), "n", "pos", "n2", "pos2"), similarity)
+    rest = C.durable(possible.join(heads.union(close), ["a", "b"], "left_anti"))
     more = verified(rest, df, id_col, text_col, shingle, similarity)
-    C.discard(placed, heads, rest)
+    C.discard(placed, heads, rest, close)
     C.drop_shuffles(df.sparkSession)
-    return equal.union(stars).union(more)
+    return equal.union(alike).union(stars).union(more)
 
 
 def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
@@ -353,9 +401,10 @@ def verified(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, shingl
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component) of the documents that have a near duplicate: five-word shingles, similarity 0.8 or more.
 
-    At that similarity a 64-bit fingerprint differs in about ten bits, too many for any grid. So the candidates come from an
-    exact prefix filter over the shingle sets, and the Jaccard similarity decides. Empty texts and rows without an identifier
-    are no one's duplicate here; rows that share an identifier are one document.
+    Candidates are the pairs that the fingerprints link, as in simhash_classes(), and their Jaccard similarity decides. At
+    0.8 a 64-bit fingerprint differs in about ten bits, more than any grid finds, so an exact prefix filter over the sets of
+    shingles brings what the fingerprints have left apart. Empty texts and rows without an identifier are no one's duplicate
+    here; rows that share an identifier are one document.
     """
     return components(linked(df, id_col, text_col, shingle, similarity))
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from phaseloom.llm import chat, context_tree, exact_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
+from phaseloom.llm import chat, common, context_tree, exact_dedup, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts, word_bpe
 from phaseloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -457,6 +457,57 @@ def test_near_duplicates_at_the_bound(spark):
     assert len(close) == 200 and got == want
 
 
+def _set_fingerprint(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    hashes = set(simhash.word_shingles(raw, np.array([0, len(raw)]), 5)[0].tolist())
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_near_duplicates_come_by_fingerprints(spark, monkeypatch):
+    """Without the marks that complete them: all pairs within 5 bits, and only those that the similarity allows."""
+    none = spark.createDataFrame([], "mark long, node long, id long, n int, pos int, rep long")
+    monkeypatch.setattr(simhash, "prefix_marks", lambda *_: none)
+    rnd, rows = random.Random(43), []
+    for k in range(0, 120, 2):
+        words = _prose(rnd, 200).split()
+        other = words.copy()
+        for at in rnd.sample(range(200), k % 4 + 1):
+            other[at] = "changed"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    rows += [(120, ""), (121, ""), (122, rows[0][1].upper())]
+    prints = {k: _set_fingerprint(t) for k, t in rows if t}
+    close, _, got = _near_classes(spark, rows)
+    wanted = [(a, b) for a, b in close if (prints.get(a, 0) ^ prints.get(b, 0)).bit_count() <= 5 and a < 120]
+    assert len(wanted) > 25 and all(a in got and got[a] == got.get(b) for a, b in wanted)
+    assert set(got) <= {x for p in close for x in p if x not in (120, 121)}
+
+
+def test_near_duplicates_are_checked(spark, monkeypatch):
+    """Fingerprints that link unlike texts join nothing, and texts that they tell apart are found all the same."""
+    rnd, rows = random.Random(47), []
+    for k in range(0, 60, 2):
+        words = _prose(rnd, 60).split()
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:56], *_prose(rnd, 4, "xyz").split()]))]
+    made = simhash.fingerprint_pairs
+    for pairs in (lambda *_: spark.createDataFrame([(k, k // 3) for k in range(1, 60)], "a long, b long"), lambda *_: spark.createDataFrame([], "a long, b long"), made):
+        monkeypatch.setattr(simhash, "fingerprint_pairs", lambda *x, pairs=pairs: common.durable(pairs(*x)))
+        close, want, got = _near_classes(spark, rows)
+        assert len(close) == 30 and got == want
+
+
+@pytest.mark.parametrize("most", [64, 2, 0])
+def test_halves_are_linked_apart(spark, most):
+    rnd = random.Random(53)
+    centres = [rnd.getrandbits(32) for _ in range(20)]
+    prints = {rnd.choice(centres) ^ sum(1 << b for b in rnd.sample(range(32), rnd.randint(0, 2))) | rnd.randrange(2) << 32: k for k in range(300)}
+    rows = {k: p for p, k in prints.items()}
+    signed = np.array(list(rows.values()), np.uint64)
+    frame = spark.createDataFrame([(int(f), int(c), r) for f, c, r in zip(signed.view(np.int64), simhash.cells(signed).view(np.int64), rows, strict=True)], "fp long, cell long, rep long")
+    found = {r.node: r.component for r in components(simhash.link_fingerprints(frame, 32, most)).collect()}
+    parts = [_classes({r: p for r, p in rows.items() if p >> 32 == part}) for part in (0, 1)]
+    assert {r: found.get(r, r) for r in rows} == parts[0] | parts[1]
+
+
 @pytest.mark.parametrize("parts", [1, 9])
 def test_suffix_dedup_of_variants(spark, parts):
     rnd = random.Random(37)
